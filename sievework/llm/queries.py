@@ -1,0 +1,35 @@
+"""Queries of the training-data operators, by name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sievework.session import table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.web_pages import boilerplate_lines
+
+    return boilerplate_lines(table(spark, sf_dir, "fetch_results"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.web_pages import repeated_lines
+
+    return repeated_lines(table(spark, sf_dir, "fetch_results"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.web_pages import leftovers
+
+    return leftovers(table(spark, sf_dir, "fetch_results"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

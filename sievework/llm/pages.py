@@ -67,14 +67,14 @@ def _bands(lines: list[bytes], sites: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out0, out1
 
 
-def _analyse(bands: bool):
+def _analyse(bands: bool, bodies: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 ids, sites, urls, texts = (batch.column(k) for k in range(4))
-                offsets, nos, keys, firsts, outs, evs, proses, evident, masked, site_hash = [0], [], [], [], [], [], [], [], [], []
+                offsets, nos, keys, firsts, outs, evs, proses, evident, masked, site_hash, texts_out = [0], [], [], [], [], [], [], [], [], [], []
                 for url, site, text in zip(urls.to_pylist(), sites.to_pylist(), texts.to_pylist()):
                     lines, kinds, evidence = T.classify(text, T.site_words(url, site))
                     out = T.outside_lines(lines, kinds)
@@ -99,6 +99,8 @@ def _analyse(bands: bool):
                             masked.append(T.masked_line(line, kinds[no]).encode("utf-8", "replace") if kinds[no] == T.BYLINE else norm)
                             site_hash.append(here)
                     evident.append(any_evidence)
+                    if bodies:
+                        texts_out.append(" ".join("\n".join([x for x, o in zip(lines, out) if not o]).split()).lower())
                     offsets.append(len(nos))
                 off = pa.array(offsets, pa.int32())
                 wrap = lambda values, kind: pa.ListArray.from_arrays(off, pa.array(values, kind))  # noqa: B023, E731
@@ -108,21 +110,25 @@ def _analyse(bands: bool):
                     b0 = b1 = np.zeros(len(nos), np.int64)
                 cols = [ids, sites, wrap(nos, pa.int32()), wrap(keys, pa.int64()), wrap(b0, pa.int64()), wrap(b1, pa.int64()), wrap(firsts, pa.bool_()), wrap(outs, pa.bool_()), wrap(evs, pa.int32()), wrap(proses, pa.int32()), pa.array(evident, pa.bool_())]
                 names = ["fetch_id", "site", "line_no", "line_key", "band0", "band1", "first", "outside", "evidence", "prose", "evident"]
+                if bodies:
+                    cols.append(pa.array(texts_out, pa.string()))
+                    names.append("body")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def page_lines(pages: DataFrame, bands: bool = False) -> DataFrame:
+def page_lines(pages: DataFrame, bands: bool = False, bodies: bool = False) -> DataFrame:
     """One row per page that is not blank: what its lines with letters are.
 
     Input columns ``fetch_id, url, site, markdown``; others are ignored. Null and blank ``markdown``
     give no row; a null ``site`` is taken from ``url`` and is '' where that is null too. With
-    ``bands`` each line also gets two LSH band keys of its masked text.
+    ``bands`` each line also gets two LSH band keys of its masked text, with ``bodies`` each page its
+    main body in lower case with white space runs as one space.
     """
     rows = pages.select("fetch_id", site_of(F.col("url"), F.col("site")).alias("site"), F.col("url"), "markdown")
     rows = rows.where(F.col("fetch_id").isNotNull() & F.col("markdown").rlike(r"(?U)\S"))
-    return spread(rows).mapInArrow(_analyse(bands), LINES_SCHEMA)
+    return spread(rows).mapInArrow(_analyse(bands, bodies), LINES_SCHEMA + (", body string" if bodies else ""))
 
 
 def exploded(pages: DataFrame, *extra: str) -> DataFrame:

@@ -21,6 +21,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "fetch_results"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.near_duplicates import near_duplicate_pairs
+
+    return near_duplicate_pairs(table(spark, sf_dir, "fetch_results"), table(spark, sf_dir, "search_hits"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.web_pages import leftovers
 

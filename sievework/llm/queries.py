@@ -27,6 +27,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "fetch_results"), table(spark, sf_dir, "search_hits"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.names import variant_pairs
+
+    return variant_pairs(table(spark, sf_dir, "profiles"), table(spark, sf_dir, "institution_names"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.web_pages import leftovers
 

@@ -16,7 +16,7 @@ from sievework.operators.components import connected_components
 from sievework.operators.cosine_join import cosine_pairs, ngram_vectors
 from sievework.session import written
 
-ORG_COSINE, PERSON_COSINE = 0.45, 0.45
+ORG_COSINE, PERSON_COSINE = 0.3, 0.5
 #: Average similarity at which average-linkage clustering stops.
 LINKAGE = 0.5
 #: Components of more distinct spellings than this keep their links as they are (single linkage).
@@ -184,14 +184,17 @@ def _checked(kind: str):
     return run
 
 
-def spelling_links(spellings: DataFrame, kind: str, least: float) -> DataFrame:
+def spelling_links(spellings: DataFrame, kind: str, least: float, blocked: bool = False) -> tuple[DataFrame, DataFrame]:
     """``raw_a, raw_b, cosine`` of distinct spellings (``raw``) of one name: sparse cosine join over
     character n-grams of their keys, then the exact check of the words. Spellings whose keys are
-    equal are linked with cosine 1."""
-    keyed = written(spellings.where("raw is not null and trim(raw) <> ''").select("raw").distinct().mapInArrow(_keyed(kind), "raw string, text string, key string"), "spellings")
+    equal are linked with cosine 1. With ``blocked``, ``spellings`` also has ``block``, and only
+    spellings with a block in common are compared."""
+    said = spellings.where("raw is not null and trim(raw) <> ''")
+    keyed = written(said.select("raw").distinct().mapInArrow(_keyed(kind), "raw string, text string, key string"), "spellings")
     texts = keyed.where("text <> ''").select("text", "key").distinct().withColumn("id", F.xxhash64("text"))
     vectors = written(ngram_vectors(texts.select("id", "text").dropDuplicates(["id"])), "vectors")
-    near = cosine_pairs(vectors, least)
+    blocks = said.join(keyed, "raw").select(F.xxhash64("text").alias("id"), "block") if blocked else None
+    near = cosine_pairs(vectors, least, blocks)
     keys = texts.select("id", "key")
     same = keys.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("cosine")).distinct()
     pairs = near.unionByName(same)
@@ -239,9 +242,13 @@ def linked_clusters(links: DataFrame) -> DataFrame:
     rows = links.join(comp.withColumnRenamed("id", "a"), "a")
     sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
     big = comp.join(sizes.where(F.col("n") > LINKAGE_SIZE), "component", "left_semi").select("id", F.col("component").alias("cluster"))
-    small = rows.join(sizes.where(F.col("n") <= LINKAGE_SIZE), "component", "left_semi")
+    # Where every two members are linked there is nothing to split.
+    links_of = rows.where("a <> b").groupBy("component").agg(F.count_distinct(F.least("a", "b"), F.greatest("a", "b")).alias("links"))
+    full = sizes.join(links_of, "component", "left").where(F.coalesce("links", F.lit(0)) * 2 >= F.col("n") * (F.col("n") - 1))
+    whole = comp.join(full, "component", "left_semi").select("id", F.col("component").alias("cluster"))
+    small = rows.join(sizes.where(F.col("n") <= LINKAGE_SIZE), "component", "left_semi").join(full, "component", "left_anti")
     done = small.groupBy("component").applyInPandas(lambda f: _average_linkage(f), "id bigint, cluster bigint")
-    return done.unionByName(big)
+    return done.unionByName(big.join(full, big.cluster == full.component, "left_anti")).unionByName(whole)
 
 
 def org_clusters(names: DataFrame) -> DataFrame:
@@ -257,14 +264,15 @@ def person_links(profiles: DataFrame, orgs: DataFrame) -> DataFrame:
     institution or a keyword; profiles that both name institutions must share one."""
     base = profiles.where("profile_id is not null").select("profile_id", "name", "name_en", "aliases", "institutions", "keywords").dropDuplicates(["profile_id"])
     forms = base.select("profile_id", F.explode(F.array_distinct(F.filter(F.concat(F.array("name", "name_en"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull()))).alias("raw"))
-    good, keyed = spelling_links(forms.select("raw"), "person", PERSON_COSINE)
-    good = written(good, "name-links")
-    with_key = written(forms.join(keyed, "raw").select("profile_id", "key").where("key <> ''").distinct(), "forms")
     member = written(base.select("profile_id", F.explode("institutions").alias("raw")).join(orgs, "raw").select("profile_id", F.concat(F.lit("i"), F.col("org").cast("string")).alias("ctx")).distinct(), "member")
     named = member.select("profile_id").distinct().withColumn("named", F.lit(True))
     words = base.select("profile_id", F.explode("keywords").alias("w")).where("w is not null and trim(w) <> ''").select("profile_id", F.concat(F.lit("k"), F.lower(F.trim("w"))).alias("ctx")).distinct()
     flagged = words.join(named, "profile_id", "left").withColumn("named", F.coalesce("named", F.lit(False)))
-    ctx = member.withColumn("named", F.lit(True)).unionByName(flagged)
+    ctx = written(member.withColumn("named", F.lit(True)).unionByName(flagged), "contexts")
+    said = written(forms.join(ctx, "profile_id", "left").select("raw", F.coalesce("ctx", F.lit("")).alias("block")).distinct(), "blocks")
+    good, keyed = spelling_links(said.withColumn("block", F.when(F.col("block") != "", F.col("block"))), "person", PERSON_COSINE, blocked=True)
+    good = written(good, "name-links")
+    with_key = written(forms.join(keyed, "raw").select("profile_id", "key").where("key <> ''").distinct(), "forms")
     rows = with_key.join(ctx, "profile_id")  # profile_id, key, ctx, named
     both = good.select("key_a", "key_b", "cosine").unionByName(good.where("key_a <> key_b").select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), "cosine"))
     left = rows.select(F.col("profile_id").alias("a"), F.col("key").alias("key_a"), "ctx", F.col("named").alias("named_a")).join(both, "key_a")

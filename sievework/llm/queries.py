@@ -33,6 +33,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(table(spark, sf_dir, "profiles"), table(spark, sf_dir, "institution_names"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.splitting import oversized_items
+
+    return oversized_items(table(spark, sf_dir, "fetch_results"), table(spark, sf_dir, "chunk_results"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.web_pages import leftovers
 
@@ -43,5 +49,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
 
+P6_SQL = r"""
+SELECT 'fetch' AS item_kind, fetch_id AS item_id,
+  CAST(len(list_filter(regexp_split_to_array(markdown, '[\s\x0b\x1c-\x1f\x{85}\p{Z}.!?。！？]'), lambda x: length(x) > 4000)) > 0 AS BIGINT) AS forced
+FROM fetch_results WHERE length(markdown) > 4000
+UNION
+SELECT 'claims', chunk_id,
+  CAST(len(list_filter(claims, lambda c: len(list_filter(regexp_split_to_array(c.quote, '[\s\x0b\x1c-\x1f\x{85}\p{Z}.!?。！？]'), lambda x: length(x) > 1500)) > 0)) > 0 AS BIGINT)
+FROM chunk_results WHERE list_sum(list_transform(claims, lambda c: coalesce(length(c.quote), 0))) > 1500
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": P6_SQL}

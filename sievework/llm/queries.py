@@ -45,6 +45,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leftovers(table(spark, sf_dir, "fetch_results"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.leakage import leaked_items
+
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 

@@ -8,9 +8,7 @@ import numpy as np
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xFF51AFD7ED558CCD)
-_POWERS = np.ones(64, np.uint64)
-for _i in range(1, 64):
-    _POWERS[_i] = _POWERS[_i - 1] * _P
+_POWERS = np.array([pow(int(_P), i, 1 << 64) for i in range(64)], np.uint64)
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True
 _NO_WORD = re.compile(r"[^\w\s]")

@@ -33,6 +33,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(table(spark, sf_dir, "profiles"), table(spark, sf_dir, "institution_names"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.transcripts import speaker_turns
+
+    return speaker_turns(table(spark, sf_dir, "transcribe_results"), table(spark, sf_dir, "speakers")).select("result_id", "turn_no", "speaker_no")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.splitting import oversized_items
 
@@ -45,6 +51,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leftovers(table(spark, sf_dir, "fetch_results"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.packing import containers
+
+    return containers(table(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.leakage import leaked_items
 

@@ -22,13 +22,14 @@ def drop_menus(lines: Column) -> Column:
         menu = (F.size(s["run"]) >= T.MENU_RUN) & (s["short"] >= T.MENU_SHARE * F.size(s["run"]))
         return F.when(menu, s["out"]).otherwise(F.concat(s["out"], s["run"]))
 
-    def step(s, x):
-        size = F.length(T.strip(x))
+    def step(s, line):
+        x, size = line["line"], line["size"]
         done = F.struct(F.concat(close(s), F.array(x)).alias("out"), F.array().cast(kind).alias("run"), F.lit(0).alias("short"))
         more = F.struct(s["out"].alias("out"), F.concat(s["run"], F.array(x)).alias("run"), (s["short"] + F.when(size < T.SHORT_LINE, 1).otherwise(0)).alias("short"))
         return F.when(size == 0, done).otherwise(more)
 
-    return F.aggregate(lines, start, step, close)
+    sized = F.transform(lines, lambda x: F.struct(x.alias("line"), F.length(T.strip(x)).alias("size")))
+    return F.aggregate(sized, start, step, close)
 
 
 def from_content_start(lines: Column) -> Column:
@@ -38,7 +39,7 @@ def from_content_start(lines: Column) -> Column:
         return ~T.is_link_line(x) & (((size >= T.SHORT_LINE) & x.rlike(T.SENTENCE_MARK)) | (size >= T.CONTENT_LENGTH))
 
     at = F.array_position(F.transform(lines, starts), True).cast("int")
-    return F.when(at > 0, F.slice(lines, at, F.size(lines))).otherwise(lines)
+    return F.when(at > 0, F.slice(lines, at, 1_000_000_000)).otherwise(lines)
 
 
 def to_tail(lines: Column) -> Column:
@@ -51,10 +52,13 @@ def clean_documents(documents: DataFrame, text: str = "text", min_length: int =
     """Adds ``cleaned`` (body without markup, ads, menus and tail), ``original_size``,
     ``cleaned_size``, ``ratio`` (3 places) and ``issues``. A binary body cleans to ''. Null text
     gives null and no issue; one projection, no shuffle."""
-    body = T.body_of(F.col(text))
-    lines = to_tail(from_content_start(drop_menus(drop_ads(T.lines_of(T.strip_html(body))))))
-    joined = F.substring(T.strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")), 1, T.MAX_CONTENT)
-    out = documents.withColumn("_binary", T.looks_binary(body)).withColumn("cleaned", F.when(F.col("_binary"), F.lit("")).otherwise(joined))
+    # Each step is a column of its own: one that is used twice is then computed once.
+    out = documents.withColumn("_body", T.body_of(F.col(text))).withColumn("_binary", T.looks_binary(F.col("_body")))
+    out = out.withColumn("_lines", drop_ads(T.lines_of(T.strip_html(F.col("_body")))))
+    for f in (drop_menus, from_content_start, to_tail):
+        out = out.withColumn("_lines", f(F.col("_lines")))
+    joined = F.substring(T.strip(F.regexp_replace(F.array_join("_lines", "\n"), r"\n{3,}", "\n\n")), 1, T.MAX_CONTENT)
+    out = out.withColumn("cleaned", F.when(F.col("_binary"), F.lit("")).otherwise(joined))
     size, original = F.length("cleaned"), F.length(text)
     issues = F.filter(F.array(F.when(F.col("_binary"), "binary_or_unparsed_pdf"), F.when(size < min_length, "too_short")), lambda x: x.isNotNull())
     return (
@@ -62,5 +66,5 @@ def clean_documents(documents: DataFrame, text: str = "text", min_length: int =
         .withColumn("cleaned_size", size.cast("bigint"))
         .withColumn("ratio", F.when(original > 0, F.round(size / original, 3)).otherwise(F.lit(0.0)))
         .withColumn("issues", issues)
-        .drop("_binary")
+        .drop("_binary", "_body", "_lines")
     )

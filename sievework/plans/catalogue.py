@@ -525,3 +525,29 @@ def exit_codes(spark, sf_dir):
     """Arbitration of result codes by priority."""
     p = F.when(F.col("event_type") == "login", 1).when(F.col("event_type") == "click", 2).otherwise(3)
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n"), F.min(p).alias("priority"))
+
+
+@query()
+def near_dup_winners(spark, sf_dir):
+    """Near-duplicate documents: components of similar texts and the longest of each."""
+    from sievework.operators.similar_texts import near_duplicate_winners
+
+    return near_duplicate_winners(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    """Hourly counts by type, run as a stream over the table's folder until its data is used up."""
+    import uuid
+
+    from sievework.session import shared_dir
+    from sievework.streaming.streams import windowed_counts
+
+    src = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(src.schema).parquet(f"{sf_dir}/events.parquet*")
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    counts = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], delay="3650 days")
+    sink = lambda batch, _: batch.write.mode("overwrite").parquet(f"{home}/out")
+    run = counts.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{home}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

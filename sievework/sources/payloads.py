@@ -27,7 +27,7 @@ def _items(payloads: DataFrame, path: str, schema: str) -> DataFrame:
 
 
 def _hits(rows: DataFrame, url: Column, title: Column, snippet: Column, year: Column | None = None) -> DataFrame:
-    out = rows.select("call_id", "query", "pos", url.alias("url"), F.trim(F.regexp_replace(title, r"\s+", " ")).alias("title"), snippet.alias("snippet"), (year if year is not None else F.lit(None)).cast("int").alias("year"))
+    out = rows.select("call_id", "query", "pos", url.alias("url"), F.trim(F.regexp_replace(title, r"\s+", " ")).alias("title"), F.coalesce(snippet, F.lit("")).alias("snippet"), (year if year is not None else F.lit(None)).cast("int").alias("year"))
     return out.where("url is not null and url <> ''")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import page_text as T
-from sievework.session import spread
+from sievework.session import spread, written
 
 #: A line is recurrent when at least so many pages of its site hold it.
 MIN_PAGES = 6
@@ -131,6 +131,14 @@ def page_lines(pages: DataFrame, bands: bool = False, bodies: bool = False) -> D
     return spread(rows).mapInArrow(_analyse(bands, bodies), LINES_SCHEMA + (", body string" if bodies else ""))
 
 
+def written_page_lines(pages: DataFrame, bands: bool = False, bodies: bool = False) -> DataFrame:
+    """``page_lines`` written to the shared folder, one row per ``fetch_id``: of repeated rows of an
+    id one is kept."""
+    lines = written(page_lines(pages, bands, bodies), "page-lines")
+    rows, ids = lines.agg(F.count("*"), F.count_distinct("fetch_id")).first()
+    return lines if rows == ids else lines.dropDuplicates(["fetch_id"])
+
+
 def exploded(pages: DataFrame, *extra: str) -> DataFrame:
     """One row per line of ``page_lines``."""
     names = ("line_no", "line_key", "first", *extra)

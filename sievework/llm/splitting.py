@@ -16,7 +16,7 @@ CLAIM_LIMIT = 1500
 PIECES = "array<struct<piece_no:int,start:int,end:int,first_claim:int,last_claim:int,boundary:int>>"
 
 # Strength of a boundary that ends at the match's end: blank line, line, sentence, white space.
-_BOUNDARY = re.compile(r"(\n[^\S\n]*\n\s*)|(\n)|([.!?](?=\s)\s|[.!?。！？](?!\s))|(\s)")
+_BOUNDARY = re.compile(r"(\n[^\S\n]*\n\s*)|(\n)|([.!?。！？](?:(?=\s)[^\S\n]?|(?!\s)))|(\s)")
 PARAGRAPH, LINE, SENTENCE, SPACE, FORCED = 4, 3, 2, 1, 0
 
 

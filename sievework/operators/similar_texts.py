@@ -19,6 +19,8 @@ THRESHOLD = 0.85
 #: A record's sketch: so many tokens of so many MinHash values each. Sets of Jaccard similarity 0.85
 #: share 11 of the 40 tokens on average and fewer than ``OVERLAP`` five times in a hundred thousand pairs.
 TOKENS, VALUES, OVERLAP = 40, 8, 2
+#: As many candidates' ids as are broadcast; beyond that the texts are shuffled to them.
+BROADCAST_IDS = 500_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -110,7 +112,9 @@ def similar_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     tokens = written(texts.select("id", "text").mapInArrow(_sketches, "id bigint, tokens array<bigint>").where("tokens is not null"), "sketches")
     pairs = written(candidate_pairs(tokens, OVERLAP), "candidates")
     ids = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct()
-    used = texts.select("id", "text").join(ids, "id", "left_semi")
+    ids = written(ids, "candidate-ids")
+    # Ids of eight bytes each: broadcast where there are few, so that only their texts are moved.
+    used = texts.select("id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     both = pairs.join(used.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
     both = both.join(used.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
     return both.select("id_a", "id_b", "text_a", "text_b").mapInArrow(_verified(threshold), "id_a bigint, id_b bigint")

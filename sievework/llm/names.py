@@ -205,8 +205,22 @@ def spelling_links(spellings: DataFrame, kind: str, least: float, blocked: bool
     return good.unionByName(equal), keyed.select("raw", "key")
 
 
+def _name_similarity(a: list[str], b: list[str]) -> float:
+    """Best similarity of two people's spellings: at least half where two of them can be one name."""
+    best = 0.0
+    for x in a:
+        for y in b:
+            if same_name(x.split(), y.split()):
+                gx, gy = ({f" {t} "[i : i + 3] for i in range(len(t))} for t in (x, y))
+                best = max(best, 0.5 + len(gx & gy) / (2 * len(gx | gy)))
+    return best
+
+
 def _average_linkage(frame: pd.DataFrame) -> pd.DataFrame:
-    """Average-linkage clusters of one component: rows ``component, a, b, cosine``."""
+    """Average-linkage clusters of one component: rows ``component, a, b, cosine``; with ``keys`` and
+    ``orgs`` rows of ``a = b`` that describe the members, and similarity is that of their names, 0
+    where both name institutions and share none. What two members cannot be told apart by, such as
+    an institution that one does not name, thus does not part them."""
     ids = sorted({*frame.a, *frame.b})
     n = len(ids)
     if n <= 2 or n > LINKAGE_SIZE:
@@ -217,7 +231,15 @@ def _average_linkage(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = at[a], at[b]
         if i != j:
             sim[i, j] = sim[j, i] = max(sim[i, j], 0.5 + c / 2)  # a link that passed the check counts at least half
-    size, alive, label = np.ones(n), np.ones(n, bool), np.arange(n)
+    if "keys" in frame.columns:
+        who = {at[a]: (list(k), set(o)) for a, b, k, o in zip(frame.a, frame.b, frame["keys"], frame.orgs) if a == b and k is not None}
+        for i in range(n):
+            for j in range(i):
+                if not sim[i, j] and i in who and j in who:
+                    (ka, oa), (kb, ob) = who[i], who[j]
+                    if not (oa and ob and oa.isdisjoint(ob)):
+                        sim[i, j] = sim[j, i] = _name_similarity(ka, kb)
+    size, label = np.ones(n), np.arange(n)
     np.fill_diagonal(sim, -1)
     while True:
         k = int(sim.argmax())
@@ -229,14 +251,14 @@ def _average_linkage(frame: pd.DataFrame) -> pd.DataFrame:
         sim[i, i] = -1
         sim[j], sim[:, j] = -1, -1
         size[i] += size[j]
-        alive[j] = False
         label[label == label[j]] = label[i]
     first = {}
     return pd.DataFrame({"id": ids, "cluster": [first.setdefault(label[i], ids[i]) for i in range(n)]})
 
 
-def linked_clusters(links: DataFrame) -> DataFrame:
-    """``id, cluster`` by average linkage within each connected component of ``a, b, cosine``."""
+def linked_clusters(links: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """``id, cluster`` by average linkage within each connected component of ``a, b, cosine``.
+    ``members`` (``id, keys, orgs``) describes the linked ones, see ``_average_linkage``."""
     links = written(links, "links")
     comp = connected_components(links.select("a", "b"))
     rows = links.join(comp.withColumnRenamed("id", "a"), "a")
@@ -247,6 +269,9 @@ def linked_clusters(links: DataFrame) -> DataFrame:
     full = sizes.join(links_of, "component", "left").where(F.coalesce("links", F.lit(0)) * 2 >= F.col("n") * (F.col("n") - 1))
     whole = comp.join(full, "component", "left_semi").select("id", F.col("component").alias("cluster"))
     small = rows.join(sizes.where(F.col("n") <= LINKAGE_SIZE), "component", "left_semi").join(full, "component", "left_anti")
+    if members is not None:
+        told = small.where("a = b").join(members.withColumnRenamed("id", "a"), "a", "left").select(*small.columns, "keys", "orgs")
+        small = small.where("a <> b").withColumn("keys", F.lit(None).cast("array<string>")).withColumn("orgs", F.lit(None).cast("array<string>")).unionByName(told)
     done = small.groupBy("component").applyInPandas(lambda f: _average_linkage(f), "id bigint, cluster bigint")
     return done.unionByName(big.join(full, big.cluster == full.component, "left_anti")).unionByName(whole)
 
@@ -259,8 +284,8 @@ def org_clusters(names: DataFrame) -> DataFrame:
     return keyed.withColumn("id", F.xxhash64("key")).join(clusters, "id").select("raw", F.col("cluster").alias("org"))
 
 
-def person_links(profiles: DataFrame, orgs: DataFrame) -> DataFrame:
-    """``a, b, cosine``: profiles of names that can be one and with a context in common, which is an
+def person_links(profiles: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``a, b, cosine`` (and the profiles' spellings, which ones name institutions, and which): profiles of names that can be one and with a context in common, which is an
     institution or a keyword; profiles that both name institutions must share one."""
     base = profiles.where("profile_id is not null").select("profile_id", "name", "name_en", "aliases", "institutions", "keywords").dropDuplicates(["profile_id"])
     forms = base.select("profile_id", F.explode(F.array_distinct(F.filter(F.concat(F.array("name", "name_en"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull()))).alias("raw"))
@@ -278,16 +303,18 @@ def person_links(profiles: DataFrame, orgs: DataFrame) -> DataFrame:
     left = rows.select(F.col("profile_id").alias("a"), F.col("key").alias("key_a"), "ctx", F.col("named").alias("named_a")).join(both, "key_a")
     right = rows.select(F.col("profile_id").alias("b"), F.col("key").alias("key_b"), "ctx", F.col("named").alias("named_b"))
     met = left.join(right, ["ctx", "key_b"]).where("a < b and (ctx like 'i%' or not named_a or not named_b)")
-    return met.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), with_key, named, good
+    return met.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), with_key, named, member
 
 
 def person_clusters(profiles: DataFrame, orgs: DataFrame) -> DataFrame:
     """``profile_id, person``. A profile without institutions that no keyword links is given to the
     one person of its name when there is only one such person."""
-    links, with_key, named, good = person_links(profiles, orgs)
+    links, with_key, named, member = person_links(profiles, orgs)
+    about = with_key.groupBy("profile_id").agg(F.collect_set("key").alias("keys")).join(member.groupBy("profile_id").agg(F.collect_set("ctx").alias("orgs")), "profile_id", "left")
+    about = about.select(F.col("profile_id").alias("id"), "keys", F.coalesce("orgs", F.array().cast("array<string>")).alias("orgs"))
     ids = profiles.where("profile_id is not null").select("profile_id").distinct()
     loops = ids.select(F.col("profile_id").alias("a"), F.col("profile_id").alias("b"), F.lit(1.0).alias("cosine"))
-    clusters = written(linked_clusters(links.unionByName(loops)), "clusters").withColumnRenamed("id", "profile_id")
+    clusters = written(linked_clusters(links.unionByName(loops), about), "clusters").withColumnRenamed("id", "profile_id")
     open_ids = ids.join(named.select("profile_id"), "profile_id", "left_anti").join(links.select(F.explode(F.array("a", "b")).alias("profile_id")).distinct(), "profile_id", "left_anti")
     open_ids = written(open_ids, "open")
     full = with_key.where("key rlike '^[^ ]{2,} [^ ]{2,}$'").withColumn("k", F.array_join(F.array_sort(F.split("key", " ")), " ")).select("profile_id", "k").distinct()

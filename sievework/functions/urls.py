@@ -37,3 +37,57 @@ def host_of(url: Column) -> Column:
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     host = F.regexp_replace(host, r"^www\.", "")
     return F.when(host == "", F.lit("unknown")).otherwise(F.coalesce(host, F.lit("unknown")))
+
+
+# Networks whose literal addresses may not be fetched, as first and last address.
+BLOCKED_V4 = (
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"),
+    ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.0.2.0", "192.0.2.255"), ("192.88.99.0", "192.88.99.255"),
+    ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("224.0.0.0", "239.255.255.255"), ("240.0.0.0", "255.255.255.255"),
+)
+BLOCKED_V6 = r"^\[(?:0{0,4}:|00|f[cd]|fe[89ab]|ff)"
+SENSITIVE_KEYS = "access_token api_key apikey auth authorization key password secret sig signature token x-amz-credential x-amz-signature awsaccesskeyid".split()
+SENSITIVE_PART = r"(?:^|[-_.])(api[-_.]?key|auth|credential|password|secret|signature|token)(?:$|[-_.])"
+
+
+def _v4(address: str) -> int:
+    a, b, c, d = map(int, address.split("."))
+    return ((a * 256 + b) * 256 + c) * 256 + d
+
+
+def _keys_of(part: Column) -> Column:
+    return F.transform(F.filter(F.split(part, "&"), lambda p: p != ""), lambda p: F.lower(F.trim(F.regexp_extract(p, "^([^=]*)", 1))))
+
+
+def refusal(url: Column) -> Column:
+    """Why a URL may not be fetched: 'scheme', 'credentials', 'host', 'network', or null when it may.
+    Host names are not resolved; answers of a resolver go through the same test as literal URLs."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    host = F.lower(F.regexp_extract(F.regexp_replace(rest, "^.*@", ""), r"^(\[[^\]]*\]|[^:]*)", 1))
+    keys = F.concat(_keys_of(F.regexp_extract(url, r"\?([^#]*)", 1)), _keys_of(F.regexp_extract(url, r"#(.*)$", 1)))
+    secret = F.exists(keys, lambda k: k.isin(*SENSITIVE_KEYS) | k.rlike(SENSITIVE_PART))
+    quad = F.transform(F.split(host, r"\."), lambda x: x.cast("bigint"))
+    number = ((quad[0] * 256 + quad[1]) * 256 + quad[2]) * 256 + quad[3]
+    literal = host.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$")
+    inside = F.lit(False)
+    for first, last in BLOCKED_V4:
+        inside = inside | number.between(_v4(first), _v4(last))
+    return (
+        F.when(~scheme.isin("http", "https") | url.isNull(), "scheme")
+        .when(rest.contains("@") | secret, "credentials")
+        .when(host == "", "host")
+        .when(host.rlike(BLOCKED_V6), "network")
+        .when(literal, F.when(inside, "network"))
+    )
+
+
+def platform(url: Column) -> Column:
+    """Video platform of a URL, or null."""
+    u = F.lower(url)
+    return F.when(u.rlike(r"^https?://(?:www\.|m\.)?(?:youtube\.com/(?:watch|shorts/)|youtu\.be/)"), "youtube").when(u.rlike(r"^https?://(?:www\.|m\.)?(?:bilibili\.com/video/|b23\.tv/)"), "bilibili")
+
+
+def video_id(url: Column) -> Column:
+    """Id of a video in its URL, '' when there is none."""
+    return F.coalesce(*(F.when(F.regexp_extract(url, p, 1) != "", F.regexp_extract(url, p, 1)) for p in (r"[?&]v=([A-Za-z0-9_-]{6,})", r"youtu\.be/([A-Za-z0-9_-]{6,})", r"/shorts/([A-Za-z0-9_-]{6,})", r"/video/(BV[A-Za-z0-9]+|av\d+)")), F.lit(""))

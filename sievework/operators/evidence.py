@@ -82,3 +82,45 @@ def assert_empty(violations: DataFrame, what: str) -> None:
     """Fails when there is any violation; only the first row is looked for."""
     if not violations.isEmpty():
         raise ValueError(f"integrity violated: {what}")
+
+
+def retained_findings(current: DataFrame, prior: DataFrame, resolutions: DataFrame, facts: DataFrame, new_claims: DataFrame) -> DataFrame:
+    """Findings after a round: the current ones, and earlier model findings that were not resolved or
+    were more urgent. ``current`` and ``prior`` have ``finding_id, priority, query``; a resolution
+    (``finding_id, reason, claim_ids``) counts when it has a reason and names only known claims, of
+    which at least one is new."""
+    each = resolutions.where("trim(reason) <> ''").select("finding_id", F.explode(F.array_distinct("claim_ids")).alias("claim_id"))
+    known = each.join(facts.select("claim_id", F.lit(True).alias("known")).distinct(), "claim_id", "left").join(new_claims.select("claim_id", F.lit(True).alias("fresh")).distinct(), "claim_id", "left")
+    good = known.groupBy("finding_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"), F.bool_or(F.coalesce("fresh", F.lit(False))).alias("any_new")).where("all_known and any_new")
+    open_ = prior.where("finding_id like 'model:%'").join(good, "finding_id", "left_anti")
+    rank = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
+    both = current.withColumn("old", F.lit(1)).unionByName(open_.withColumn("old", F.lit(2)))
+    # The more urgent one stays; at equal urgency the current one.
+    return both.groupBy("finding_id").agg(F.min_by(F.struct("priority", "query"), F.struct(rank, F.col("old"))).alias("r")).select("finding_id", "r.priority", "r.query")
+
+
+def targeted_queries(findings: DataFrame, most: int = 8) -> DataFrame:
+    """Distinct queries of the findings in order of their ids, ``most`` of them."""
+    q = F.trim("query")
+    return findings.where(q != "").groupBy(q.alias("query")).agg(F.min("finding_id").alias("first_id")).orderBy("first_id", "query").limit(most)
+
+
+def packed_paragraphs(text: Column, most: int = 3000) -> Column:
+    """Paragraphs packed in order into pieces of at most ``most`` characters (a longer paragraph
+    stands alone), as an array of strings."""
+    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
+
+    def step(s, p):
+        full = s["open"].isNotNull() & (s["n"] + F.length(p) + 2 > most)
+        done = F.when(full, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+        more = F.when(s["open"].isNull() | full, p).otherwise(F.concat(s["open"], F.lit("\n\n"), p))
+        return F.struct(done.alias("done"), more.alias("open"), (F.when(full, F.lit(0)).otherwise(s["n"]) + F.length(p) + 2).alias("n"))
+
+    return F.aggregate(F.split(text, "\n\n", -1), state, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+
+
+def merged_tags(*lists: Column) -> Column:
+    """Tags of several lists, trimmed, the first spelling of each kept whatever its letter case."""
+    every = F.filter(F.transform(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)), F.trim), lambda t: t != "")
+    lower = lambda a: F.transform(a, F.lower)
+    return F.filter(every, lambda t, i: F.array_position(lower(every), F.lower(t)) == i + 1)

@@ -551,3 +551,79 @@ def stream_windows(spark, sf_dir):
     run = counts.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{home}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- further operators ------------------------------------------------------------------------------
+
+
+@query("SELECT fetch_id, len(list_distinct(regexp_extract_all(markdown, '\\]\\((https?://[^)\\s]+)\\)', 1))) AS links, len(links) AS listed FROM fetch_results WHERE markdown IS NOT NULL")
+def page_links(spark, sf_dir):
+    """Links that stand in a page, and those that its fetch listed."""
+    f = table(spark, sf_dir, "fetch_results").where("markdown is not null")
+    found = F.array_distinct(F.regexp_extract_all("markdown", F.lit(r"\]\((https?://[^)\s]+)\)"), F.lit(1)))
+    return f.select("fetch_id", F.size(found).cast("bigint").alias("links"), F.when(F.col("links").isNotNull(), F.size("links")).cast("bigint").alias("listed"))
+
+
+@query(
+    r"""SELECT reason, count(*) AS hits, count(DISTINCT url) AS urls FROM (SELECT url, CASE WHEN NOT regexp_matches(url, '^(?i)https?:') THEN 'scheme' WHEN regexp_matches(url, '^[a-zA-Z]+://[^/?#]*@') THEN 'credentials'
+ WHEN regexp_matches(lower(url), '[?&#](access_token|api_key|apikey|auth|authorization|key|password|secret|sig|signature|token)=') THEN 'credentials' ELSE 'none' END AS reason FROM search_hits) GROUP BY reason"""
+)
+def url_safety(spark, sf_dir):
+    h = table(spark, sf_dir, "search_hits").select("url", F.coalesce(U.refusal(F.col("url")), F.lit("none")).alias("reason"))
+    return h.groupBy("reason").agg(F.count("*").alias("hits"), F.count_distinct("url").alias("urls"))
+
+
+@query(
+    """WITH b AS (SELECT doc_id, unnest(string_split(text, E'\\n\\n')) AS p, unnest(range(len(string_split(text, E'\\n\\n')))) AS i FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, count(*) AS paragraphs, sum(length(p) + 2) AS packed_length FROM b GROUP BY doc_id"""
+)
+def paragraph_packing(spark, sf_dir):
+    """Paragraphs packed into pieces; paragraphs and total length must come through."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", evidence.packed_paragraphs(F.col("text")).alias("pieces"))
+    parts = F.flatten(F.transform("pieces", lambda p: F.split(p, "\n\n", -1)))
+    return d.withColumn("parts", parts).select("doc_id", F.size("parts").cast("bigint").alias("paragraphs"), F.aggregate("parts", F.lit(0).cast("bigint"), lambda s, p: s + F.length(p) + 2).alias("packed_length"))
+
+
+@query(
+    """WITH t AS (SELECT profile_id, unnest(list_concat(coalesce(keywords, []), coalesce(research_fields, []))) AS tag, unnest(range(len(list_concat(coalesce(keywords, []), coalesce(research_fields, []))))) AS i FROM profiles),
+f AS (SELECT profile_id, trim(tag) AS tag, i, row_number() OVER (PARTITION BY profile_id, lower(trim(tag)) ORDER BY i) AS k FROM t WHERE trim(tag) <> '')
+SELECT p.profile_id, coalesce(string_agg(f.tag, '|' ORDER BY f.i) FILTER (f.tag IS NOT NULL), '') AS tags FROM profiles p LEFT JOIN f ON f.profile_id = p.profile_id AND k = 1 GROUP BY p.profile_id"""
+)
+def merged_tags(spark, sf_dir):
+    return table(spark, sf_dir, "profiles").select("profile_id", F.array_join(evidence.merged_tags(F.col("keywords"), F.col("research_fields")), "|").alias("tags"))
+
+
+@query("SELECT DISTINCT topic, source_engine FROM search_hits WHERE topic IN (SELECT topic FROM search_hits GROUP BY topic HAVING count(DISTINCT source_engine) >= 5)")
+def covered_topics(spark, sf_dir):
+    """Engines of the topics that at least five engines contribute to."""
+    h = table(spark, sf_dir, "search_hits").select("topic", "source_engine").distinct()
+    return h.join(h.groupBy("topic").agg(F.count("*").alias("n")).where("n >= 5").select("topic"), "topic", "left_semi")
+
+
+@query("SELECT paper_engine, year, count(*) AS n FROM (SELECT source_engine AS paper_engine, TRY_CAST(regexp_extract(coalesce(title, '') || ' ' || coalesce(url, ''), '\\b(20\\d{2})\\b', 1) AS INT) AS year FROM search_hits WHERE lower(source_engine) IN ('cvpr','arxiv','openalex','crossref','semantic_scholar','scholar') AND length(trim(title)) >= 8) GROUP BY ALL")
+def paper_candidates(spark, sf_dir):
+    """Hits of paper engines by the year in their title or URL."""
+    h = table(spark, sf_dir, "search_hits").where(F.lower("source_engine").isin("cvpr", "arxiv", "openalex", "crossref", "semantic_scholar", "scholar") & (F.length(F.trim("title")) >= 8))
+    return h.select(F.col("source_engine").alias("paper_engine"), T.year_in(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit("")))).alias("year")).groupBy("paper_engine", "year").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT c.chunk_id, CASE WHEN f.fetch_id IS NOT NULL THEN 'page' WHEN c.fetch_id IS NOT NULL THEN 'dangling' ELSE 'none' END AS link, coalesce(f.source_engine, c.model_name, '') AS provenance
+FROM chunk_results c LEFT JOIN fetch_results f USING (fetch_id)"""
+)
+def lookup_fallbacks(spark, sf_dir):
+    """Provenance of chunks: of their page, else of the model."""
+    c, f = table(spark, sf_dir, "chunk_results"), table(spark, sf_dir, "fetch_results").select("fetch_id", "source_engine", F.lit(True).alias("there"))
+    link = F.when(F.col("there"), "page").when(F.col("fetch_id").isNotNull(), "dangling").otherwise("none")
+    return c.join(f, "fetch_id", "left").select("chunk_id", link.alias("link"), F.coalesce("source_engine", "model_name", F.lit("")).alias("provenance"))
+
+
+@query("SELECT model_name, count(*) AS chunks, count(DISTINCT fetch_id) AS pages, min(chunk_index) AS first_index, max(chunk_index) AS last_index FROM chunk_results GROUP BY model_name")
+def extraction_runs(spark, sf_dir):
+    return table(spark, sf_dir, "chunk_results").groupBy("model_name").agg(F.count("*").alias("chunks"), F.count_distinct("fetch_id").alias("pages"), F.min("chunk_index").alias("first_index"), F.max("chunk_index").alias("last_index"))
+
+
+@query("SELECT user_id, count(*) AS n, count(*) FILTER (json_valid(props)) AS with_json FROM events GROUP BY user_id")
+def json_props(spark, sf_dir):
+    """Rows whose text parses as JSON."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.try_parse_json("props").isNotNull()).alias("with_json"))

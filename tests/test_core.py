@@ -160,3 +160,55 @@ def test_scalars(spark):
     assert one(spark, T.error_rate(F.col("a"), F.col("b")), a="abc", b="abd") == pytest.approx(1 / 3)
     assert one(spark, T.secret_rules(F.col("t")), t="password = abcdefghijklmnop1") == ["assigned_secret"]
     assert spark.createDataFrame([(61,), (3671,), (None,)], "s bigint").select(T.duration_text(F.col("s"))).collect() == [("1:01",), ("1:01:11",), ("",)]
+
+
+@pytest.mark.parametrize(
+    "url,why",
+    [
+        ("https://example.org/a", None),
+        ("ftp://example.org", "scheme"),
+        (None, "scheme"),
+        ("https://u:p@example.org", "credentials"),
+        ("https://example.org/?a=1&Api_Key=2", "credentials"),
+        ("https://example.org/#x-token=2", "credentials"),
+        ("https://example.org/?monkey=2", None),
+        ("https:///x", "host"),
+        ("http://10.1.2.3/", "network"),
+        ("http://8.8.8.8:80/", None),
+        ("http://172.32.0.1", None),
+        ("http://[::1]/", "network"),
+        ("http://[2606:4700::1]/", None),
+    ],
+)
+def test_refusal(spark, url, why):
+    assert spark.createDataFrame([(url,)], "u string").select(U.refusal(F.col("u"))).first()[0] == why
+
+
+def test_platforms(spark):
+    rows = [("https://youtu.be/abcdef1",), ("https://www.bilibili.com/video/BV1xx",), ("https://a.example/video/1",)]
+    got = spark.createDataFrame(rows, "u string").select(U.platform(F.col("u")), U.video_id(F.col("u"))).collect()
+    assert [tuple(r) for r in got] == [("youtube", "abcdef1"), ("bilibili", "BV1xx"), (None, "")]
+
+
+def test_retained_findings(spark):
+    f = "finding_id string, priority string, query string"
+    current = spark.createDataFrame([("coverage:a", "high", "qa"), ("model:x", "low", "new")], f)
+    prior = spark.createDataFrame([("model:x", "high", "old"), ("model:y", "low", "y"), ("model:z", "low", "z"), ("coverage:old", "high", "o")], f)
+    res = spark.createDataFrame([("model:y", "done", ["c1", "c2"]), ("model:z", "done", ["c1"])], "finding_id string, reason string, claim_ids array<string>")
+    facts, new = spark.createDataFrame([("c1",), ("c2",)], "claim_id string"), spark.createDataFrame([("c2",)], "claim_id string")
+    out = evidence.retained_findings(current, prior, res, facts, new)
+    assert {tuple(r) for r in out.collect()} == {("coverage:a", "high", "qa"), ("model:x", "high", "old"), ("model:z", "low", "z")}
+    assert [r.query for r in evidence.targeted_queries(out, 2).collect()] == ["qa", "old"]
+
+
+def test_packed_paragraphs_and_tags(spark):
+    rows = spark.createDataFrame([("aaa\n\nbbb\n\n" + "c" * 20 + "\n\nd", ["A", " b", ""], ["a", "C"])], "t string, x array<string>, y array<string>")
+    r = rows.select(evidence.packed_paragraphs(F.col("t"), 10).alias("p"), evidence.merged_tags(F.col("x"), F.col("y"), F.lit(None).cast("array<string>")).alias("tags")).first()
+    assert r.p == ["aaa\n\nbbb", "c" * 20, "d"] and r.tags == ["A", "b", "C"]
+
+
+def test_plans_push_filters_and_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "https://a.example/x", "t", 3)], "hit_id bigint, url string, title string, other int").write.parquet(str(tmp_path / "h.parquet"))
+    hits = spark.read.parquet(str(tmp_path / "h.parquet"))
+    plan = search.first_wins(hits.where("hit_id > 0").select("url", "hit_id"), ["url"], ["hit_id"])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThan(hit_id,0)" in plan and "other" not in plan and "title" not in plan

@@ -121,6 +121,6 @@ def packed_paragraphs(text: Column, most: int = 3000) -> Column:
 
 def merged_tags(*lists: Column) -> Column:
     """Tags of several lists, trimmed, the first spelling of each kept whatever its letter case."""
-    every = F.filter(F.transform(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)), F.trim), lambda t: t != "")
+    every = F.filter(F.transform(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)), lambda t: F.trim(t)), lambda t: t != "")
     lower = lambda a: F.transform(a, F.lower)
     return F.filter(every, lambda t, i: F.array_position(lower(every), F.lower(t)) == i + 1)

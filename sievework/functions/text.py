@@ -173,3 +173,25 @@ def tier_of(explicit: Column, engine: Column, evidence_kind: Column) -> Column:
         .when(F.coalesce(F.when(evidence_kind != "", evidence_kind), F.lit("body")) != "body", "discovery")
         .otherwise("search")
     )
+
+
+def version_key(version: Column) -> Column:
+    """Sort key of a dotted version: its first three numbers; text that has none sorts by itself."""
+    parts = F.transform(F.slice(F.regexp_extract_all(version, F.lit(r"\d+"), F.lit(0)), 1, 3), lambda p: F.lpad(p, 12, "0"))
+    return F.when(F.size(parts) == 0, version).otherwise(F.array_join(F.concat(parts, F.array_repeat(F.lit("0" * 12), 3 - F.size(parts))), "."))
+
+
+def bare_hash(value: Column) -> Column:
+    """64 hexadecimal digits of a hash with or without ``sha256:`` before them; an error otherwise."""
+    found = F.regexp_extract(F.lower(F.trim(value)), r"^(?:sha256:)?([0-9a-f]{64})$", 1)
+    return F.when(value.isNull(), F.lit(None)).when(found == "", F.raise_error(F.concat(F.lit("not a SHA-256 hash: "), value))).otherwise(found)
+
+
+def stage_status(stage: Column, completed: Column, skipped: Column) -> Column:
+    return F.when(F.array_contains(completed, stage), "completed").when(F.array_contains(skipped, stage), "skipped").otherwise("not_completed")
+
+
+def frame_times(duration: Column, count: int) -> Column:
+    """Times of ``count`` frames spread over a duration, at least half a second apart."""
+    step = F.greatest(duration / count, F.lit(0.5))
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.round(i * step, 3)), lambda t: t < duration)

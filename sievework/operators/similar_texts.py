@@ -138,3 +138,47 @@ def near_duplicate_winners(documents: DataFrame, threshold: float = THRESHOLD, m
     winner = grouped.groupBy("component").agg(F.min_by("doc_id", F.struct(-F.col("n"), F.col("doc_id"))).alias("winner_id"))
     won = grouped.join(winner, "component").select("doc_id", "winner_id")
     return won.unionByName(keyed.where(F.length("t") < min_length).select("doc_id", F.col("doc_id").alias("winner_id")))
+
+
+FAMILY_SHINGLE, FAMILY_THRESHOLD = 7, 0.98
+
+
+def _same_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+            a, b = ({t[i : i + FAMILY_SHINGLE] for i in range(max(1, len(t) - FAMILY_SHINGLE + 1))} for t in (x, y))
+            keep.append(len(a & b) >= FAMILY_THRESHOLD * len(a | b))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("id_a", "id_b")], ["id_a", "id_b"])
+
+
+def content_families(sources: DataFrame, rounds: int = 100) -> DataFrame:
+    """``id, family`` by leader clustering in order of ``id``: a source joins the first earlier leader
+    whose 7-character shingles are similar by at least 0.98, else it leads a family of its own.
+
+    The order is kept without going through the sources one by one: in each round every source
+    without an undecided earlier neighbour leads, and its later neighbours join their first leader.
+    ``sources`` has ``id, text``; null texts give no row, equal texts share a leader.
+    """
+    rows = sources.where("id is not null and text is not null").select("id", T.normalized(F.col("text")).alias("t"))
+    keyed = written(rows.withColumn("k", F.struct(F.xxhash64("t").alias("x"), F.hash("t").alias("h"), F.length("t").alias("m"))), "texts")
+    first = written(keyed.groupBy("k").agg(F.min("id").alias("lead")), "leads")
+    texts = keyed.join(first, (keyed.k == first.k) & (keyed.id == first.lead), "left_semi").select("id", F.col("t").alias("text"))
+    near = written(similar_texts(texts, 0.9), "near")
+    both = near.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+    links = written(both.select("id_a", "id_b", "text_a", "text_b").mapInArrow(_same_family, "id_a bigint, id_b bigint"), "family-links")
+    leaders = None
+    open_links = links
+    for _ in range(rounds):
+        later = open_links.select("id_b").distinct()
+        leads = open_links.select(F.col("id_a").alias("id")).distinct().join(later.withColumnRenamed("id_b", "id"), "id", "left_anti")
+        joined = written(open_links.join(leads.withColumnRenamed("id", "id_a"), "id_a").groupBy("id_b").agg(F.min("id_a").alias("family")), "joined")
+        if joined.isEmpty():
+            break
+        leaders = joined if leaders is None else leaders.unionByName(joined)
+        gone = joined.select(F.col("id_b").alias("id")).unionByName(leads)
+        rest = open_links.join(gone.withColumnRenamed("id", "id_a"), "id_a", "left_anti").join(gone.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
+        open_links = written(rest, "family-links")
+    mapped = first.select("k", "lead") if leaders is None else first.join(leaders, first.lead == leaders.id_b, "left").select("k", F.coalesce("family", "lead").alias("lead"))
+    return keyed.join(mapped, "k").select("id", F.col("lead").alias("family"))

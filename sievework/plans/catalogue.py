@@ -627,3 +627,11 @@ def extraction_runs(spark, sf_dir):
 def json_props(spark, sf_dir):
     """Rows whose text parses as JSON."""
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.try_parse_json("props").isNotNull()).alias("with_json"))
+
+
+@query()
+def content_families(spark, sf_dir):
+    """Reprints of one text as families under their first source."""
+    from sievework.operators.similar_texts import content_families as families
+
+    return families(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))

@@ -212,3 +212,34 @@ def test_plans_push_filters_and_columns(spark, tmp_path):
     hits = spark.read.parquet(str(tmp_path / "h.parquet"))
     plan = search.first_wins(hits.where("hit_id > 0").select("url", "hit_id"), ["url"], ["hit_id"])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "GreaterThan(hit_id,0)" in plan and "other" not in plan and "title" not in plan
+
+
+def test_families_against_loop(spark):
+    from sievework.operators.similar_texts import content_families
+
+    rng = random.Random(8)
+    base = " ".join(f"word{rng.randrange(900)}" for _ in range(400))
+    texts = [(10, base)]
+    for i in range(11, 22):  # a chain of small edits: each is near its neighbours only
+        prev = texts[-1][1].split()
+        prev[rng.randrange(400)] = f"new{i}"
+        texts.append((i, " ".join(prev)))
+    texts += [(30, base.upper()), (31, "other text"), (32, None), (33, "x"), (34, "x")]
+    reps, want = [], {}
+    for i, t in sorted((i, t) for i, t in texts if t is not None):
+        t = " ".join(t.split()).lower()
+        s = {t[k : k + 7] for k in range(max(1, len(t) - 6))}
+        want[i] = next((r for r, u in reps if len(s & u) >= 0.98 * len(s | u)), i)
+        if want[i] == i:
+            reps.append((i, s))
+    got = {r.id: r.family for r in content_families(spark.createDataFrame(texts, "id bigint, text string")).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_more_scalars(spark):
+    df = spark.createDataFrame([("v1.10.2", "v1.9", "sha256:" + "A" * 64, "clean", ["clean"], 2.0)], "a string, b string, h string, s string, done array<string>, d double")
+    none = F.array().cast("array<string>")
+    r = df.select((T.version_key(F.col("a")) > T.version_key(F.col("b"))).alias("gt"), T.bare_hash(F.col("h")).alias("h"), T.stage_status(F.col("s"), F.col("done"), none).alias("st"), T.frame_times(F.col("d"), 10).alias("t")).first()
+    assert r.gt and r.h == "a" * 64 and r.st == "completed" and r.t == [0.0, 0.5, 1.0, 1.5]
+    with pytest.raises(Exception, match="not a SHA-256"):
+        df.select(T.bare_hash(F.col("a"))).collect()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.urls import page_key
-from sievework.llm.pages import exploded, leftover_pages, line_counts, written_page_lines
+from sievework.llm.pages import exploded, furniture_lines, leftover_pages, line_counts, written_page_lines
 from sievework.operators.similar_texts import THRESHOLD, similar_texts
 from sievework.session import written
 
@@ -34,10 +34,11 @@ def page_bodies(pages: DataFrame) -> DataFrame:
     counts = line_counts(lines)
     bad = written(leftover_pages(lines, counts), "leftovers")
     rows = lines.join(bad, "fetch_id", "left_anti")
-    # A line that density keeps but that recurs on its site is furniture; few pages have one.
-    kept = exploded(rows, "outside").where("not outside").join(counts.select("line_key"), "line_key", "left_semi")
+    # A line that density keeps but that recurs over articles of its site is furniture; few pages have one.
+    hot = furniture_lines(pages, lines, bad, counts)
+    kept = exploded(rows, "outside").where("not outside").join(hot, "line_key", "left_semi")
     changed = written(kept.select("fetch_id").distinct(), "changed")
-    again = exploded(rows.join(changed, "fetch_id", "left_semi"), "outside").join(counts.select("line_key", F.lit(True).alias("hot")), "line_key", "left")
+    again = exploded(rows.join(changed, "fetch_id", "left_semi"), "outside").join(hot.select("line_key", F.lit(True).alias("hot")), "line_key", "left")
     gone = again.where("outside or hot").groupBy("fetch_id").agg(F.collect_set("line_no").alias("gone"))
     redone = pages.select("fetch_id", "markdown").join(gone, "fetch_id").mapInArrow(_bodies, "fetch_id bigint, body string")
     bodies = rows.select("fetch_id", "body").join(changed, "fetch_id", "left_anti").unionByName(redone)

@@ -14,7 +14,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.urls import page_key
 from sievework.llm import page_text as T
+from sievework.operators.components import connected_components
+from sievework.operators.similar_texts import text_groups
 from sievework.session import spread, written
 
 #: A line is recurrent when at least so many pages of its site hold it.
@@ -152,6 +155,42 @@ def line_counts(pages: DataFrame, least: int = MIN_PAGES) -> DataFrame:
     return keys.groupBy("line_key").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
 
 
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fetch_id, markdown, gone -> id, text: in lower case without the lines ``gone``, white space runs as one space."""
+    for batch in batches:
+        out = []
+        for text, gone in zip(batch.column("markdown").to_pylist(), batch.column("gone").to_pylist()):
+            drop = set(gone)
+            out.append(" ".join("\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop]).split()).lower())
+        yield pa.RecordBatch.from_arrays([batch.column("fetch_id"), pa.array(out, pa.string())], ["id", "text"])
+
+
+def furniture_lines(pages: DataFrame, lines: DataFrame, bad: DataFrame, counts: DataFrame, least: int = MIN_PAGES) -> DataFrame:
+    """``line_key`` of lines that density keeps on some page and that are furniture all the same: at
+    least ``least`` different articles of the site hold them.
+
+    Copies of one article, however many, are one article: pages with similar bodies
+    (:func:`sievework.operators.similar_texts.text_groups`) or with one URL. Titles do not count,
+    since a site may put its own name there. Only pages that hold such a line are read again.
+    """
+    each = exploded(lines, "outside")
+    kept = each.where("not outside").join(bad, "fetch_id", "left_anti").select("line_key").distinct()
+    often = written(kept.join(counts.select("line_key"), "line_key", "left_semi"), "kept-recurrent")
+    if often.isEmpty():
+        return often
+    held = written(each.where("first").join(often, "line_key", "left_semi").select("fetch_id", "line_key"), "held")
+    ids = held.select("fetch_id").distinct()
+    gone = lines.join(ids, "fetch_id", "left_semi").select("fetch_id", F.expr("transform(filter(arrays_zip(line_no, outside), x -> x.outside), x -> x.line_no)").alias("gone"))
+    read = pages.select("fetch_id", "url", "markdown").where(F.col("markdown").rlike(r"(?U)\S")).join(gone, "fetch_id")
+    bodies = read.select("fetch_id", "markdown", "gone").mapInArrow(_inside, "id bigint, text string").where("text <> ''").dropDuplicates(["id"])
+    same_url = read.where("trim(url) <> ''").select("fetch_id", F.xxhash64(page_key(F.col("url"))).alias("u"))
+    first = same_url.groupBy("u").agg(F.min("fetch_id").alias("b"))
+    edges = text_groups(bodies).select(F.col("id").alias("a"), F.col("group").alias("b")).unionByName(same_url.join(first, "u").select(F.col("fetch_id").alias("a"), "b"))
+    article = connected_components(edges).withColumnRenamed("id", "fetch_id")
+    votes = held.join(article, "fetch_id", "left").groupBy("line_key").agg(F.count_distinct(F.coalesce("component", "fetch_id")).alias("articles"))
+    return written(votes.where(F.col("articles") >= least).select("line_key"), "furniture")
+
+
 def leftover_pages(pages: DataFrame, counts: DataFrame, share: float = BOILERPLATE_SHARE, min_prose: int = MIN_PROSE) -> DataFrame:
     """``fetch_id`` of pages that hold leftovers or notices where content should be.
 

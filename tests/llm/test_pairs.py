@@ -7,6 +7,7 @@ import pytest
 from sievework.llm import leakage as L
 from sievework.llm import names as N
 from sievework.llm.near_duplicates import near_duplicate_pairs
+from sievework.llm.web_pages import boilerplate_lines
 
 HIT = "hit_id bigint, url string, k string, id_a bigint"
 
@@ -33,6 +34,24 @@ def test_pairs_against_brute_force(spark, pages):
     assert got == want | {("hit", 1, 2)}
 
 
+def test_large_group_of_copies_on_one_site(spark, pages):
+    rng = random.Random(3)
+    base = [" ".join(words(40 + k, 40)) + "." for k in range(6)]
+    rows = []
+    for i in range(9):
+        paras = list(base)
+        if i > 3:  # near copies: one word of one paragraph
+            k = rng.randrange(6)
+            paras[k] = paras[k].replace(" ", f" edit{i} ", 1)
+        rows.append((i, "s.example", "# The one story\n\n" + "\n\n".join(paras)))
+    note = "The editors of this site keep a list of what they have corrected, and it is long."
+    rows += [(100 + i, "s.example", f"# Story {chr(97 + i) * 3}\n\n" + " ".join(words(200 + i, 120)) + f".\n\n{note}\n\n" + " ".join(words(300 + i, 120)) + ".") for i in range(7)]
+    hits = spark.createDataFrame([], HIT)
+    got = {tuple(r) for r in near_duplicate_pairs(pages(rows), hits).collect()}
+    assert got == {("fetch", a, b) for a in range(9) for b in range(9) if a < b}
+    assert {tuple(r) for r in boilerplate_lines(pages(rows)).collect()} == {(100 + i, 4) for i in range(7)}
+
+
 PROFILE = "profile_id bigint, name string, name_en string, aliases array<string>, institutions array<string>, keywords array<string>, cluster string"
 
 

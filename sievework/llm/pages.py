@@ -22,9 +22,9 @@ from sievework.session import spread, written
 
 #: A line is recurrent when at least so many pages of its site hold it.
 MIN_PAGES = 6
-#: A recurrent line is boilerplate that says nothing about a page when it stands in this share of
-#: the site's pages; rarer ones, such as one error text of a large site, still count as evidence.
-BOILERPLATE_SHARE = 0.02
+#: A recurrent line is boilerplate that says nothing about a page when this share of the pages that
+#: hold it are articles beside it; an error text, which stands alone on most, still counts as evidence.
+BOILERPLATE_SHARE = 0.5
 #: A page with evidence of leftovers is excluded unless so much prose (weighted characters) is left.
 MIN_PROSE = 120
 
@@ -194,21 +194,23 @@ def furniture_lines(pages: DataFrame, lines: DataFrame, bad: DataFrame, counts:
 def leftover_pages(pages: DataFrame, counts: DataFrame, share: float = BOILERPLATE_SHARE, min_prose: int = MIN_PROSE) -> DataFrame:
     """``fetch_id`` of pages that hold leftovers or notices where content should be.
 
-    Lines are counted by host; those that recur in ``share`` of the host's pages (and in
-    ``counts``) are boilerplate and are subtracted. A page is excluded when a line of the rest is
-    evidence (unfilled placeholder, filler text, error or access notice, call to switch on scripts)
-    and less than ``min_prose`` weighted characters of prose are left beside it.
+    A recurring line is boilerplate and is subtracted when at least ``MIN_PAGES`` pages, and at least
+    ``share`` of all pages that hold it, have ``min_prose`` weighted characters of prose of their own
+    (lines that do not recur) beside it. A notice that recurs where nothing else stands stays
+    evidence, however often it does. A page is excluded when a line of the rest is evidence (unfilled
+    placeholder, filler text, error or access notice, call to switch on scripts) and less than
+    ``min_prose`` weighted characters of prose are left beside it.
     """
-    sizes = pages.groupBy("site").agg(F.count("*").alias("site_pages"))
     lines = exploded(pages.where("evident"), "evidence", "prose")
-    boiler = counts.select("line_key", "pages")
-    rest = (
-        lines.join(boiler, "line_key", "left")
-        .join(sizes, "site")
-        .withColumn("boilerplate", F.coalesce(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("site_pages") * share)), F.lit(False)))
-    )
-    by_page = rest.groupBy("fetch_id").agg(
-        F.max(F.when(~F.col("boilerplate"), F.col("evidence")).otherwise(0)).alias("evidence"),
-        F.sum(F.when(~F.col("boilerplate"), F.col("prose")).otherwise(0)).alias("prose"),
-    )
+    often = lines.where("evidence > 0 or prose > 0").select("line_key").distinct().join(counts.select("line_key"), "line_key", "left_semi")
+    often = written(often, "evident-recurrent")
+    rest = lines
+    if not often.isEmpty():
+        held = written(exploded(pages).where("first").join(often, "line_key", "left_semi").select("fetch_id", "line_key"), "evident-held")
+        beside = exploded(pages.join(held.select("fetch_id").distinct(), "fetch_id", "left_semi"), "prose").where("prose > 0")
+        own = beside.join(counts.select("line_key"), "line_key", "left_anti").groupBy("fetch_id").agg(F.sum("prose").alias("own")).where(F.col("own") >= min_prose)
+        of_line = held.join(own, "fetch_id", "left").groupBy("line_key").agg(F.count("*").alias("n"), F.count("own").alias("articles"))
+        boiler = of_line.where((F.col("articles") >= MIN_PAGES) & (F.col("articles") >= F.col("n") * share)).select("line_key")
+        rest = lines.join(boiler, "line_key", "left_anti")
+    by_page = rest.groupBy("fetch_id").agg(F.max("evidence").alias("evidence"), F.sum("prose").alias("prose"))
     return by_page.where((F.col("evidence") > 0) & (F.col("prose") < min_prose)).select("fetch_id")

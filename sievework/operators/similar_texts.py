@@ -170,12 +170,34 @@ def _same_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("id_a", "id_b")], ["id_a", "id_b"])
 
 
-def content_families(sources: DataFrame, rounds: int = 100) -> DataFrame:
+def first_leaders(links: DataFrame) -> DataFrame | None:
+    """``id_b, family``: what leader clustering in order of id gives for links ``id_a < id_b``; a
+    source not listed leads. None without links.
+
+    In each round every source whose earlier neighbours are all out leads, and a source joins its
+    least leader when no undecided neighbour precedes that one. The least open source is decided in
+    every round, so the loop ends; a chain of n revisions takes n / 2 rounds.
+    """
+    leaders, open_links = None, links.withColumn("led", F.lit(False))
+    while not open_links.isEmpty():
+        later = open_links.select(F.col("id_b").alias("id_a")).distinct().withColumn("later", F.lit(True))
+        marked = written(open_links.join(later, "id_a", "left").select("id_a", "id_b", (F.col("led") | F.col("later").isNull()).alias("led")), "family-marked")
+        least = marked.groupBy("id_b").agg(F.min(F.when(F.col("led"), F.col("id_a"))).alias("family"), F.min(F.when(~F.col("led"), F.col("id_a"))).alias("undecided"))
+        joined = written(least.where("family is not null and (undecided is null or family < undecided)").select("id_b", "family"), "joined")
+        if joined.isEmpty():
+            raise RuntimeError("leader clustering stands still with links open")
+        leaders = joined if leaders is None else leaders.unionByName(joined)
+        gone = joined.select("id_b")
+        rest = marked.join(gone, "id_b", "left_anti").join(gone.withColumnRenamed("id_b", "id_a"), "id_a", "left_anti")
+        open_links = written(rest.select("id_a", "id_b", "led"), "family-links")
+    return leaders
+
+
+def content_families(sources: DataFrame) -> DataFrame:
     """``id, family`` by leader clustering in order of ``id``: a source joins the first earlier leader
     whose 7-character shingles are similar by at least 0.98, else it leads a family of its own.
 
-    The order is kept without going through the sources one by one: in each round every source
-    without an undecided earlier neighbour leads, and its later neighbours join their first leader.
+    The order is kept without going through the sources one by one: see :func:`first_leaders`.
     ``sources`` has ``id, text``; null texts give no row, equal texts share a leader.
     """
     rows = sources.where("id is not null and text is not null").select("id", T.normalized(F.col("text")).alias("t"))
@@ -185,17 +207,6 @@ def content_families(sources: DataFrame, rounds: int = 100) -> DataFrame:
     near = written(similar_texts(texts, 0.9), "near")
     both = near.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
     links = written(both.select("id_a", "id_b", "text_a", "text_b").mapInArrow(_same_family, "id_a bigint, id_b bigint"), "family-links")
-    leaders = None
-    open_links = links
-    for _ in range(rounds):
-        later = open_links.select("id_b").distinct()
-        leads = open_links.select(F.col("id_a").alias("id")).distinct().join(later.withColumnRenamed("id_b", "id"), "id", "left_anti")
-        joined = written(open_links.join(leads.withColumnRenamed("id", "id_a"), "id_a").groupBy("id_b").agg(F.min("id_a").alias("family")), "joined")
-        if joined.isEmpty():
-            break
-        leaders = joined if leaders is None else leaders.unionByName(joined)
-        gone = joined.select(F.col("id_b").alias("id")).unionByName(leads)
-        rest = open_links.join(gone.withColumnRenamed("id", "id_a"), "id_a", "left_anti").join(gone.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
-        open_links = written(rest, "family-links")
+    leaders = first_leaders(links)
     mapped = first.select("k", "lead") if leaders is None else first.join(leaders, first.lead == leaders.id_b, "left").select("k", F.coalesce("family", "lead").alias("lead"))
     return keyed.join(mapped, "k").select("id", F.col("lead").alias("family"))

@@ -236,6 +236,13 @@ def test_families_against_loop(spark):
     assert got == want and len(set(want.values())) > 3
 
 
+def test_first_leaders_keep_the_order(spark):
+    from sievework.operators.similar_texts import first_leaders
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 5), (4, 5)], "id_a bigint, id_b bigint")
+    assert {tuple(r) for r in first_leaders(links).collect()} == {(2, 1), (5, 3)}
+
+
 def test_more_scalars(spark):
     df = spark.createDataFrame([("v1.10.2", "v1.9", "sha256:" + "A" * 64, "clean", ["clean"], 2.0)], "a string, b string, h string, s string, done array<string>, d double")
     none = F.array().cast("array<string>")

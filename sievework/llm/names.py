@@ -142,6 +142,27 @@ def same_name(a: list[str], b: list[str]) -> bool:
     return False
 
 
+def close_name(a: list[str], b: list[str]) -> bool:
+    """As ``same_name``, where no context speaks for it: every word of the shorter name is one of the
+    other up to one edit, an initial, or a short form."""
+    if not same_name(a, b):
+        return False
+
+    def fits(x: str, y: str) -> bool:
+        if x[0] == y[0] and 1 in (len(x), len(y)):
+            return True
+        short, long = sorted((x, y), key=len)
+        stem = re.sub(r"(?:ie|y|i|o|ey|ee|a)$", "", short)
+        return edits(_phonetic(x), _phonetic(y), 1) <= 1 or 2 <= len(stem) < len(short) and long.startswith(stem)
+
+    a, b = sorted((a, b), key=len)
+    return all(any(fits(x, y) for y in b) for x in a)
+
+
+def _person_text(words: list[str]) -> str:
+    return " ".join(sorted(_phonetic(w) or w for w in words if len(w) > 1)) or " ".join(words)
+
+
 def _keyed(kind: str):
     """id, raw -> id, raw, text (what the n-grams are taken of), key (for the exact check)."""
 
@@ -155,7 +176,7 @@ def _keyed(kind: str):
                     key.append(k + "|" + rest)
                 else:
                     words = person_tokens(raw)
-                    text.append(" ".join(sorted(_phonetic(w) or w for w in words if len(w) > 1)) or " ".join(words))
+                    text.append(_person_text(words))
                     key.append(" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("raw"), pa.array(text, pa.string()), pa.array(key, pa.string())], ["raw", "text", "key"])
 
@@ -173,12 +194,22 @@ def org_match(a: str, b: str) -> bool:
     return bool(ra) and near_word(ra, rb)
 
 
+def _gram_text(key):
+    """What the n-grams of a person's spelling (its words) are taken of."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda k: _person_text(k.split()))
+
+    return F.pandas_udf(run, "string")(key)
+
+
 def _checked(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("key_a").to_pylist(), batch.column("key_b").to_pylist()):
-                keep.append(org_match(a, b) if kind == "org" else same_name(a.split(), b.split()))
+                keep.append(org_match(a, b) if kind == "org" else (close_name if kind == "close" else same_name)(a.split(), b.split()))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -308,7 +339,7 @@ def person_links(profiles: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataF
 
 def person_clusters(profiles: DataFrame, orgs: DataFrame) -> DataFrame:
     """``profile_id, person``. A profile without institutions that no keyword links is given to the
-    one person of its name when there is only one such person."""
+    one person of its name, or else of a variant of its name, when there is only one such person."""
     links, with_key, named, member = person_links(profiles, orgs)
     about = with_key.groupBy("profile_id").agg(F.collect_set("key").alias("keys")).join(member.groupBy("profile_id").agg(F.collect_set("ctx").alias("orgs")), "profile_id", "left")
     about = about.select(F.col("profile_id").alias("id"), "keys", F.coalesce("orgs", F.array().cast("array<string>")).alias("orgs"))
@@ -325,7 +356,47 @@ def person_clusters(profiles: DataFrame, orgs: DataFrame) -> DataFrame:
     given = alone.join(least, "k").groupBy("profile_id").agg(
         F.min("cluster").alias("cluster"), F.max("other").alias("other"), F.min("least").alias("least")
     ).select("profile_id", F.when(F.col("cluster") == F.col("other"), F.col("cluster")).when(F.col("cluster").isNull(), F.col("least")).alias("moved"))
-    return clusters.join(given, "profile_id", "left").select("profile_id", F.coalesce("moved", "cluster").alias("person"))
+    people = written(clusters.join(given, "profile_id", "left").select("profile_id", F.coalesce("moved", "cluster").alias("person")), "given")
+    # A profile whose exact name settles nothing looks for the one person of a variant of its name.
+    exact = homes.select("k").join(full, "k").select("profile_id").distinct()
+    lost = written(open_ids.join(exact, "profile_id", "left_anti"), "lost")
+    if lost.isEmpty():
+        return people
+    return _with_variants(people, lost, with_key, profiles)
+
+
+def _with_variants(people: DataFrame, lost: DataFrame, with_key: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``profile_id, person`` where the people of ``lost`` profiles join the one person whose
+    spellings can be theirs, whatever the context; of several, the one that shares a research field.
+    Spellings are compared once, however many profiles write them."""
+    keys = with_key.select("key").distinct().withColumn("text", _gram_text(F.col("key"))).where("text <> ''").withColumn("id", F.xxhash64("text"))
+    keys = written(keys, "all-spellings")
+    sought = with_key.join(lost, "profile_id", "left_semi").select("key").distinct()
+    vectors = written(ngram_vectors(keys.select("id", "text").dropDuplicates(["id"])), "vectors")
+    near = cosine_pairs(vectors, PERSON_COSINE, among=keys.join(sought, "key", "left_semi").select("id"))
+    each = keys.select("id").distinct().select(F.col("id").alias("x"), F.col("id").alias("y"))
+    both = near.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(near.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))).unionByName(each)
+    pairs = both.join(keys.join(sought, "key", "left_semi").select(F.col("id").alias("x"), F.col("key").alias("key_a")), "x").join(keys.select(F.col("id").alias("y"), F.col("key").alias("key_b")), "y")
+    fits = pairs.select("key_a", "key_b", F.lit(1.0).alias("cosine")).mapInArrow(_checked("close"), "key_a string, key_b string, cosine double").select("key_a", "key_b")
+    of_key = written(with_key.join(people, "profile_id").select("key", "person").distinct(), "key-persons")
+    own = people.join(lost, "profile_id", "left_semi").select(F.col("person").alias("own")).distinct()
+    from_ = own.join(of_key, of_key.person == own.own).select("own", F.col("key").alias("key_a"))
+    # A name in full is not known by a person's initials where that person is also written in full.
+    in_full = lambda c: ~F.col(c).rlike("(^| )[^ ]( |$)")
+    written_out = of_key.where(in_full("key")).select("person").distinct().withColumn("full", F.lit(True))
+    found = from_.join(fits, "key_a").join(of_key.withColumnRenamed("key", "key_b"), "key_b").where("own <> person").join(written_out, "person", "left")
+    met = written(found.where(~in_full("key_a") | in_full("key_b") | F.col("full").isNull()).select("own", "person").distinct(), "variants")
+    fields = F.explode("research_fields") if "research_fields" in profiles.columns else F.lit(None).cast("string")
+    topic = profiles.select("profile_id", fields.alias("f")).where("trim(f) <> ''").join(people, "profile_id").select("person", F.lower(F.trim("f")).alias("f")).distinct()
+    shared = met.join(topic.withColumnRenamed("person", "own"), "own").join(topic, ["person", "f"]).select("own", "person", F.lit(1).alias("shares")).distinct()
+    one = met.join(shared, ["own", "person"], "left").groupBy("own").agg(F.count("*").alias("n"), F.count("shares").alias("m"), F.min("person").alias("only"), F.min(F.when(F.col("shares") == 1, F.col("person"))).alias("best"))
+    goal = one.select("own", F.when(F.col("n") == 1, F.col("only")).when(F.col("m") == 1, F.col("best")).alias("goal")).where("goal is not null")
+    # Two lost people join where each is the other's goal; no chain goes through a lost one.
+    goal = written(goal, "goals")
+    back = goal.select(F.col("own").alias("goal"), F.col("goal").alias("own"))
+    settled = goal.join(own.select(F.col("own").alias("goal")), "goal", "left_anti").select("own", "goal")
+    comp = settled.unionByName(goal.join(back, ["own", "goal"], "left_semi").where("own > goal").select("own", "goal")).select(F.col("own").alias("person"), F.col("goal").alias("component"))
+    return people.join(comp, "person", "left").select("profile_id", F.coalesce("component", "person").alias("person"))
 
 
 def pairs_of(members: DataFrame, kind: str) -> DataFrame:

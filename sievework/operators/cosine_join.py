@@ -20,13 +20,14 @@ def ngram_vectors(names: DataFrame, size: int = 3) -> DataFrame:
     ).select("id", F.expr("transform(vec, v -> struct(v.gram as gram, v.w / norm as w))").alias("vec"))
 
 
-def cosine_pairs(vectors: DataFrame, least: float, blocks: DataFrame | None = None) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, least: float, blocks: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
     """``id_a < id_b, cosine`` of all pairs of unit vectors with cosine of at least ``least``.
 
     Features come from rare to frequent. A vector's prefix ends where the rest has a norm below
     ``least``; the rarest feature that such a pair shares lies in both prefixes, so joining the
     prefixes loses no pair, and the exact product is taken on the pairs found. With ``blocks``
-    (``id, block``) only pairs with a block in common count, and blocks are split by feature.
+    (``id, block``) only pairs with a block in common count, and blocks are split by feature. With
+    ``among`` (``id``) only pairs count of which at least one is listed there.
     """
     prefixed = vectors.withColumn(
         "cut",
@@ -38,7 +39,11 @@ def cosine_pairs(vectors: DataFrame, least: float, blocks: DataFrame | None = No
     if blocks is not None:
         prefixed = prefixed.join(blocks.select("id", "block").distinct(), "id")
     a, b = prefixed.select(F.col("id").alias("id_a"), *on), prefixed.select(F.col("id").alias("id_b"), *on)
-    pairs = a.join(b, on).where("id_a < id_b").select("id_a", "id_b").distinct()
+    if among is None:
+        pairs = a.join(b, on).where("id_a < id_b").select("id_a", "id_b").distinct()
+    else:
+        listed = a.join(among.select(F.col("id").alias("id_a")).distinct(), "id_a", "left_semi")
+        pairs = listed.join(b, on).where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
     maps = vectors.select("id", F.map_from_entries(F.expr("transform(vec, v -> struct(v.gram, v.w))")).alias("m"))
     both = pairs.join(maps.select(F.col("id").alias("id_a"), F.col("m").alias("x")), "id_a").join(maps.select(F.col("id").alias("id_b"), F.col("m").alias("y")), "id_b")
     dot = F.expr("aggregate(map_keys(x), 0D, (s, k) -> s + x[k] * coalesce(try_element_at(y, k), 0D))")

@@ -74,6 +74,21 @@ def test_spellings(spark):
     assert {(a, b) for k, a, b in got if k == "person"} == {(a, b) for a in (1, 2, 3, 5, 6) for b in (1, 2, 3, 5, 6) if a < b}
 
 
+def test_variants_without_context(spark):
+    rows = [
+        (1, "Corlin Veldukador", None, [], ["University of Lorvomir"], ["tides"], ["optics"], ""),
+        (2, "Corlin Veldukadro", None, [], [], ["alone"], [], ""),  # typing
+        (3, "C. Veldukador", None, None, None, None, None, ""),  # initial
+        (4, "Banon Brethom", None, [], ["University of Lorvomir"], ["a"], ["optics"], ""),
+        (5, "Banon Brethom", None, [], ["Zelnevol Institute of Technology"], ["b"], ["tides"], ""),
+        (6, "Banon K. Brethmo", None, [], [], ["c"], ["Tides"], ""),  # two people: the research field tells
+        (7, "B. Brethom", None, [], [], ["d"], [], ""),  # two people, nothing tells
+    ]
+    schema = PROFILE.replace("cluster", "research_fields array<string>, cluster")
+    got = {tuple(r) for r in N.variant_pairs(spark.createDataFrame(rows, schema), spark.createDataFrame([], "name_id bigint, raw_name string")).collect()}
+    assert got == {("person", 1, 2), ("person", 1, 3), ("person", 2, 3), ("person", 5, 6)}
+
+
 def test_no_profiles(spark):
     assert N.variant_pairs(spark.createDataFrame([], PROFILE), spark.createDataFrame([], "name_id bigint, raw_name string")).count() == 0
 
@@ -83,6 +98,11 @@ def test_same_name(a, b, same):
     assert N.same_name(a.split(), b.split()) is same
 
 
+@pytest.mark.parametrize("a,b,same", [("fennek cormikador", "fennek yarmikador", False), ("corlin veldukador", "veldukadro corlin", True), ("sori matikador", "sorkara mtikador", True), ("anton baker", "a baker", True)])
+def test_close_name(a, b, same):
+    assert N.close_name(a.split(), b.split()) is same
+
+
 def test_edits():
     assert [N.edits(*x, 2) for x in (("abcd", "abdc"), ("abcd", "abcd"), ("abcd", "axcd"), ("abcd", "xyz"), ("a", "abcde"))] == [1, 0, 1, 3, 3]
 

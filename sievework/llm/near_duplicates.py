@@ -9,40 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.urls import page_key
-from sievework.llm.pages import exploded, furniture_lines, leftover_pages, line_counts, written_page_lines
+from sievework.llm.pages import analysed_pages, leftover_pages, one_page_each, readable
 from sievework.operators.similar_texts import THRESHOLD, similar_texts
 from sievework.session import written
 
-def normal_body(lines: list[str]) -> str:
-    return " ".join("\n".join(lines).split()).lower()
-
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fetch_id, url, site, markdown, gone -> fetch_id, body: without the lines ``gone``."""
+    """fetch_id, markdown, gone -> fetch_id, body: without the lines ``gone``, in lower case and with
+    white space runs as one space."""
     for batch in batches:
         bodies = []
         for text, gone in zip(batch.column("markdown").to_pylist(), batch.column("gone").to_pylist()):
-            drop = set(gone or ())
-            bodies.append(normal_body([x for i, x in enumerate(text.split("\n")) if i not in drop]))
+            drop = set(gone)
+            bodies.append(" ".join("\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop]).split()).lower())
         yield pa.RecordBatch.from_arrays([batch.column("fetch_id"), pa.array(bodies, pa.string())], ["fetch_id", "body"])
 
 
 def page_bodies(pages: DataFrame) -> DataFrame:
     """``fetch_id, body``: main body of each page in lower case with white space runs as one space.
-    Blank pages, leftover pages and pages with an empty body give no row."""
-    lines = written_page_lines(pages, bodies=True)
-    counts = line_counts(lines)
-    bad = written(leftover_pages(lines, counts), "leftovers")
-    rows = lines.join(bad, "fetch_id", "left_anti")
-    # A line that density keeps but that recurs over articles of its site is furniture; few pages have one.
-    hot = furniture_lines(pages, lines, bad, counts)
-    kept = exploded(rows, "outside").where("not outside").join(hot, "line_key", "left_semi")
-    changed = written(kept.select("fetch_id").distinct(), "changed")
-    again = exploded(rows.join(changed, "fetch_id", "left_semi"), "outside").join(hot.select("line_key", F.lit(True).alias("hot")), "line_key", "left")
-    gone = again.where("outside or hot").groupBy("fetch_id").agg(F.collect_set("line_no").alias("gone"))
-    redone = pages.select("fetch_id", "markdown").join(gone, "fetch_id").mapInArrow(_bodies, "fetch_id bigint, body string")
-    bodies = rows.select("fetch_id", "body").join(changed, "fetch_id", "left_anti").unionByName(redone)
-    return bodies.where("body <> ''")
+    Blank pages, leftover pages and pages with an empty body give no row. Texts are moved once, to the
+    numbers of the lines they lose."""
+    analysed = analysed_pages(pages)
+    good = analysed.join(leftover_pages(analysed), "fetch_id", "left_anti")
+    gone = good.select("fetch_id", F.expr("transform(filter(arrays_zip(line_no, outside), x -> x.outside), x -> x.line_no)").alias("gone"))
+    rows = readable(one_page_each(pages)).select("fetch_id", "markdown").join(gone, "fetch_id")
+    return rows.select("fetch_id", "markdown", "gone").mapInArrow(_bodies, "fetch_id bigint, body string").where("body <> ''")
 
 
 def similar_pages(pages: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -58,6 +49,12 @@ def similar_pages(pages: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     return classes, similar_texts(texts, threshold)
 
 
+def _hit_keys(hits: DataFrame) -> DataFrame:
+    """``hit_id, k, h``: two hashes of the page that each URL addresses; one row per id and page."""
+    key = page_key(F.col("url"))
+    return hits.where("url is not null and hit_id is not null").select("hit_id", F.xxhash64(key).alias("k"), F.hash(key).alias("h")).distinct()
+
+
 def near_duplicate_pairs(pages: DataFrame, hits: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``record_kind, id_a, id_b``: pages that are slightly changed copies, and hits whose URLs
     address one page. Null URLs, blank and leftover pages take no part; each pair is listed once."""
@@ -67,7 +64,21 @@ def near_duplicate_pairs(pages: DataFrame, hits: DataFrame, threshold: float = T
     b = classes.select(F.col("class_id").alias("id_b"), F.col("fetch_id").alias("y"))
     found = equal.join(a, "id_a").join(b, "id_b").where("id_a <> id_b or x < y")
     fetch = found.select(F.lit("fetch").alias("record_kind"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    keyed = hits.where("url is not null and hit_id is not null").select("hit_id", F.xxhash64(page_key(F.col("url"))).alias("k"), F.hash(page_key(F.col("url"))).alias("h"))
-    shared = keyed.distinct()
+    shared = _hit_keys(hits)
     hit = shared.select(F.col("hit_id").alias("id_a"), "k", "h").join(shared.select(F.col("hit_id").alias("id_b"), "k", "h"), ["k", "h"]).where("id_a < id_b")
     return fetch.distinct().unionByName(hit.select(F.lit("hit").alias("record_kind"), "id_a", "id_b"))
+
+
+def near_duplicate_classes(pages: DataFrame, hits: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``record_kind, id, class_id, links``: one row per record that takes part, its group of copies
+    named by the least id of equal records, and the number of other groups that are similar to it. The
+    whole of :func:`near_duplicate_pairs` without writing out the pairs within a group."""
+    classes, similar = similar_pages(pages, threshold)
+    similar = written(similar, "similar")
+    ends = similar.select(F.col("id_a").alias("class_id")).unionByName(similar.select(F.col("id_b").alias("class_id")))
+    fetch = classes.join(ends.groupBy("class_id").agg(F.count("*").alias("links")), "class_id", "left")
+    fetch = fetch.select(F.lit("fetch").alias("record_kind"), F.col("fetch_id").alias("id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    keyed = _hit_keys(hits)
+    least = keyed.groupBy("k", "h").agg(F.min("hit_id").alias("class_id"))
+    hit = keyed.join(least, ["k", "h"]).select(F.lit("hit").alias("record_kind"), F.col("hit_id").alias("id"), "class_id", F.lit(0).cast("bigint").alias("links"))
+    return fetch.unionByName(hit)

@@ -1,14 +1,9 @@
-"""Line and block analysis of Markdown pages: what each line is, and where the main body lies.
+"""Line analysis of Markdown pages and the density tree that finds a page's main body.
 
-Pure Python on one page at a time; the Spark side is in :mod:`sievework.llm.pages`.
-
-The main body is found by composite text density. A page is a small DOM: the body holds runs of
-lines between blank lines (``div``), a run holds blocks (heading, paragraph, list, table, code,
-quote, row of links), a block holds lines, and every Markdown mark counts as a tag. Characters in
-links, and characters of lines that are recognisable furniture, count as link characters, so the
-density of menus, consent notices and link lists falls towards zero. The subtree with the largest
-sum of densities is the main body; runs outside it stay only when their density reaches the
-threshold given by the path from that subtree to the body.
+Pure Python on one page at a time; the Spark side is in :mod:`sievework.llm.pages`. No phrase of site
+furniture is listed here: what belongs to a site is learned from its pages (lines, labels and headings
+of link blocks that recur over different articles), and what links is read from the links. The only
+phrases are those of notices and placeholders, which problem 7 has to know.
 """
 
 from __future__ import annotations
@@ -17,76 +12,16 @@ import math
 import re
 from functools import lru_cache
 
+import ahocorasick
+
 # --- line kinds -----------------------------------------------------------------------------
-NONE, PROSE, HEAD, ITEM, TABLE, CODE, IMAGE, QUOTE = range(8)
-NAV, CRUMB, CONSENT, BYLINE, SHARE, ADVERT, TAGS, PROMO, RELATED_HEAD, RELATED_ITEM, LEGAL = range(20, 31)
-FURNITURE = 20
+NONE, PROSE, HEAD, ITEM, TABLE, CODE, IMAGE, QUOTE, TITLE = range(9)
 
-# --- evidence of leftovers and notices (bits) -----------------------------------------------
-EV_PLACEHOLDER, EV_FILLER, EV_ERROR, EV_SCRIPT, EV_WEAK = 1, 2, 4, 8, 16
-
-# Words and phrases of site furniture in five languages. Matched against a whole
-# line in lower case with digit runs as 0 and Markdown marks taken off.
-NAV_WORDS = frozenset(
-    """home|news|about|about us|people|team|events|events-list|topics|contact|contact us|search|help|podcasts|data
-    |research|login|log in|sign in|sign up|register|subscribe|archive|archives|menu|blog|faq|sitemap|jobs|careers|press|media|shop|newsletter
-    |accueil|actualités|à propos|à-propos|équipe|agenda|dossiers|thèmes|recherche|aide|connexion|contact|données|abonnement|abonnements
-    |s'abonner|archives|podcasts|études|presse|rubriques
-    |startseite|nachrichten|über-uns|über uns|termine|themen|kontakt|suche|hilfe|daten|forschung|anmelden|abo|archiv|podcasts|team|presse|menü
-    |inicio|noticias|suscripción|investigación|temas|contacto|datos|agenda|acceso|acceder|ayuda|buscar|archivo|equipo|quiénes-somos
-    |quiénes somos|nosotros|sobre nosotros|pódcast|podcasts|entrar|estudios|eventos|acerca-de|acerca de
-    |首页|新闻中心|关于我们|团队介绍|活动日历|研究专题|联系方式|站内搜索|搜索|帮助|登录账号|登录|订阅服务|资料档案|数据下载|播客节目|音频节目|新闻|关于|联系|订阅|播客"""
-    .replace("\n", "").replace("    ", "").split("|")
-)
+# --- what the site's pages say about a line (bits) --------------------------------------------
+RECURS, HEADS, LABELLED, SIGNED = 1, 2, 4, 8
 
-_FURNITURE_PATTERNS = (
-    (CONSENT, r"""
-        .*\bcookies?\b.* | .*privacy matters to.* | .*small files on your device.* | (?:manage|review|change)\ (?:consent|cookies|settings|choices)
-        | (?:accept|allow|reject|decline)(?:\ (?:all|optional|everything))? | only\ (?:necessary|essential)(?:\ cookies)? | necessary\ only
-        | .*respecte\ votre\ vie\ privée.* | tout\ (?:accepter|refuser) | continuer\ sans\ accepter | (?:gérer|régler)\ mes\ choix | refuser | .*petits\ fichiers\ sur\ votre\ appareil.*
-        | .*achtet\ auf\ ihre\ daten.* | alle\ (?:annehmen|akzeptieren|ablehnen) | nur\ notwendige | einstellungen\ verwalten | ablehnen | .*kleine\ dateien\ auf\ ihrem\ gerät.*
-        | .*cuidamos\ sus\ datos.* | configurar | aceptar(?:\ todo|\ todas)? | rechazar(?:\ todo|\ todas)? | solo\ (?:lo\ |las\ )?necesari[ao]s? | (?:gestionar|configurar|administrar)\ .{0,30}(?:opciones|consentimiento|preferencias|ajustes)
-        | .*使用缓存文件.* | .*重视您的隐私.* | 全部(?:接受|拒绝) | 仅限必要 | 管理设置 | 拒绝(?:可选)? | 接受 | .*在您的设备.*存储.*"""),
-    (NAV, r"""
-        skip\ to\ (?:main\ )?content | aller\ au\ contenu | zum\ inhalt\ springen | ir\ al\ contenido | 跳到正文 | 跳至正文 | back\ to\ top | go\ to\ top"""),
-    (BYLINE, r"""
-        (?:by|written\ by|posted\ by|par|von|por|作者|文)[\ :：]\ ?[^.!?。]{2,90}
-        | (?:published|updated|publié|mis\ à\ jour|veröffentlicht|aktualisiert|publicado|actualizado|发布(?:于|时间)?|更新(?:于|时间)?)[\ :：].{0,60}
-        | 0[-/.]0[-/.]0(?:\ 0:0)? | 0年0月0日(?:\ 0:0)?
-        | [^.!?。|]{3,60}\ [·|•]\ 0[-/.]0[-/.]0(?:\ 0:0(?::0)?)?"""),
-    (SHARE, r"""
-        (?:shared|partagé|compartido|已分享)\ ?0\ ?(?:times|fois|veces|次) | 0\ mal\ geteilt | 0\ (?:shares|comments|partages|commentaires|comentarios|kommentare)
-        | share(?:\ this(?:\ (?:article|page|story))?)? | save\ for\ later | copy\ link | print(?:\ this\ page)? | send\ by\ (?:mail|email) | tweet | tweet\ +post\ +mail\ +print(?:.*)?
-        | enjoyed\ this\?.* | pass\ it\ on.*
-        | partager(?:\ (?:cet|l)['’\ ]?\ ?article)? | envoyer\ à\ un\ proche | imprimer | copier\ le\ lien | enregistrer\ pour\ plus\ tard | lire\ plus\ tard
-        | artikel\ teilen | teilen | an\ bekannte\ senden | drucken | link\ kopieren | für\ später\ speichern | später\ lesen | merken
-        | compartir(?:\ este\ artículo)? | enviar\ por\ correo | imprimir | copiar\ (?:el\ )?enlace | guardar\ para\ (?:luego|más\ tarde|después)
-        | 分享(?:这篇文章)? | 发送给朋友 | 打印本页 | 复制链接 | 收藏(?:本文)? | 稍后阅读"""),
-    (ADVERT, r"""
-        (?:advertisement|advert|sponsored(?:\ content)?|promoted|publicité|contenu\ sponsorisé|anzeige|werbung|publicidad|anuncio|广告|赞助内容)
-        | (?:story|article)\ continues\ below.* | la\ suite\ après.* | (?:suite\ de\ l['’]article|l['’]article\ continue|lire\ la\ suite).{0,40} | weiter\ (?:nach\ der|unter\ der|im).{0,40} | (?:der\ )?artikel\ geht.{0,40} | (?:el\ artículo\ )?(?:continúa|sigue)\ (?:más\ )?(?:abajo|después).{0,40} | 下文继续 | (?:文章)?未完.{0,12} | 正文在广告后继续.*"""),
-    (TAGS, r"""
-        (?:tags?|topics?|keywords?|filed\ under|mots-clés|étiquettes|schlagwörter|schlagworte|etiquetas|标签|关键词)\ ?[:：].{0,150}"""),
-    (PROMO, r"""
-        already\ a\ (?:member|subscriber)\?.* | you\ have\ 0\ free\ articles?\ left.* | (?:get|receive)\ the\ .{2,60}(?:letter|newsletter)\ .* | support\ .{2,60}:\ .{0,60} | subscribe\ (?:now|to\ ).{0,60} | sign\ up\ (?:for|to)\ .{0,60} | if\ the\ page\ does\ not\ load,\ update\ your\ browser.*
-        | déjà\ abonné\ ?\?.* | il\ vous\ reste\ 0\ articles?.* | recevez\ .{2,80} | soutenez\ .{2,80} | abonnez-vous.{0,60}
-        | schon\ (?:mitglied|abonnent)\?.* | noch\ 0\ freie\ artikel.* | der\ brief\ von\ .{2,80} | unterstützen\ sie\ .{2,80} | .{2,40}\ unterstützen.{0,60} | jetzt\ abonnieren.{0,60}
-        | ¿ya\ es\ (?:socio|suscriptor)\?.* | (?:le\ )?quedan\ 0\ artículos.* | reciba\ .{2,80} | apoye\ .{2,80} | suscríbase.{0,60}
-        | 已是会员.{0,20} | 已有账号.{0,20} | 本月还可免费阅读0篇.* | 每周.{1,3}收取.{2,20} | 支持.{2,12}[，,：:].{0,40}"""),
-    (RELATED_HEAD, r"""
-        (?:related(?:\ (?:articles|stories|links|posts))?|you\ may\ also\ like|most\ (?:read|popular)|elsewhere|read\ (?:more|next|also)|see\ also|more\ (?:from|on|in)\ .{2,50}|recommended(?:\ for\ you)?|further\ reading|editors['’]\ picks)
-        | (?:à\ lire\ (?:aussi|ensuite)|les\ plus\ lus|sur\ le\ même\ sujet|dans\ la\ même\ rubrique|ailleurs|vous\ aimerez\ aussi|plus\ de\ .{2,50}|articles\ (?:liés|similaires)|autres\ articles)
-        | (?:mehr\ zum\ thema|auch\ interessant|meistgelesen|am\ meisten\ gelesen|mehr\ (?:von|aus)\ .{2,50}|lesen\ sie\ auch|weitere\ (?:artikel|beiträge|themen)|anderswo|verwandte\ (?:artikel|themen)|empfohlen)
-        | (?:relacionado|relacionados|artículos\ relacionados|le\ puede\ interesar|también\ le\ puede\ interesar|lo\ más\ leído|más\ (?:de|sobre|en)\ .{2,50}|lea\ (?:también|además)|en\ otros\ (?:sitios|medios)|otros\ artículos)
-        | (?:相关阅读|相关文章|延伸阅读|热门文章|推荐阅读|猜你喜欢|更多.{0,12}|阅读排行|其他文章)"""),
-    (LEGAL, r"""
-        (?:©|\(c\)|copyright)\ ?0?.{0,90} | .{0,60}all\ rights\ reserved\.? | .{0,60}tous\ droits\ réservés\.? | .{0,60}alle\ rechte\ vorbehalten\.? | .{0,60}todos\ los\ derechos\ reservados\.? | .{0,30}版权所有.{0,10}
-        | reproduction\ without\ .{2,110} | the\ views\ in\ this\ .{2,120} | .{2,50}\ is\ not\ responsible\ for\ .{2,60} | registered\ office:.{0,80} | terms(?:\ of\ use)?\ \|.{0,60} | (?:terms\ of\ use|privacy(?:\ policy)?|imprint)
-        | mentions\ légales.{0,80} | confidentialité | plan\ du\ site | .{2,50}\ décline\ toute\ responsabilité.{2,70} | siège\ ?:.{0,80} | toute\ reproduction\ .{2,110} | la\ reproduction\ .{2,110} | reproduction\ interdite.{0,90} | les\ opinions\ .{2,120} | les\ propos\ .{2,120}
-        | (?:impressum|datenschutz|nutzungsbedingungen).{0,80} | .{2,50}\ haftet\ nicht\ für\ .{2,60} | sitz:.{0,80} | nachdruck\ .{2,110} | (?:alle\ )?inhalte\ .{0,60}(?:erlaubnis|genehmigung|zustimmung).{0,40} | die\ (?:hier\ )?(?:geäußerten\ )?(?:ansichten|meinungen)\ .{2,120} | vervielfältigung\ .{2,110}
-        | aviso\ legal.{0,80} | privacidad | mapa\ del\ sitio | .{2,50}\ no\ (?:se\ hace\ responsable|responde)\ de\ .{2,60} | sede:.{0,80} | (?:queda\ )?prohibida\ (?:la\ )?reproducción.{2,110} | (?:la\ )?reproducción\ .{2,110} | las\ opiniones\ .{2,120}
-        | 使用条款.{0,40} | 隐私声明 | 网站地图 | .{2,20}不对外部链接.{0,20} | 地址[:：].{0,60} | 未经.{0,40}(?:转载|许可|授权).{0,30} | (?:本文|文章)(?:仅代表|观点|内容).{0,40} | 不代表.{0,30}"""),
-)
+# --- evidence of leftovers and notices (bits) -----------------------------------------------
+EV_PLACEHOLDER, EV_FILLER, EV_ERROR, EV_SCRIPT = 1, 2, 4, 8
 
 
 def _alternatives(text: str, flags: int = re.S) -> re.Pattern:
@@ -95,8 +30,6 @@ def _alternatives(text: str, flags: int = re.S) -> re.Pattern:
     return re.compile("(?:" + "|".join(x.replace("\\ ", " ") for x in parts if x) + r")\Z", flags)
 
 
-_FURN = [(kind, _alternatives(pat)) for kind, pat in _FURNITURE_PATTERNS]
-
 # Phrases of error, access and parking notices and of script-required notices.
 _ERROR = _alternatives(r"""
     (?:error\ )?[45]\d\d(?:\ ?[-–:]?\ (?:nothing\ here|page\ not\ found|not\ found|forbidden|access\ denied|unauthorized|bad\ request|bad\ gateway|gateway\ time-?out|internal\ server\ error|service\ (?:temporarily\ )?unavailable|too\ many\ requests|gone|error).*)?
@@ -117,14 +50,18 @@ _PLACEHOLDER = _alternatives(r"""
     (?:page\ |article\ |post\ )?(?:title|headline|heading|subtitle|text|content|body|caption|lead|summary|name|author|date)(?:\ text)?\ (?:goes\ here|tbd|to\ come|here)\.? | to\ ?do\b:?.{0,60} | .{0,40}\b(?:tbd|tbc|tba)\b.{0,10} | (?:tk\ ?)+ | (?:x{3,}\ ?)+ | (?:untitled(?:\ (?:draft|page|document|post))?|new\ (?:page|post|article|document)|sample\ page|hello\ world!?)
     | \[(?:insert|add|placeholder|your|caption|image|photo|text|title|name|to\ come|tk|todo)\b.{0,60}\] | \[[^\]]{0,40}\bto\ come\] | (?:your|add\ your|insert|enter\ your|type\ your|put\ your|replace\ this)\ .{0,30}\b(?:here|text|content|copy|paragraph|block)\b.{0,80} | (?:null|undefined|nan|none|nil|n/a|\[object\ object\])
     | (?:null|undefined|nan|none|nil|\[object\ object\])\ (?:by|on|von|par|por)\ .{1,60} | .{0,40}\b(?:invalid\ date|0000-00-00)\b.{0,20}""", re.I | re.S)
-# A line with none of the words that the patterns name needs no pattern tried on it.
-_HINTS = frozenset(
-    w
-    for text in (*(p for _, p in _FURNITURE_PATTERNS), _ERROR.pattern, _SCRIPT.pattern, _PLACEHOLDER.pattern)
-    for w in re.findall(r"[^\W\d_]{4,}", re.sub(r"\\[a-zA-Z]", " ", text.lower()))
-) | frozenset("by von par por tag tags tk tbd tba tbc nan nil xxx fin abo id noch".split())
-_DATED = re.compile(r"\d[-/.年]\d|^\W*[45]\d\d\b|©")
-
+# Every phrase above that can stand in a line of more than SHORT characters holds one of
+# these, so that such a line with none needs no pattern. Shorter lines, which repeat, are remembered.
+SHORT = 48
+_STEMS = tuple(
+    """error|erreur |fehler |错误|not found|nothing here|forbidden|denied|unavailable|gateway|time-out|timeout|too many requests|unauthorized|bad request|available in your|be found on this|page you
+    |seem to find|unexpected condition|planned maintenance|server returned|server encountered|request id|incident |permission to|unusual traffic|you are human|you are a human|looks automated|to continue
+    |parked|domain is|hosting provider|not uploaded|new site will|check back|warning: |to database|to the database|exception in|traceback|introuvable|non trouvée|nicht gefunden|página no
+    |不存在|找不到|未找到|被拒绝|服务器|无权|page demandée|angeforderte|solicitada|您访问|您请求|refusé|verweigert|denegado|en construcción|en construction|im aufbau|建设中|敬请期待
+    |javascript|java script|script|checking your|please wait|脚本|text here|content here|copy here|paragraph here|block here|tbd|tbc|tba|to come|todo|to do|xxx
+    |[insert|[add|[placeholder|[your|[caption|[image|[photo|[text|[title|[name|your text|your content|your copy|your paragraph|insert |replace this|type your|enter your|put your|add your|null by|null on|undefined|object object|none by|none on|nil by|invalid date|0000-00-00
+    |{{|{%|<%|[%|#{|${|%%|[[|__|<<|lorem|ipsum|dolor|textus|textum|placeholder|filler|copia|quis |aute |sint |velit|magna|nostra|nulla|culpa""".replace("\n    ", "").split("|")
+)
 
 # Words of filler text.
 FILLER_WORDS = frozenset(
@@ -140,15 +77,21 @@ _LETTER = re.compile(r"[^\W\d_]")
 _DIGITS = re.compile(r"\d+")
 _SPACES = re.compile(r"\s+")
 _MARKS = re.compile(r"^(?:[#>\s]+|[-*+•]\s+|\d{1,3}[.)]\s+)+")
-_SEP = re.compile(r"\s*[|·•/]\s*|\s{2,}|\s*(?<=\))\s+(?=\[)")
 _SENTENCE = re.compile(r"[.!?…。！？]['\"”’)\]*_]*\s*\Z")
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _WORDS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[一-鿿]")
+_LABEL = re.compile(r"^\W*([^\W\d_][^:：>»›|]{0,30}?)\s*([:：>»›])")
+_HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", re.I)
 
 
 def norm_line(line: str) -> str:
     """Letter case, white space and the value of digit runs do not count."""
-    return _SPACES.sub(" ", _DIGITS.sub("0", line.lower())).strip()
+    return norm_lower(line.lower())
+
+
+def norm_lower(low: str) -> str:
+    return " ".join(_DIGITS.sub("0", low).split())
 
 
 def has_letter(line: str) -> bool:
@@ -158,80 +101,72 @@ def has_letter(line: str) -> bool:
 def _core(line: str) -> str:
     s = _MARKS.sub("", line)
     s = _LINK.sub(r"\1", s) if "](" in s else s
-    s = s.strip().strip("*_ ").strip()
-    return _SPACES.sub(" ", s)
+    return _SPACES.sub(" ", s.strip().strip("*_ ").strip())
+
 
+def _sentence_evidence(low: str) -> int:
+    ev = 0
+    if _PLACEHOLDER.match(low):
+        ev |= EV_PLACEHOLDER
+    if _ERROR.match(low):
+        ev |= EV_ERROR
+    if _SCRIPT.match(low):
+        ev |= EV_SCRIPT
+    return ev
 
-def _segments(line: str) -> list[str]:
-    """Segments of a row of menu entries."""
-    if "](" in line:
-        names = [m.group(1) for m in _LINK.finditer(line)]
-        rest = _LINK.sub(" ", line)
-        if not has_letter(rest):
-            return [n.strip(" *_") for n in names]
-        line = _LINK.sub(r"\1", line)
-    return [s.strip(" *_#") for s in re.split(r"\s*[|·•]\s*|\s{2,}", line.strip()) if s.strip(" *_#")]
 
+def _automaton():
+    found = ahocorasick.Automaton()
+    for stem in _STEMS:
+        found.add_word(stem, True)
+    found.make_automaton()
+    return found
 
-def _is_nav_row(line: str) -> bool:
-    seg = _segments(_MARKS.sub("", line))
-    if len(seg) < 2:
-        return False
-    low = [s.lower() for s in seg]
-    known = sum(s in NAV_WORDS for s in low)
-    short = all(len(s) <= 24 and s.count(" ") <= 2 and not _SENTENCE.search(s) for s in seg)
-    return short and (known * 2 >= len(seg) or (len(seg) >= 4 and not line.lstrip().startswith("|")))
+
+_HINTS = _automaton()
+_AT = re.compile(r"\W*(?:at |[45]\d\d\b)")
+
+
+def line_evidence(line: str, low: str) -> tuple[int, int]:
+    """Evidence bits of a line (``low``: in lower case), whatever its length, and the characters of its
+    sentences that are evidence: a line that is no notice as a whole is read sentence by sentence."""
+    if len(line) <= SHORT:
+        return _short_evidence(line)
+    if next(_HINTS.iter(low), None) is None and not _AT.match(low):
+        return 0, 0
+    return _evidence(line)
 
 
 @lru_cache(maxsize=65536)
-def _short_kind(line: str) -> tuple[int, int]:
-    """(furniture kind or 0, evidence bits) of a line of at most 240 characters, by itself."""
+def _short_evidence(line: str) -> tuple[int, int]:
+    return _evidence(line)
+
+
+def _evidence(line: str) -> tuple[int, int]:
     core = _core(line)
-    low = core.lower()
     if not has_letter(core):
-        return 0, (EV_ERROR if re.fullmatch(r"[45]\d\d", low) and line.lstrip().startswith("#") else 0)
-    ev = 0
+        return (EV_ERROR, len(line)) if re.fullmatch(r"[45]\d\d", core) and line.lstrip().startswith("#") else (0, 0)
+    holes = len(_TEMPLATE.findall(line))
+    if holes and len(_WORDS.findall(_TEMPLATE.sub(" ", core))) <= 3 * holes + 1:
+        return EV_PLACEHOLDER, len(line)
+    low = core.lower()
     words = _WORDS.findall(low)
-    hinted = not _HINTS.isdisjoint(words) or _CJK.search(low) is not None or _DATED.search(low) is not None or "[" in low or "{" in low or low.startswith("at ")
-    if ("{" in line or "%" in line or "[[" in line or "__" in line or "<<" in line) and _TEMPLATE.search(line):
-        left = _TEMPLATE.sub(" ", core)
-        holes = len(_TEMPLATE.findall(line))
-        if len(_WORDS.findall(left)) <= 3 * holes + 1:
-            ev |= EV_PLACEHOLDER
-    if not hinted:
-        pass
-    elif _PLACEHOLDER.match(low):
-        ev |= EV_PLACEHOLDER
-    if hinted and _ERROR.match(low) and len(low) < 170:
-        ev |= EV_ERROR
-    if hinted and _SCRIPT.match(low) and len(low) < 110:
-        ev |= EV_SCRIPT
-    if len(words) >= 2 and sum(w in FILLER_WORDS for w in words) * 2 > len(words) and len(set(words) & {"lorem", "ipsum", "textus", "textum", "placeholder", "filler", "copia"}) + (len(words) > 6) >= 1:
-        ev |= EV_FILLER
-    masked = _DIGITS.sub("0", low)
-    if masked in NAV_WORDS or _is_nav_row(line):
-        return NAV, ev & ~EV_WEAK
-    if core.count(" > ") >= 2 or core.count(" » ") >= 2 or core.count(" › ") >= 2 or ((" > " in core or " » " in core) and low.split(" > ")[0].split(" » ")[0] in NAV_WORDS):
-        return CRUMB, 0
-    if hinted and len(masked) <= 170:
-        for kind, rx in _FURN:
-            if rx.match(masked):
-                if kind in (BYLINE, TAGS, RELATED_HEAD) and ev & (EV_PLACEHOLDER | EV_FILLER):
-                    return 0, ev
-                return kind, ev
-    return 0, ev
-
-
-def long_filler(line: str) -> bool:
-    words = _WORDS.findall(line.lower())
-    return len(words) >= 5 and sum(w in FILLER_WORDS for w in words) * 2 > len(words)
-
-
-def _looks_like_title(line: str) -> bool:
-    core = _core(line)
-    if _CJK.search(core):
-        return len(core) <= 40 and not _SENTENCE.search(core)
-    return len(core) <= 130 and not _SENTENCE.search(core)
+    if len(words) >= 2 and sum(w in FILLER_WORDS for w in words) * 2 > len(words) and (len(words) >= 5 or not {"lorem", "ipsum", "textus", "textum", "placeholder", "filler", "copia"}.isdisjoint(words)):
+        return EV_FILLER, len(line)
+    parts = _SENTENCES.split(core)
+    if len(parts) == 1:
+        ev = _sentence_evidence(low)
+        return ev, len(line) if ev else 0
+    if len(parts) == 2 or len(core) <= 2 * SHORT:  # a notice may run over the end of a sentence
+        ev = _sentence_evidence(low)
+        if ev and len(core) <= 170:
+            return ev, len(line)
+    ev = held = 0
+    for part in parts:
+        own = _sentence_evidence(part.lower())
+        ev |= own
+        held += len(part) if own else 0
+    return ev, held
 
 
 def site_words(url: str | None, site: str | None) -> tuple[str, ...]:
@@ -240,162 +175,136 @@ def site_words(url: str | None, site: str | None) -> tuple[str, ...]:
     return tuple(p for p in re.split(r"[^a-z]+", host) if len(p) >= 5)
 
 
-def _signed(line: str, names: tuple[str, ...]) -> bool:
+def without_names(norm: str, names: tuple[str, ...]) -> str:
+    """The line with each word by which the site names itself masked, so that a line all sites use is one line."""
+    if not any(n[:5] in norm for n in names):
+        return norm
+    return _WORDS.sub(lambda m: "§" if len(m[0]) >= 5 and any(n.startswith(m[0]) for n in names) else m[0], norm)
+
+
+def is_signed(line: str, names: tuple[str, ...]) -> bool:
     """The line ends in a sentence that is nothing but the site's own name, of up to three words."""
     s = line.rstrip()
-    if not s.endswith((".", "。")):
-        return False
-    tail = s[-60:-1]
-    tail = tail[max(tail.rfind(c) for c in ".!?。！？") + 1 :].strip().lower()
-    if not tail or len(tail) > 40:
+    if not names or s[-1:] not in ".。":
         return False
+    tail = s[max(s.rfind(c, 0, -1) for c in ".!?。！？") + 1 : -1].strip().lower()
     first = tail.split(" ")[0]
-    return tail.count(" ") <= 2 and len(first) >= 5 and any(n.startswith(first) for n in names)
-
-
-_CJK_NAME = re.compile(r"[。！？]\s*[一-鿿]{3,8}\.\s*\Z")
+    return len(first) >= 5 and tail.count(" ") <= 2 and any(n.startswith(first) for n in names)
+
+
+def label_of(line: str, kind: int) -> str:
+    """The label that opens a line which is no sentence, such as the first place of a path or the
+    word before a colon; or else what is left of a short line of names and numbers, such as who wrote
+    a text and when. '' where there is neither."""
+    if kind not in (PROSE, ITEM) or _SENTENCE.search(line):
+        return ""
+    m = _LABEL.match(line)
+    if m is not None:
+        return norm_line(m[1] + m[2])
+    if kind == PROSE and len(line) <= 160:
+        masked = masked_line(line)
+        left = sum(map(str.isalpha, masked))
+        if "¤" in masked and left <= 20 and (left or "0" in masked):
+            return masked
+    return ""
+
+
+def links_of(line: str, host: str) -> tuple[int, int, int, int]:
+    """Visible characters of a line, those in links to the page's own site, those in links elsewhere,
+    and the number of links. Pictures are no links."""
+    own = other = links = 0
+    for m in _LINK.finditer(line):
+        if m[0][0] == "!":
+            continue
+        to = _HOST.match(m[2])
+        links += 1
+        if to is None or to[1].lower() == host:
+            own += len(m[1].strip())
+        else:
+            other += len(m[1].strip())
+    return len(_MARKS.sub("", _LINK.sub(r"\1", line)).strip()), own, other, links
 
 
-def classify(markdown: str, names: tuple[str, ...] = ()) -> tuple[list[str], list[int], list[int]]:
-    """Lines of a page, the kind of each, and the evidence bits of each."""
-    lines = markdown.split("\n")
-    n = len(lines)
-    kinds, evidence = [NONE] * n, [0] * n
-    fence = False
+def kinds_of(lines: list[str]) -> list[int]:
+    """The Markdown kind of each line."""
+    kinds, fence = [NONE] * len(lines), False
     for i, line in enumerate(lines):
-        if not line or line.isspace():
+        s = line.strip()
+        if not s:
             continue
-        stripped = line.strip()
-        if stripped.startswith("```") or stripped.startswith("~~~"):
+        if s.startswith(("```", "~~~")):
             fence = not fence
             kinds[i] = CODE
-            continue
-        if fence:
+        elif fence:
             kinds[i] = CODE
-            continue
-        if len(stripped) <= 240:
-            kind, ev = _short_kind(line.rstrip())
-        else:
-            kind, ev = 0, EV_FILLER if long_filler(stripped) else 0
-        evidence[i] = ev
-        if kind:
-            kinds[i] = kind
-        elif stripped[0] == "#":
-            kinds[i] = HEAD
-        elif _IMAGE.fullmatch(stripped):
-            kinds[i] = IMAGE
-        elif stripped[0] == "|":
+        elif s[0] == "#":
+            kinds[i] = TITLE if s.startswith("# ") else HEAD
+        elif s[0] == "|":
             kinds[i] = TABLE
-        elif stripped[0] == ">":
+        elif s[0] == ">":
             kinds[i] = QUOTE
-        elif _MARKS.match(stripped):
-            kinds[i] = ITEM
-        elif _signed(stripped, names) or (len(stripped) < 400 and _CJK_NAME.search(stripped)):
-            kinds[i] = PROMO
-        else:
-            kinds[i] = PROSE
-    # The links under a heading of related pages: titles in one run, up to a blank line or other text.
-    i = 0
-    while i < n:
-        if kinds[i] == RELATED_HEAD:
-            j = i + 1
-            if j < n and kinds[j] == NONE and not lines[j].strip():
-                k = j
-                while k < n and not lines[k].strip():
-                    k += 1
-                if k < n and ((kinds[k] == ITEM and "](" in lines[k])):
-                    j = k
-            while j < n and lines[j].strip() and kinds[j] in (ITEM, PROSE, NONE) and (
-                "](" in lines[j] or " — " in lines[j] or " – " in lines[j] or _looks_like_title(lines[j])
-            ):
-                kinds[j] = RELATED_ITEM
-                j += 1
-            if j == i + 1 and not (j < n and kinds[j] >= FURNITURE) and (j < n and lines[j].strip()):
-                kinds[i] = HEAD if lines[i].lstrip().startswith("#") and len(lines[i]) > 60 else kinds[i]
-            i = j
-        else:
-            i += 1
-    # A run of one-word list items or lines is a menu even when the words are unknown.
-    i = 0
-    while i < n:
-        if kinds[i] in (ITEM, NAV, PROSE) and lines[i].strip():
-            j = i
-            while j < n and kinds[j] in (ITEM, NAV, PROSE) and lines[j].strip() and len(_core(lines[j])) <= 24 and _core(lines[j]).count(" ") <= 1 and not _SENTENCE.search(lines[j]):
-                j += 1
-            if j - i >= 4 and sum(kinds[k] == NAV for k in range(i, j)) * 2 >= j - i:
-                for k in range(i, j):
-                    kinds[k] = NAV
-            i = max(j, i + 1)
+        elif s[0] == "!" and _IMAGE.fullmatch(s):
+            kinds[i] = IMAGE
         else:
-            i += 1
-    return lines, kinds, evidence
+            kinds[i] = ITEM if _MARKS.match(s) else PROSE
+    return kinds
 
 
-def _density(chars: float, link_chars: float, tags: int, link_tags: int, ratio: float) -> float:
-    """Composite text density of a node; ``ratio`` is link characters over characters of the body."""
-    if chars <= 0:
+def density(chars: float, linked: float, tags: int, link_tags: int, ratio: float) -> float:
+    """Composite text density of a node: characters per tag, adjusted by the share of its characters
+    and tags that are links; ``ratio`` is that share over the body. A node of links alone has 0."""
+    if chars <= 0 or linked >= chars:
         return 0.0
-    tags, link_chars, link_tags = max(tags, 1), max(link_chars, 1.0), max(link_tags, 1)
-    plain = max(chars - link_chars, 1.0)
-    base = math.log(chars / plain * link_chars + ratio * chars + math.e)
-    adjusted = chars / link_chars * tags / link_tags
-    return chars / tags * max(math.log(max(adjusted, 1.0)), 0.0) / max(base, 1.0)
+    tags, linked, link_tags = max(tags, 1), max(linked, 1.0), max(link_tags, 1)
+    base = math.log(chars / (chars - linked) * linked + ratio * chars + math.e)
+    return chars / tags * max(math.log(max(chars / linked * tags / link_tags, 1.0)), 0.0) / max(base, 1.0)
 
 
-def outside_lines(lines: list[str], kinds: list[int]) -> list[bool]:
+def outside_lines(run: list[int], kind: list[int], size: list[int], own: list[int], other: list[int], tags: list[int], bits: list[int]) -> list[bool]:
     """For each line whether it lies outside the main body, by composite text density.
 
-    A page without a run of positive density keeps nothing but what is no furniture.
+    The tree is body, sections (from one title to the next), runs of lines between blank lines,
+    lines. Link characters are those of links to the own site, half of those of other links, and all
+    characters of a line that recurs over the site's articles, opens with a label that does, or stands
+    in a run under a heading of such blocks. The section whose runs have the largest sum of densities
+    is the main body; a run elsewhere belongs to it from the least density on the path from that
+    section to the body on. Of the runs that belong, lines without any density are cut off.
     """
-    n = len(lines)
-    runs: list[tuple[int, int]] = []
-    i = 0
-    while i < n:
-        if not lines[i].strip():
-            i += 1
-            continue
-        j = i
-        while j < n and lines[j].strip():
-            j += 1
-        runs.append((i, j))
-        i = j
-    if not runs:
-        return [False] * n
-    stats = []
-    for a, b in runs:
-        chars = link = 0
-        tags = links = 0
-        for k in range(a, b):
-            size, kind = len(lines[k].strip()), kinds[k]
-            chars += size
-            tags += 1
-            if kind >= FURNITURE:
-                link += size
-                links += 1
-            elif "](" in lines[k] and kind != IMAGE:
-                found = _LINK.findall(lines[k])
-                tags += len(found)
-                links += len(found)
-                link += min(size, sum(len(t) + len(u) for t, u in found))
-        stats.append((chars, link, tags, links))
-    total, linked = sum(s[0] for s in stats), sum(s[1] for s in stats)
-    ratio = linked / max(total, 1)
-    dens = [_density(*s, ratio) for s in stats]
-    # Candidate subtrees: runs under one title heading (the article element) and the body itself.
-    bounds = [r for r, (a, b) in enumerate(runs) if any(kinds[k] == HEAD and lines[k].lstrip().startswith("# ") for k in range(a, b))]
-    spans = [(s, e) for s, e in zip(bounds, [*bounds[1:], len(runs)])] or [(0, len(runs))]
-    best = max(spans, key=lambda se: (sum(dens[se[0]:se[1]]), -se[0]))
-    body = _density(total, linked, sum(s[2] for s in stats), sum(s[3] for s in stats), ratio)
-    inner = [sum(s[x] for s in stats[best[0]:best[1]]) for x in range(4)]
-    threshold = min(body, _density(*inner, ratio))  # least density on the path from the subtree to the body
+    n = len(run)
+    linked, headed, under, last = [0.0] * n, False, False, -1
+    for k in range(n):
+        if run[k] != last:
+            under, last = False, run[k]
+        all_of_it = bits[k] != 0
+        if under and not all_of_it and kind[k] not in (TITLE, CODE, TABLE):
+            all_of_it = True
+        linked[k] = size[k] if all_of_it else min(size[k], own[k] + other[k] / 2)
+        under = bits[k] & HEADS > 0 or under and kind[k] != TITLE
+    runs: list[list[int]] = []
+    for k in range(n):
+        if runs and run[runs[-1][0]] == run[k]:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    total, all_linked = sum(size), sum(linked)
+    ratio = all_linked / max(total, 1)
+
+    def sums(ks) -> tuple[float, float, int, int]:
+        return sum(size[k] for k in ks), sum(linked[k] for k in ks), sum(tags[k] for k in ks), sum(tags[k] if linked[k] >= size[k] else tags[k] - 1 for k in ks)
+
+    parts = [sums(r) for r in runs]
+    dens = [density(*p, ratio) for p in parts]
+    starts = [r for r, ks in enumerate(runs) if any(kind[k] == TITLE and not bits[k] for k in ks)]
+    spans = [(a, b) for a, b in zip(starts, [*starts[1:], len(runs)])] or [(0, len(runs))]
+    best = max(spans, key=lambda ab: (sum(dens[ab[0] : ab[1]]), -ab[0]), default=(0, 0))
+    whole = [sum(p[x] for p in parts) for x in range(4)]
+    inner = [sum(p[x] for p in parts[best[0] : best[1]]) for x in range(4)]
+    threshold = min(density(*whole, ratio), density(*inner, ratio))
     out = [False] * n
-    for r, (a, b) in enumerate(runs):
+    for r, ks in enumerate(runs):
         inside = best[0] <= r < best[1] or dens[r] >= threshold
-        own = [k for k in range(a, b) if kinds[k] < FURNITURE]
-        if not inside and r < best[0] and own and all(kinds[k] in (PROSE, QUOTE, ITEM, TABLE, CODE, IMAGE, HEAD) for k in own):
-            inside = sum(len(lines[k]) for k in own) > sum(len(lines[k]) for k in range(a, b)) / 2
-        for k in range(a, b):
-            out[k] = kinds[k] >= FURNITURE or not inside
+        for k in ks:
+            out[k] = not inside or size[k] > 0 and linked[k] >= size[k]
     return out
 
 
@@ -404,13 +313,17 @@ def prose_weight(line: str) -> int:
     return len(line) + 2 * len(_CJK.findall(line)) if not line.isascii() else len(line)
 
 
-_BYLINE_CUE = re.compile(r"^((?:by|written by|par|von|por|作者)\b[ :：]?).*", re.S)
+# Names: rows of words that begin with a capital.
+_NAME = re.compile(r"\b[A-ZÀ-ÞΆ-ΫЀ-Я][^\W_]*(?:[ '’.-]{1,2}[A-ZÀ-ÞΆ-ΫЀ-Я][^\W_]*)+")
+# Beginnings of the names of months, which make a date of the numbers beside them.
+_MONTHS = re.compile(r"\b(?:jan|feb|fév|mar|mär|apr|avr|abr|may|mai|jun|jui|jul|aug|aoû|ago|sep|oct|okt|nov|dec|dez|déc|dic|ene)[^\W\d_]{0,8}\b\.?")
+_DATE = re.compile(r"0(?:[-/.:, 年月日]+0)+[年月日]?")
 
 
-def masked_line(line: str, kind: int) -> str:
-    """The line with numbers, dates and the names of its writers masked."""
-    norm = norm_line(line)
-    if kind != BYLINE:
-        return norm
-    m = _BYLINE_CUE.match(norm)
-    return (m.group(1) if m else "") + " x 0"
+def masked_line(line: str) -> str:
+    """The line with numbers, dates and names masked, in lower case and with white space runs as one
+    space. Names are rows of capitalised words; a line of little else keeps its words."""
+    s = norm_line(_NAME.sub("¤", line))
+    if "0" in s:
+        s = _DATE.sub("0", _MONTHS.sub("0", s))
+    return s if "¤" not in s or sum(map(str.isalpha, s)) >= 4 or "0" in s else norm_line(line)

@@ -1,7 +1,9 @@
-"""One pass over fetched pages, and what is counted over the lines of a site.
+"""One pass over fetched pages, what is counted over the lines of a site, and where each page's main
+body lies.
 
 ``page_lines`` reads each page once (Arrow batches) and keeps only numbers about its lines, so that
-later shuffles move keys of eight bytes instead of text.
+later shuffles move keys of eight bytes instead of text. ``analysed_pages`` adds what the site's pages
+say about each line and runs the density tree of :mod:`sievework.llm.page_text` over the numbers.
 """
 
 from __future__ import annotations
@@ -14,26 +16,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.urls import page_key
 from sievework.llm import page_text as T
 from sievework.operators.components import connected_components
-from sievework.operators.similar_texts import text_groups
 from sievework.session import spread, written
 
 #: A line is recurrent when at least so many pages of its site hold it.
 MIN_PAGES = 6
+#: A line of a small site is recurrent when it stands in ``MIN_PAGES`` articles of so many sites.
+MIN_SITES = 3
+#: A recurrent line heads a block of links when on this share of its places the line right below it is
+#: one that does not recur.
+HEADS_SHARE = 0.3
+#: Two pages are copies when they share this share of their prose in lines that recur.
+COPY_SHARE = 0.5
 #: A recurrent line is boilerplate that says nothing about a page when this share of the pages that
 #: hold it are articles beside it; an error text, which stands alone on most, still counts as evidence.
 BOILERPLATE_SHARE = 0.5
 #: A page with evidence of leftovers is excluded unless so much prose (weighted characters) is left.
 MIN_PROSE = 120
+#: MinHash values of a line's masked text: ``BANDS`` bands of ``ROWS`` values.
+BANDS, ROWS = 6, 2
 
-LINES_SCHEMA = (
-    "fetch_id bigint, site string, line_no array<int>, line_key array<bigint>, band0 array<bigint>, band1 array<bigint>, "
-    "first array<boolean>, outside array<boolean>, evidence array<int>, prose array<int>, evident boolean"
-)
+_LINE_COLUMNS = {
+    "line_no": "int", "line_key": "bigint", "cross_key": "bigint", "label_key": "bigint", "next_key": "bigint", "first": "boolean", "run": "int", "kind": "int",
+    "size": "int", "own": "int", "other": "int", "tags": "int", "signed": "boolean", "evidence": "int", "prose": "int", "sentence": "boolean",
+}
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+LINES_SCHEMA = "fetch_id bigint, site string, " + ", ".join(f"{c} array<{t}>" for c, t in _LINE_COLUMNS.items())
 
-_A = np.array([2654435761, 2246822519, 3266489917, 668265263], dtype=np.uint32)
+_A = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B1) | np.uint64(1)).astype(np.uint32)
 
 
 def site_of(url: Column, site: Column) -> Column:
@@ -46,105 +57,141 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _bands(lines: list[bytes], sites: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bands of two MinHash values each over the four-byte shingles of every line."""
+def min_hashes(lines: list[bytes]) -> np.ndarray:
+    """``BANDS * ROWS`` MinHash values of each line over its four-byte shingles; a shorter line counts
+    as one shingle padded with a byte that no text holds. No shingle runs from one line into the next."""
     n = len(lines)
-    out0, out1 = np.empty(n, np.int64), np.empty(n, np.int64)
+    out = np.empty((n, BANDS * ROWS), np.uint32)
     a = 0
     while a < n:
         size, b = 0, a
         while b < n and (size < 1 << 20 or b == a):
-            size += len(lines[b]) + 4
+            size += max(len(lines[b]), 4)
             b += 1
-        buf = b"\0\0\0\0".join(lines[a:b]) + b"\0" * 8
-        lengths = np.fromiter((len(x) for x in lines[a:b]), np.int64, b - a)
-        starts = np.concatenate(([0], np.cumsum(lengths + 4)[:-1]))
-        total = int(starts[-1] + lengths[-1])
-        grams = np.ndarray((total + 1,), "<u4", buf, strides=(1,)).copy()
-        grams ^= grams >> np.uint32(15)
-        low = [np.minimum.reduceat(grams * m, starts).astype(np.uint64) for m in _A]
-        for out, (x, y), salt in ((out0, low[:2], 1), (out1, low[2:], 2)):
-            key = ((x << np.uint64(32)) | y) * np.uint64(0x9E3779B97F4A7C15) + sites[a:b] * np.uint64(2 * salt + 1)
-            out[a:b] = key.view(np.int64)
+        padded = [x if len(x) >= 4 else x.ljust(4, b"\xff") for x in lines[a:b]]
+        buf = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
+        lengths = np.fromiter(map(len, padded), np.int64, b - a)
+        grams = buf[:-3] | buf[1:-2] << 8 | buf[2:-1] << 16 | buf[3:] << 24
+        ends = np.cumsum(lengths)
+        keep = np.ones(len(grams), bool)
+        for back in (3, 2, 1):
+            at = ends[:-1] - back
+            keep[at[(at >= 0) & (at < len(grams))]] = False
+        grams = grams[keep]
+        starts = np.concatenate(([0], np.cumsum(lengths - 3)[:-1]))
+        grams = (grams ^ grams >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+        grams ^= grams >> np.uint32(12)
+        for j, m in enumerate(_A):
+            mixed = (grams + m) * (m | np.uint32(1))
+            mixed ^= mixed >> np.uint32(16)
+            out[a:b, j] = np.minimum.reduceat(mixed * np.uint32(0x85EBCA6B), starts)
         a = b
-    return out0, out1
+    return out
 
 
-def _analyse(bands: bool, bodies: bool = False):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def band_keys(values: np.ndarray, sites: np.ndarray) -> np.ndarray:
+    """Keys of the bands of MinHash ``values``, apart by site."""
+    v = values.astype(np.uint64).reshape(len(values), BANDS, ROWS)
+    key = sites.astype(np.uint64)[:, None] + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for j in range(ROWS):
+        key = (key ^ v[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
 
+def _analyse(bands: bool):
+    names = [*_LINE_COLUMNS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 ids, sites, urls, texts = (batch.column(k) for k in range(4))
-                offsets, nos, keys, firsts, outs, evs, proses, evident, masked, site_hash, texts_out = [0], [], [], [], [], [], [], [], [], [], []
+                offsets, cols, masked, site_hash = [0], {c: [] for c in names}, [], []
+                put = [cols[c].append for c in names]
                 for url, site, text in zip(urls.to_pylist(), sites.to_pylist(), texts.to_pylist()):
-                    lines, kinds, evidence = T.classify(text, T.site_words(url, site))
-                    out = T.outside_lines(lines, kinds)
+                    words = T.site_words(url, site)
                     prefix = (site + "\0").encode("utf-8", "replace")
                     here = xxhash.xxh3_64_intdigest(prefix)
-                    seen, any_evidence = set(), False
+                    lines = text.split("\n")
+                    kinds = T.kinds_of(lines)
+                    seen, block, rows = set(), 0, []
                     for no, line in enumerate(lines):
-                        ev = evidence[no]
-                        any_evidence |= ev > 0
-                        if not line or not T.has_letter(line):
+                        kind = kinds[no]
+                        if kind == T.NONE:
+                            block += 1
                             continue
-                        norm = T.norm_line(line).encode("utf-8", "replace")
-                        key = xxhash.xxh3_64_intdigest(prefix + norm)
-                        nos.append(no)
-                        keys.append(_signed(key))
-                        firsts.append(key not in seen)
+                        if not T.has_letter(line):
+                            continue
+                        low = line.lower()
+                        norm = T.norm_lower(low)
+                        raw = norm.encode("utf-8", "replace")
+                        key = _signed(xxhash.xxh3_64_intdigest(prefix + raw))
+                        cross = _signed(xxhash.xxh3_64_intdigest(T.without_names(norm, words).encode("utf-8", "replace")))
+                        label = T.label_of(line, kind)
+                        size, own, other, links = T.links_of(line, site) if "](" in line else (len(line.strip()), 0, 0, 0)
+                        ev, held = T.line_evidence(line, low)
+                        prose = max(0, T.prose_weight(line) - held) if kind not in (T.HEAD, T.TITLE) else 0
+                        if ev & (T.EV_PLACEHOLDER | T.EV_FILLER):
+                            prose = 0
+                        sentence = kind in (T.PROSE, T.QUOTE, T.ITEM) and T._SENTENCE.search(line) is not None
+                        rows.append((no, key, cross, _signed(xxhash.xxh3_64_intdigest(prefix + b"\1" + label.encode("utf-8", "replace"))) if label else 0, 0, key not in seen, block, kind,
+                                     size, own, other, 1 + links, T.is_signed(line, words) if kind == T.PROSE else False, ev, prose, sentence))
                         seen.add(key)
-                        outs.append(out[no])
-                        evs.append(ev)
-                        proses.append(T.prose_weight(line) if not ev and kinds[no] < T.FURNITURE and kinds[no] != T.HEAD else 0)
                         if bands:
-                            masked.append(T.masked_line(line, kinds[no]).encode("utf-8", "replace") if kinds[no] == T.BYLINE else norm)
+                            masked.append(T.masked_line(line).encode("utf-8", "replace"))
                             site_hash.append(here)
-                    evident.append(any_evidence)
-                    if bodies:
-                        texts_out.append(" ".join("\n".join([x for x, o in zip(lines, out) if not o]).split()).lower())
-                    offsets.append(len(nos))
+                    for k, row in enumerate(rows):
+                        after = rows[k + 1] if k + 1 < len(rows) else None
+                        below = after is not None and after[6] == row[6] and after[7] not in (T.TITLE, T.CODE, T.TABLE)
+                        for add, value in zip(put, row[:4] + (after[1] if below else 0,) + row[5:]):
+                            add(value)
+                    offsets.append(len(cols["line_no"]))
                 off = pa.array(offsets, pa.int32())
-                wrap = lambda values, kind: pa.ListArray.from_arrays(off, pa.array(values, kind))  # noqa: B023, E731
-                if bands and masked:
-                    b0, b1 = _bands(masked, np.array(site_hash, np.uint64))
-                else:
-                    b0 = b1 = np.zeros(len(nos), np.int64)
-                cols = [ids, sites, wrap(nos, pa.int32()), wrap(keys, pa.int64()), wrap(b0, pa.int64()), wrap(b1, pa.int64()), wrap(firsts, pa.bool_()), wrap(outs, pa.bool_()), wrap(evs, pa.int32()), wrap(proses, pa.int32()), pa.array(evident, pa.bool_())]
-                names = ["fetch_id", "site", "line_no", "line_key", "band0", "band1", "first", "outside", "evidence", "prose", "evident"]
-                if bodies:
-                    cols.append(pa.array(texts_out, pa.string()))
-                    names.append("body")
-                yield pa.RecordBatch.from_arrays(cols, names)
+                out = [ids, sites, *(pa.ListArray.from_arrays(off, pa.array(cols[c], _ARROW[t])) for c, t in _LINE_COLUMNS.items())]
+                if bands:
+                    values = min_hashes(masked) if masked else np.empty((0, BANDS * ROWS), np.uint32)
+                    keys = band_keys(values, np.array(site_hash, np.uint64))
+                    # Sixteen bits of each value, four to a number: enough to estimate similarity in SQL.
+                    low = (values & np.uint32(0xFFFF)).astype(np.uint64).reshape(len(values), -1, 4)
+                    packed = (low << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(axis=2, dtype=np.uint64).view(np.int64)
+                    out += [pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(x), pa.int64())) for x in (*keys.T, *packed.T)]
+                yield pa.RecordBatch.from_arrays(out, ["fetch_id", "site", *names, *(BAND_COLUMNS if bands else ())])
 
     return run
 
 
-def page_lines(pages: DataFrame, bands: bool = False, bodies: bool = False) -> DataFrame:
+BAND_COLUMNS = tuple(f"band{k}" for k in range(BANDS)) + tuple(f"values{k}" for k in range(BANDS * ROWS // 4))
+
+
+def readable(pages: DataFrame) -> DataFrame:
+    return pages.where(F.col("fetch_id").isNotNull() & F.col("markdown").rlike(r"(?U)\S"))
+
+
+def page_lines(pages: DataFrame, bands: bool = False) -> DataFrame:
     """One row per page that is not blank: what its lines with letters are.
 
     Input columns ``fetch_id, url, site, markdown``; others are ignored. Null and blank ``markdown``
     give no row; a null ``site`` is taken from ``url`` and is '' where that is null too. With
-    ``bands`` each line also gets two LSH band keys of its masked text, with ``bodies`` each page its
-    main body in lower case with white space runs as one space.
+    ``bands`` each line also gets LSH band keys and MinHash values of its masked text.
     """
-    rows = pages.select("fetch_id", site_of(F.col("url"), F.col("site")).alias("site"), F.col("url"), "markdown")
-    rows = rows.where(F.col("fetch_id").isNotNull() & F.col("markdown").rlike(r"(?U)\S"))
-    return spread(rows).mapInArrow(_analyse(bands, bodies), LINES_SCHEMA + (", body string" if bodies else ""))
+    rows = readable(pages).select("fetch_id", site_of(F.col("url"), F.col("site")).alias("site"), "url", "markdown")
+    return spread(rows).mapInArrow(_analyse(bands), LINES_SCHEMA + ("".join(f", {c} array<bigint>" for c in BAND_COLUMNS) if bands else ""))
 
 
-def written_page_lines(pages: DataFrame, bands: bool = False, bodies: bool = False) -> DataFrame:
-    """``page_lines`` written to the shared folder, one row per ``fetch_id``: of repeated rows of an
-    id one is kept."""
-    lines = written(page_lines(pages, bands, bodies), "page-lines")
-    rows, ids = lines.agg(F.count("*"), F.count_distinct("fetch_id")).first()
-    return lines if rows == ids else lines.dropDuplicates(["fetch_id"])
+def one_page_each(pages: DataFrame) -> DataFrame:
+    """``pages`` with one row per ``fetch_id``: of repeated rows of an id the one whose ``markdown``,
+    ``url`` and ``site`` come first in order. Where ids do not repeat, as they should not, nothing is
+    moved; the ids alone are counted to know."""
+    rows, ids = pages.agg(F.count("fetch_id"), F.count_distinct("fetch_id")).first()
+    if rows == ids:
+        return pages
+    first = F.min(F.struct("markdown", "url", "site")).alias("r")
+    return pages.where(F.col("markdown").isNotNull()).groupBy("fetch_id").agg(first).select("fetch_id", "r.markdown", "r.url", "r.site")
 
 
-def exploded(pages: DataFrame, *extra: str) -> DataFrame:
-    """One row per line of ``page_lines``."""
-    names = ("line_no", "line_key", "first", *extra)
+def exploded(pages: DataFrame, *names: str) -> DataFrame:
+    """One row per line of ``page_lines``, with the line columns ``names``."""
     zipped = F.explode(F.arrays_zip(*names)).alias("l")
     return pages.select("fetch_id", "site", zipped).select("fetch_id", "site", *(F.col(f"l.{n}").alias(n) for n in names))
 
@@ -155,62 +202,111 @@ def line_counts(pages: DataFrame, least: int = MIN_PAGES) -> DataFrame:
     return keys.groupBy("line_key").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
 
 
-def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fetch_id, markdown, gone -> id, text: in lower case without the lines ``gone``, white space runs as one space."""
-    for batch in batches:
-        out = []
-        for text, gone in zip(batch.column("markdown").to_pylist(), batch.column("gone").to_pylist()):
-            drop = set(gone)
-            out.append(" ".join("\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop]).split()).lower())
-        yield pa.RecordBatch.from_arrays([batch.column("fetch_id"), pa.array(out, pa.string())], ["id", "text"])
+def _copies(held: DataFrame, lines: DataFrame) -> DataFrame | None:
+    """``fetch_id, article`` of pages that are copies of each other; None where there are none.
+
+    Pages that share a recurrent sentence are compared with the least page that holds it, not with
+    each other, so a group of n copies costs n comparisons a line."""
+    weight = lines.select("fetch_id", F.expr("aggregate(filter(arrays_zip(prose, sentence, first), x -> x.sentence and x.first), 0L, (s, x) -> s + x.prose)").alias("all"))
+    said = held.where("sentence and prose > 0").select("fetch_id", "cross_key", "prose")
+    mostly = said.groupBy("fetch_id").agg(F.sum("prose").alias("w")).join(weight, "fetch_id").where(F.col("w") >= COPY_SHARE * F.col("all")).select("fetch_id", "all")
+    mostly = written(mostly, "mostly-recurrent")
+    if mostly.isEmpty():
+        return None
+    said = said.join(mostly, "fetch_id")
+    first = said.groupBy("cross_key").agg(F.min(F.struct("fetch_id", "all")).alias("f")).select("cross_key", F.col("f.fetch_id").alias("b"), F.col("f.all").alias("all_b"))
+    pairs = said.join(first, "cross_key").groupBy(F.col("fetch_id").alias("a"), "b").agg(F.sum("prose").alias("w"), F.first("all").alias("all"), F.first("all_b").alias("all_b"))
+    edges = written(pairs.where(F.col("w") >= COPY_SHARE * F.greatest("all", "all_b")).select("a", "b"), "copy-edges")
+    return connected_components(edges).select(F.col("id").alias("fetch_id"), F.col("component").alias("article"))
+
+
+def site_lines(lines: DataFrame, least: int = MIN_PAGES) -> DataFrame:
+    """``line_key, bits``: what the pages of a site say about its lines (``RECURS``, ``HEADS``,
+    ``LABELLED`` of :mod:`sievework.llm.page_text`).
+
+    A line recurs when at least ``least`` different articles of its site hold it, or as many articles
+    of ``MIN_SITES`` sites, with the names by which sites call themselves masked. Copies of one
+    article, however many, are one article. A line is labelled when the label that opens it does so in
+    ``least`` articles.
+    """
+    each = exploded(lines, "line_key", "cross_key", "label_key", "next_key", "first", "prose", "sentence")
+    once = each.where("first")
+    per_key = once.groupBy("line_key").agg(F.count("*").alias("pages"), F.max("cross_key").alias("cross_key"), F.max("site").alias("site"))
+    per_key = written(per_key.groupBy("cross_key").agg(F.sum("pages").alias("all"), F.count_distinct("site").alias("sites"), F.collect_list(F.struct("line_key", "pages")).alias("k"))
+                      .where(F.col("all") >= least).select("sites", F.explode("k").alias("k")).where((F.col("k.pages") >= least) | (F.col("sites") >= MIN_SITES)).select("k.line_key"), "recurrent")
+    held = written(once.join(per_key, "line_key", "left_semi").select("fetch_id", "site", "line_key", "cross_key", "next_key", "prose", "sentence"), "held")
+    article = _copies(held, lines)
+    votes = held.select("fetch_id", "site", "line_key", "cross_key")
+    voter = F.col("fetch_id")
+    if article is not None:
+        article = written(article, "articles")
+        votes, voter = votes.join(article, "fetch_id", "left"), F.coalesce("article", "fetch_id")
+    votes = votes.select("line_key", "cross_key", "site", voter.alias("article")).distinct()
+    here = votes.groupBy("line_key").agg(F.count("*").alias("n"), F.max("cross_key").alias("cross_key"))
+    cross = votes.groupBy("cross_key").agg(F.count_distinct("site").alias("sites"), F.count_distinct("article").alias("everywhere"))
+    recurs = here.join(cross, "cross_key").where((F.col("n") >= least) | ((F.col("sites") >= MIN_SITES) & (F.col("everywhere") >= least))).select("line_key")
+    recurs = written(recurs, "recurs")
+    tagged = each.where("label_key <> 0").select("fetch_id", "line_key", "label_key").distinct()
+    if article is not None:
+        tagged = tagged.join(article, "fetch_id", "left").select(F.coalesce("article", "fetch_id").alias("fetch_id"), "line_key", "label_key")
+    often = tagged.groupBy("label_key").agg(F.count_distinct("fetch_id").alias("n")).where(F.col("n") >= least)
+    labelled = written(tagged.join(often, "label_key", "left_semi").select("line_key").distinct(), "labelled")
+    known = recurs.unionByName(labelled).distinct()
+    below = held.join(recurs, "line_key", "left_semi").join(known.select(F.col("line_key").alias("next_key"), F.lit(1).alias("known")), "next_key", "left")
+    heads = below.groupBy("line_key").agg(F.avg((F.col("next_key") != 0).cast("double") * F.col("known").isNull().cast("double")).alias("share")).where(F.col("share") >= HEADS_SHARE)
+    marks = recurs.withColumn("bits", F.lit(T.RECURS)).unionByName(heads.select("line_key", F.lit(T.HEADS).alias("bits"))).unionByName(labelled.withColumn("bits", F.lit(T.LABELLED)))
+    return written(marks.groupBy("line_key").agg(F.bit_or("bits").alias("bits")), "site-lines")
+
+
+def _density(bands: bool):
+    kept = ["line_no", "line_key", "first", *(BAND_COLUMNS if bands else ())]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {c: batch.column(c).to_pylist() for c in ("line_no", "line_key", "run", "kind", "size", "own", "other", "tags", "signed", "evidence", "prose", "marks")}
+            outside, own_prose, evident = [], [], []
+            for k in range(batch.num_rows):
+                marks = {m["line_key"]: m["bits"] for m in cols["marks"][k] or ()}
+                keys, evidence = cols["line_key"][k], cols["evidence"][k]
+                bits = [marks.get(x, 0) | (T.SIGNED if s else 0) for x, s in zip(keys, cols["signed"][k])]
+                out = T.outside_lines(cols["run"][k], cols["kind"][k], cols["size"][k], cols["own"][k], cols["other"][k], cols["tags"][k], bits)
+                outside.append(out)
+                own_prose.append(sum(p for p, o, b in zip(cols["prose"][k], out, bits) if not o and not b & T.RECURS))
+                evident.append([x for x, e in zip(keys, evidence) if e])
+            out_cols = [batch.column("fetch_id"), batch.column("site"), *(batch.column(c) for c in kept), pa.array(outside, pa.list_(pa.bool_())), pa.array(own_prose, pa.int64()), pa.array(evident, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out_cols, ["fetch_id", "site", *kept, "outside", "own_prose", "evident"])
 
-def furniture_lines(pages: DataFrame, lines: DataFrame, bad: DataFrame, counts: DataFrame, least: int = MIN_PAGES) -> DataFrame:
-    """``line_key`` of lines that density keeps on some page and that are furniture all the same: at
-    least ``least`` different articles of the site hold them.
+    return run
 
-    Copies of one article, however many, are one article: pages with similar bodies
-    (:func:`sievework.operators.similar_texts.text_groups`) or with one URL. Titles do not count,
-    since a site may put its own name there. Only pages that hold such a line are read again.
-    """
-    each = exploded(lines, "outside")
-    kept = each.where("not outside").join(bad, "fetch_id", "left_anti").select("line_key").distinct()
-    often = written(kept.join(counts.select("line_key"), "line_key", "left_semi"), "kept-recurrent")
-    if often.isEmpty():
-        return often
-    held = written(each.where("first").join(often, "line_key", "left_semi").select("fetch_id", "line_key"), "held")
-    ids = held.select("fetch_id").distinct()
-    gone = lines.join(ids, "fetch_id", "left_semi").select("fetch_id", F.expr("transform(filter(arrays_zip(line_no, outside), x -> x.outside), x -> x.line_no)").alias("gone"))
-    read = pages.select("fetch_id", "url", "markdown").where(F.col("markdown").rlike(r"(?U)\S")).join(gone, "fetch_id")
-    bodies = read.select("fetch_id", "markdown", "gone").mapInArrow(_inside, "id bigint, text string").where("text <> ''").dropDuplicates(["id"])
-    same_url = read.where("trim(url) <> ''").select("fetch_id", F.xxhash64(page_key(F.col("url"))).alias("u"))
-    first = same_url.groupBy("u").agg(F.min("fetch_id").alias("b"))
-    edges = text_groups(bodies).select(F.col("id").alias("a"), F.col("group").alias("b")).unionByName(same_url.join(first, "u").select(F.col("fetch_id").alias("a"), "b"))
-    article = connected_components(edges).withColumnRenamed("id", "fetch_id")
-    votes = held.join(article, "fetch_id", "left").groupBy("line_key").agg(F.count_distinct(F.coalesce("component", "fetch_id")).alias("articles"))
-    return written(votes.where(F.col("articles") >= least).select("line_key"), "furniture")
-
-
-def leftover_pages(pages: DataFrame, counts: DataFrame, share: float = BOILERPLATE_SHARE, min_prose: int = MIN_PROSE) -> DataFrame:
-    """``fetch_id`` of pages that hold leftovers or notices where content should be.
-
-    A recurring line is boilerplate and is subtracted when at least ``MIN_PAGES`` pages, and at least
-    ``share`` of all pages that hold it, have ``min_prose`` weighted characters of prose of their own
-    (lines that do not recur) beside it. A notice that recurs where nothing else stands stays
-    evidence, however often it does. A page is excluded when a line of the rest is evidence (unfilled
-    placeholder, filler text, error or access notice, call to switch on scripts) and less than
-    ``min_prose`` weighted characters of prose are left beside it.
+
+def analysed_pages(pages: DataFrame, bands: bool = False, learn: bool = True) -> DataFrame:
+    """One row per page that is not blank, written: ``fetch_id, site``, its lines with letters
+    (``line_no, line_key, first, outside`` and with ``bands`` the bands), the prose of its main body
+    that does not recur (``own_prose``) and the keys of its lines that are evidence (``evident``).
+
+    Without ``learn`` nothing is learned from the site's other pages: density sees links only."""
+    lines = written(page_lines(one_page_each(pages), bands), "page-lines")
+    if learn:
+        marks = exploded(lines, "line_key", "first").where("first").join(site_lines(lines), "line_key").groupBy("fetch_id").agg(F.collect_list(F.struct("line_key", "bits")).alias("marks"))
+        lines = lines.join(marks, "fetch_id", "left")
+    else:
+        lines = lines.withColumn("marks", F.lit(None).cast("array<struct<line_key:bigint,bits:int>>"))
+    schema = "fetch_id bigint, site string, line_no array<int>, line_key array<bigint>, first array<boolean>, " + ("".join(f"{c} array<bigint>, " for c in BAND_COLUMNS) if bands else "")
+    needed = lines.drop("cross_key", "label_key", "next_key", "sentence")
+    return written(needed.mapInArrow(_density(bands), schema + "outside array<boolean>, own_prose bigint, evident array<bigint>"), "analysed")
+
+
+def leftover_pages(pages: DataFrame, share: float = BOILERPLATE_SHARE, min_prose: int = MIN_PROSE) -> DataFrame:
+    """``fetch_id`` of the ``analysed_pages`` that hold leftovers or notices where content should be.
+
+    A line of evidence is boilerplate and is subtracted when at least ``MIN_PAGES`` pages, and at
+    least ``share`` of all pages that hold it, have ``min_prose`` weighted characters of prose of
+    their own beside it. A notice that recurs where nothing else stands stays evidence, however often
+    it does. A page is excluded when a line of the rest is evidence (unfilled placeholder, filler
+    text, error or access notice, call to switch on scripts) and its main body has less than
+    ``min_prose`` weighted characters of prose beside it.
     """
-    lines = exploded(pages.where("evident"), "evidence", "prose")
-    often = lines.where("evidence > 0 or prose > 0").select("line_key").distinct().join(counts.select("line_key"), "line_key", "left_semi")
-    often = written(often, "evident-recurrent")
-    rest = lines
-    if not often.isEmpty():
-        held = written(exploded(pages).where("first").join(often, "line_key", "left_semi").select("fetch_id", "line_key"), "evident-held")
-        beside = exploded(pages.join(held.select("fetch_id").distinct(), "fetch_id", "left_semi"), "prose").where("prose > 0")
-        own = beside.join(counts.select("line_key"), "line_key", "left_anti").groupBy("fetch_id").agg(F.sum("prose").alias("own")).where(F.col("own") >= min_prose)
-        of_line = held.join(own, "fetch_id", "left").groupBy("line_key").agg(F.count("*").alias("n"), F.count("own").alias("articles"))
-        boiler = of_line.where((F.col("articles") >= MIN_PAGES) & (F.col("articles") >= F.col("n") * share)).select("line_key")
-        rest = lines.join(boiler, "line_key", "left_anti")
-    by_page = rest.groupBy("fetch_id").agg(F.max("evidence").alias("evidence"), F.sum("prose").alias("prose"))
-    return by_page.where((F.col("evidence") > 0) & (F.col("prose") < min_prose)).select("fetch_id")
+    held = written(pages.where(F.size("evident") > 0).select("fetch_id", "own_prose", F.explode(F.array_distinct("evident")).alias("line_key")), "evident")
+    of_line = held.groupBy("line_key").agg(F.count("*").alias("n"), F.count_if(F.col("own_prose") >= min_prose).alias("articles"))
+    boiler = of_line.where((F.col("articles") >= MIN_PAGES) & (F.col("articles") >= F.col("n") * share)).select("line_key")
+    return written(held.where(F.col("own_prose") < min_prose).join(boiler, "line_key", "left_anti").select("fetch_id").distinct(), "leftovers")

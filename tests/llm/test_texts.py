@@ -1,6 +1,7 @@
 """Transcripts, splitting, packing, reading level."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -61,7 +62,12 @@ def test_split_round_trip(text, limit):
         return
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     assert all(0 < e - s <= limit for s, e, _ in pieces)
-    assert all(a[1] - b[0] == overlap for a, b in zip(pieces, pieces[1:]))
+    assert all(0 <= a[1] - b[0] <= overlap for a, b in zip(pieces, pieces[1:]))
+    stretch = max((len(x) for x in re.split(r"[\s.!?。！？]+", text)), default=0)
+    if len(text) > limit:  # a cut within a word only where a stretch has no boundary
+        assert any(k == S.FORCED for _, _, k in pieces) == (stretch > limit)
+        if stretch <= limit - 2 * overlap and all(e - s > overlap for s, e, _ in pieces[:-1]):
+            assert all(a[1] - b[0] == overlap for a, b in zip(pieces, pieces[1:]))
     assert "".join(text[(s if not i else pieces[i - 1][1]) : e] for i, (s, e, _) in enumerate(pieces)) == text
 
 
@@ -79,6 +85,21 @@ def test_balanced_and_natural():
     pieces = S.split_text(text, 4000, 200)
     assert len(pieces) == 3 and {p[2] for p in pieces} == {S.PARAGRAPH}
     assert S.split_text("x" * 9000, 4000, 200)[0][2] == S.FORCED
+    sizes = [e - s for s, e, _ in S.split_text("word " * 1700, 4000, 200)]
+    assert len(sizes) == 3 and max(sizes) - min(sizes) < 20
+
+
+def test_a_dot_in_a_token_is_no_sentence_end():
+    text = " ".join(["v3.14159 and 2.71828"] * 30)
+    cuts = [text[e - 1 : e + 1] for _, e, _ in S.split_text(text, 100, 10)[:-1]]
+    assert cuts and not any("." in c for c in cuts)
+    assert all(k == S.TOKEN for _, _, k in S.split_text("ab.cd" * 60, 100, 10)[:-1])
+
+
+def test_one_long_claim_is_cut_with_overlap(spark):
+    chunks = spark.createDataFrame([(1, [("some words of it " * 150, "t"), ("short", "t")])], "chunk_id bigint, claims array<struct<quote string, topic string>>")
+    pieces = S.split_claim_lists(chunks).first().pieces
+    assert [p.first_claim for p in pieces] == [0, 0, 1] and pieces[0].end - pieces[1].start == 200 and all(p.end - p.start <= 1500 for p in pieces)
 
 
 def test_oversized(spark):

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import base64
 import os
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,38 +17,32 @@ from sievework.session import spread, written
 
 CAPACITY = 2048
 TOKENIZER = os.environ.get("SIEVEWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-#: Items of one shard, individuals of an island, islands of a shard, generations between migrations.
-SHARD, POPULATION, ISLANDS, EPOCHS, GENERATIONS = 1000, 4, 2, 3, 3
+# How the public tokenizer parts a text into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Items of one shard; islands of a shard, individuals of an island, epochs between which elites move, generations of an epoch.
+SHARD, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1000, 3, 4, 4, 12
 #: Containers filled less than this after the first round give their items to the second.
 WELL_FILLED = 0.985
 
-_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
-    """The byte-level BPE tokenizer of a vocabulary file of base64 words and ranks."""
+def encoding(path: str, pattern: str = PATTERN):
+    """The byte-level BPE tokenizer of a vocabulary file of base64 words and ranks. A worker that has
+    no such file reads the copy that Spark gave its executor."""
     import tiktoken
 
-    pattern = _PATTERN
-    try:
-        import public_tokenizers
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
 
-        pattern = public_tokenizers.PATTERN
-    except ImportError:
-        pass
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(enc, text: str) -> int:
-    return len(enc.encode_to_numpy(text)) if hasattr(enc, "encode_to_numpy") else len(enc.encode_ordinary(text))
-
-
-def _sizes(path: str):
+def _sizes(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = encoding(path, pattern)
         for batch in batches:
             n = [len(enc.encode_ordinary(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "tokens"])
@@ -57,10 +50,13 @@ def _sizes(path: str):
     return run
 
 
-def text_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, tokens`` of each text that has any."""
+def text_sizes(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+    """``doc_id, tokens`` of each text that has any; of repeated rows of an id the one of fewest tokens.
+    The vocabulary file goes to the executors with Spark."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     rows = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
-    return spread(rows).mapInArrow(_sizes(tokenizer), "doc_id bigint, tokens bigint").where("tokens > 0")
+    sizes = spread(rows).mapInArrow(_sizes(tokenizer, pattern), "doc_id bigint, tokens bigint").where("tokens > 0")
+    return sizes.groupBy("doc_id").agg(F.min("tokens").alias("tokens"))
 
 
 # --- grouping genetic algorithm -----------------------------------------------------------------
@@ -83,20 +79,69 @@ def _best_fit(bins: list[list[int]], space: list[int], items: list[int], size: l
             insort(room, (space[k], k))
 
 
-def _fitness(space: list[int], capacity: int) -> float:
-    """Mean squared fill: few bins, and those well filled."""
-    return sum(((capacity - s) / capacity) ** 2 for s in space) / max(len(space), 1)
+def _fitness(space: list[int], capacity: int) -> tuple[int, float]:
+    """Few bins, and those well filled (mean squared fill)."""
+    return -len(space), sum(((capacity - s) / capacity) ** 2 for s in space) / max(len(space), 1)
+
+
+def _exchange(bins: list[list[int]], space: list[int], free: list[int], size: list[int], rng) -> list[int]:
+    """Fills bins up from the free items: one or two items of a bin change places with one or two free
+    ones that fill it better, as long as that helps. Returns the items that are free then, which are
+    smaller and easier to place."""
+    have = sorted((size[i], i) for i in free)
+    end = 1 << 60
+    for k in rng.permutation(len(bins)).tolist():
+        x, s = bins[k], space[k]
+        while s and have:
+            at = bisect_right(have, (s, end)) - 1
+            gain, out, into = (have[at][0], (), (at,)) if at >= 0 else (0, (), ())
+            leave = [(size[i], (p,)) for p, i in enumerate(x)]
+            leave += [(size[x[p]] + size[x[q]], (p, q)) for p in range(len(x)) for q in range(p)]
+            for w, ps in leave:
+                at = bisect_right(have, (w + s, end)) - 1
+                if at >= 0 and have[at][0] - w > gain:
+                    gain, out, into = have[at][0] - w, ps, (at,)
+            if gain < s:
+                for w, ps in leave:
+                    low, high = 0, len(have) - 1
+                    while low < high:
+                        t = have[low][0] + have[high][0] - w
+                        if t > s:
+                            high -= 1
+                        else:
+                            if t > gain:
+                                gain, out, into = t, ps, (low, high)
+                            low += 1
+                    if gain == s:
+                        break
+            if not gain:
+                break
+            new = [have[a] for a in into]
+            for a in sorted(into, reverse=True):
+                have.pop(a)
+            for p in sorted(out, reverse=True):
+                i = x.pop(p)
+                insort(have, (size[i], i))
+            x.extend(i for _, i in new)
+            s -= gain
+        space[k] = s
+    return [i for _, i in reversed(have)]
+
+
+def _settle(bins: list[list[int]], space: list[int], free: list[int], size: list[int], capacity: int, rng) -> tuple:
+    free = _exchange(bins, space, free, size, rng)
+    free.sort(key=lambda i: -size[i])
+    _best_fit(bins, space, free, size, capacity)
+    return bins, space
 
 
 def _cross(a: tuple, b: tuple, size: list[int], capacity: int, rng) -> tuple:
-    """Injects well-filled whole bins of ``b`` into ``a``, drops the bins of ``a`` that hold any of
-    their items, and best-fits the displaced ones."""
+    """Injects whole well-filled bins of ``b`` into ``a``, drops the bins of ``a`` that hold any of
+    their items, and places the displaced ones."""
     bins_b, space_b = b
     order = np.argsort(space_b, kind="stable")[: max(1, len(bins_b) * 2 // 3)]
-    take = order[rng.random(len(order)) < rng.uniform(0.3, 0.8)]
-    given = [bins_b[k] for k in take if space_b[k] <= 0.02 * capacity]
-    if not given:
-        given = [bins_b[int(order[0])]]
+    take = order[rng.random(len(order)) < rng.uniform(0.2, 0.6)]
+    given = [bins_b[k] for k in take] or [bins_b[int(order[0])]]
     inside = {i for x in given for i in x}
     bins, space, free = [list(x) for x in given], [capacity - sum(size[i] for i in x) for x in given], []
     for x, s in zip(*a):
@@ -105,112 +150,179 @@ def _cross(a: tuple, b: tuple, size: list[int], capacity: int, rng) -> tuple:
             space.append(s)
         else:
             free += [i for i in x if i not in inside]
-    free.sort(key=lambda i: -size[i])
-    _best_fit(bins, space, free, size, capacity)
-    return bins, space
+    return _settle(bins, space, free, size, capacity, rng)
 
 
 def _mutate(a: tuple, size: list[int], capacity: int, rng) -> tuple:
-    """Empties the worst bins and a few others, and best-fits their items in a shaken order."""
+    """Empties the worst bins and a few others, and places their items anew."""
     bins, space = a
     n = len(bins)
-    worst = set(np.argsort(space, kind="stable")[-max(2, n // 20) :].tolist()) | set(rng.integers(0, n, max(1, n // 30)).tolist())
-    kept = [k for k in range(n) if k not in worst]
-    free = [i for k in sorted(worst) for i in bins[k]]
-    free.sort(key=lambda i: -size[i] * rng.uniform(0.9, 1.1))
-    out, room = [list(bins[k]) for k in kept], [space[k] for k in kept]
-    _best_fit(out, room, free, size, capacity)
-    return out, room
+    gone = set(np.argsort(space, kind="stable")[-max(2, n // 50) :].tolist()) | set(rng.integers(0, n, max(1, n * 8 // 100)).tolist())
+    free = [i for k in sorted(gone) for i in bins[k]]
+    kept = [k for k in range(n) if k not in gone]
+    return _settle([list(bins[k]) for k in kept], [space[k] for k in kept], free, size, capacity, rng)
+
+
+def best_fit(size: list[int], capacity: int = CAPACITY, shake: float = 1.0, rng=None) -> tuple[list[list[int]], list[int]]:
+    """Bins by best fit, largest items first; with ``shake`` below 1 in an order that is somewhat random."""
+    order = sorted(range(len(size)), key=lambda i: (-size[i] * (rng.uniform(shake, 1.0) if rng is not None else 1), i))
+    bins: list[list[int]] = []
+    space: list[int] = []
+    _best_fit(bins, space, order, size, capacity)
+    return bins, space
 
 
-def pack(size: list[int], capacity: int = CAPACITY, seed: int = 0, population: int = POPULATION, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> list[list[int]]:
-    """Bins of item numbers by a grouping genetic algorithm on islands that exchange their elites.
+def fewest(size: list[int], capacity: int = CAPACITY) -> int:
+    """A lower bound of the number of bins: by the sum, and for each least size by the items too large
+    to share a bin with it."""
+    s = np.sort(np.asarray(size, np.int64))[::-1]
+    least = -(-int(s.sum()) // capacity)
+    large = s[s > capacity // 2]
+    for a in np.unique(s[s <= capacity // 2]):
+        pair = large[large <= capacity - a]
+        rest = int(s[(s <= capacity // 2) & (s >= a)].sum()) - (len(pair) * capacity - int(pair.sum()))
+        least = max(least, len(large) + max(0, -(-rest // capacity)))
+    return least
 
-    No item may exceed ``capacity``. Ends early at the least number of bins possible; the same input
-    and seed give the same bins.
-    """
-    n = len(size)
-    if not n:
-        return []
+
+def first_people(size: list[int], capacity: int, seed: int, population: int = POPULATION) -> list[tuple]:
+    """The first individuals of an island: best fit, and best fit in shaken orders."""
     rng = np.random.default_rng(seed)
-    down = sorted(range(n), key=lambda i: (-size[i], i))
-    fewest = -(-sum(size) // capacity)
-    worlds = []
-    for w in range(islands):
-        world = []
-        for p in range(population):
-            order = down if not w and not p else sorted(range(n), key=lambda i: (-size[i] * rng.uniform(0.85, 1.0), i))
-            bins: list[list[int]] = []
-            space: list[int] = []
-            _best_fit(bins, space, order, size, capacity)
-            world.append((bins, space))
-        worlds.append(world)
-    score = lambda x: (-len(x[0]), _fitness(x[1], capacity))
-    for _ in range(epochs):
-        if any(len(x[0]) <= fewest for world in worlds for x in world):
+    return [best_fit(size, capacity), *(best_fit(size, capacity, 0.85, rng) for _ in range(population - 1))]
+
+
+def evolve(people: list[tuple], size: list[int], capacity: int, seed: int, generations: int = GENERATIONS, least: int = 0) -> list[tuple]:
+    """One epoch of an island; ends early at ``least`` bins. The same input and seed give the same."""
+    rng = np.random.default_rng(seed)
+    score = lambda x: _fitness(x[1], capacity)
+    people = sorted(people, key=score, reverse=True)
+    for _ in range(generations):
+        if len(people[0][0]) <= least:
+            break
+        other = people[int(rng.integers(1, len(people)))] if len(people) > 1 else people[0]
+        child = _cross(other, people[0], size, capacity, rng) if rng.random() < 0.5 else _mutate(people[0], size, capacity, rng)
+        if score(child) > score(people[-1]):
+            people[-1] = child
+            people.sort(key=score, reverse=True)
+    return people
+
+
+def pack(size: list[int], capacity: int = CAPACITY, seed: int = 0, islands: int = ISLANDS, epochs: int = EPOCHS) -> list[list[int]]:
+    """Bins of item numbers, the whole algorithm in one process: what :func:`containers` does for a shard
+    with a task for each island. No item may exceed ``capacity``."""
+    if not size:
+        return []
+    least = fewest(size, capacity)
+    worlds = [first_people(size, capacity, seed * 1000 + k) for k in range(islands)]
+    score = lambda x: _fitness(x[1], capacity)
+    for number in range(epochs):
+        if any(-score(x)[0] <= least for world in worlds for x in world):
             break
-        for world in worlds:
-            for _ in range(generations):
-                world.sort(key=score, reverse=True)
-                a, b = world[0], world[int(rng.integers(1, len(world)))] if len(world) > 1 else world[0]
-                child = _cross(b, a, size, capacity, rng) if rng.random() < 0.5 else _cross(a, b, size, capacity, rng)
-                if rng.random() < 0.66:
-                    child = _mutate(child, size, capacity, rng)
-                if score(child) >= score(world[-1]):
-                    world[-1] = child
         elites = [max(world, key=score) for world in worlds]
-        for k, world in enumerate(worlds):  # the elite of the island before takes the weakest place
-            world.sort(key=score, reverse=True)
-            world[-1] = elites[k - 1]
-    best = max((x for world in worlds for x in world), key=score)
-    return best[0]
+        for k, world in enumerate(worlds):
+            world[world.index(min(world, key=score))] = elites[k - 1]
+        worlds = [evolve(world, size, capacity, seed * 1000 + k * 31 + number, least=least) for k, world in enumerate(worlds)]
+    return max((x for world in worlds for x in world), key=score)[0]
 
 
-_ITEMS = "doc_id bigint, token_start bigint, token_end bigint"
-_PLACED = "shard bigint, bin bigint, fill bigint, " + _ITEMS
+def _numbers(person: tuple, n: int) -> list[int]:
+    out = [0] * n
+    for k, x in enumerate(person[0]):
+        for i in x:
+            out[i] = k
+    return out
+
+
+def _person(numbers: list[int], size: list[int], capacity: int) -> tuple:
+    bins: list[list[int]] = [[] for _ in range(max(numbers) + 1)]
+    for i, k in enumerate(numbers):
+        bins[k].append(i)
+    return bins, [capacity - sum(size[i] for i in x) for x in bins]
 
 
-def _pack_shard(capacity: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "token_start"], kind="stable").reset_index(drop=True)
-        size = (frame.token_end - frame.token_start).tolist()
-        shard = int(frame.shard.iloc[0])
-        where, fill = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        for k, items in enumerate(pack(size, capacity, seed=shard & 0x7FFFFFFF)):
-            where[items], fill[items] = k, sum(size[i] for i in items)
-        return frame.assign(bin=where, fill=fill)[["shard", "bin", "fill", "doc_id", "token_start", "token_end"]]
+_STATE = "shard bigint, island int, size array<int>, people array<array<int>>, bins int, fill double, least int"
+
+
+def _epoch(capacity: int, number: int, salt: int):
+    """shard, island, size, people, guest -> one epoch on; without people the first ones are made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {c: [] for c in ("people", "bins", "fill", "least")}
+            rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "island", "size", "people", "guest", "least")))
+            for shard, island, size, people, guest, least in rows:
+                seed = abs(hash((shard, island, number, salt))) % (1 << 63)
+                if people is None:
+                    least, now = fewest(size, capacity), first_people(size, capacity, seed)
+                else:
+                    now = [_person(p, size, capacity) for p in people]
+                    if guest is not None:  # the elite of the island before takes the weakest place
+                        now[-1] = _person(guest, size, capacity)
+                    now = evolve(now, size, capacity, seed, least=least)
+                now = sorted(now, key=lambda x: _fitness(x[1], capacity), reverse=True)
+                out["people"].append([_numbers(p, len(size)) for p in now])
+                out["bins"].append(len(now[0][0]))
+                out["fill"].append(_fitness(now[0][1], capacity)[1])
+                out["least"].append(least)
+            cols = [batch.column("shard"), batch.column("island"), batch.column("size"), pa.array(out["people"], pa.list_(pa.list_(pa.int32()))), pa.array(out["bins"], pa.int32()), pa.array(out["fill"], pa.float64()), pa.array(out["least"], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "island", "size", "people", "bins", "fill", "least"])
 
     return run
 
 
 def _packed(items: DataFrame, shards: int, capacity: int, salt: int) -> DataFrame:
+    """``shard, bin, fill, doc_id, token_start, token_end``: items in bins by the grouping genetic
+    algorithm. Each island of a shard is a row and evolves in a task of its own; between epochs the
+    elite of each island moves to the next one by a join. Shards whose best individual has the least
+    number of bins possible are done and take no further part."""
     rows = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "token_start", F.lit(salt)), F.lit(shards)).cast("bigint"))
-    return written(rows.groupBy("shard").applyInPandas(_pack_shard(capacity), _PLACED), "packed")
+    packs = written(rows.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("doc_id", "token_start", "token_end"))).alias("items")), "shards")
+    size = F.expr("transform(items, x -> int(x.token_end - x.token_start))")
+    islands = shards * ISLANDS
+    tasks = max(min(islands, 4 * items.sparkSession.sparkContext.defaultParallelism), islands // 500)
+    spread_out = lambda df: df.repartition(tasks, "shard", "island")
+    empty = packs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), size.alias("size"), F.lit(None).cast("array<array<int>>").alias("people"), F.lit(None).cast("array<int>").alias("guest"), F.lit(None).cast("int").alias("least"))
+    state = written(spread_out(empty).mapInArrow(_epoch(capacity, 0, salt), _STATE), "islands")
+    done = None
+    for number in range(1, EPOCHS + 1):
+        best = state.groupBy("shard").agg(F.min("bins").alias("b"), F.max("least").alias("l"))
+        finished = state.join(best.where("b <= l").select("shard"), "shard", "left_semi")
+        done = finished if done is None else done.unionByName(finished)
+        open_ = state.join(best.where("b > l").select("shard"), "shard", "left_semi")
+        if open_.isEmpty():
+            state = None
+            break
+        guests = open_.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("people")[0].alias("guest"))
+        state = written(spread_out(open_.join(guests, ["shard", "island"])).mapInArrow(_epoch(capacity, number, salt), _STATE), "islands")
+    every = done if state is None else state if done is None else done.unionByName(state)
+    top = every.groupBy("shard").agg(F.max_by(F.col("people")[0], F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("bin"))
+    placed = packs.join(top, "shard").select("shard", F.explode(F.arrays_zip("items", "bin")).alias("x")).select("shard", F.col("x.bin").alias("bin"), "x.items.doc_id", "x.items.token_start", "x.items.token_end")
+    fill = placed.groupBy("shard", "bin").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("fill"))
+    return written(placed.join(fill, ["shard", "bin"]), "packed")
 
 
-def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
+def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, token_start, token_end, container, place, fill``: which tokens of each text stand
     where. A text is split only when it exceeds the capacity: into full containers and a rest.
 
     Items are spread over shards of about ``SHARD`` by a hash, so no group of texts is packed in one
     task; containers that stay less than ``WELL_FILLED`` full hand their items on to a second round
-    over new shards. Null and empty texts give no row; equal texts are packed one by one; repeated
-    rows of one ``doc_id`` count once.
+    over new shards. Null and empty texts give no row; equal texts are packed one by one; of repeated
+    rows of one ``doc_id`` the one of fewest tokens counts.
     """
-    sizes = written(text_sizes(documents, tokenizer).dropDuplicates(["doc_id"]), "sizes")
+    sizes = written(text_sizes(documents, tokenizer, pattern), "sizes")
     pieces = sizes.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.expr(f"(tokens - 1) div {capacity}"))).alias("k"))
     pieces = pieces.select("doc_id", (F.col("k") * capacity).alias("token_start"), F.least(F.col("tokens"), (F.col("k") + 1) * capacity).alias("token_end"))
     full = pieces.where(F.col("token_end") - F.col("token_start") == capacity)
     rest = pieces.where(F.col("token_end") - F.col("token_start") < capacity)
-    shards = max(1, round(rest.count() / SHARD))
-    first = _packed(rest, shards, capacity, 1)
-    good = first.where(F.col("fill") >= WELL_FILLED * capacity)
+    key = lambda df, r: df.select("doc_id", "token_start", "token_end", "fill", (F.shiftleft("shard", 22) + F.col("bin") * 4 + r).alias("container"))
+    first = _packed(rest, max(1, round(rest.count() / SHARD)), capacity, 1)
     poor = first.where(F.col("fill") < WELL_FILLED * capacity).select("doc_id", "token_start", "token_end")
     again = _packed(poor, max(1, round(poor.count() / SHARD)), capacity, 2)
-    key = lambda df, r: df.select("doc_id", "token_start", "token_end", "fill", (F.col("shard") * 4_000_000 + F.col("bin") * 4 + r).alias("container"))
-    numbered = key(good, 1).unionByName(key(again, 2))
+    numbered = key(first.where(F.col("fill") >= WELL_FILLED * capacity), 1).unionByName(key(again, 2))
     # Places in a container: at most as many rows as its capacity.
     inside = numbered.groupBy("container").agg(F.max("fill").alias("fill"), F.array_sort(F.collect_list(F.struct("doc_id", "token_start", "token_end"))).alias("items"))
     placed = inside.select("container", "fill", F.posexplode("items").alias("place", "x")).select("x.doc_id", "x.token_start", "x.token_end", "container", F.col("place").cast("bigint").alias("place"), "fill")
-    alone = full.select("doc_id", "token_start", "token_end", (F.pmod(F.xxhash64("doc_id", "token_start"), F.lit(1 << 60)) * 4).alias("container"), F.lit(0).cast("bigint").alias("place"), F.lit(capacity).cast("bigint").alias("fill"))
-    return placed.unionByName(alone)
+    # A full piece is a container of its own; numbers by partition and row cannot meet, and are written so that they stay.
+    alone = written(full.select("doc_id", "token_start", "token_end", (F.monotonically_increasing_id() * 4).alias("container")), "full")
+    return placed.unionByName(alone.select("doc_id", "token_start", "token_end", "container", F.lit(0).cast("bigint").alias("place"), F.lit(capacity).cast("bigint").alias("fill")))

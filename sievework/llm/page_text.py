@@ -63,6 +63,8 @@ _STEMS = tuple(
     |{{|{%|<%|[%|#{|${|%%|[[|__|<<|lorem|ipsum|dolor|textus|textum|placeholder|filler|copia|quis |aute |sint |velit|magna|nostra|nulla|culpa""".replace("\n    ", "").split("|")
 )
 
+_SHORT_STEMS = ("here", "tk", "untitled", "new ", "sample", "hello", "null", "nan", "none", "nil", "n/a", "found", "available", "oops", "code", "ray id", "reference", "go back", "return", "back to", "try again", "loading", "chargement", "geladen", "cargando", "加载", "robot", "soon", "construction", "aufbau", "your", "error", "erreur", "fehler")
+
 # Words of filler text.
 FILLER_WORDS = frozenset(
     """lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim
@@ -90,7 +92,15 @@ def norm_line(line: str) -> str:
     return norm_lower(line.lower())
 
 
+_ZEROS = bytes.maketrans(b"123456789", b"000000000")
+
+
 def norm_lower(low: str) -> str:
+    if low.isascii():
+        raw = low.encode().translate(_ZEROS)
+        while b"00" in raw:
+            raw = raw.replace(b"00", b"0")
+        return " ".join(raw.decode().split())
     return " ".join(_DIGITS.sub("0", low).split())
 
 
@@ -115,26 +125,25 @@ def _sentence_evidence(low: str) -> int:
     return ev
 
 
-def _automaton():
+def _automaton(stems):
     found = ahocorasick.Automaton()
-    for stem in _STEMS:
+    for stem in stems:
         found.add_word(stem, True)
     found.make_automaton()
     return found
 
 
-_HINTS = _automaton()
-_AT = re.compile(r"\W*(?:at |[45]\d\d\b)")
+_HINTS, _SHORT_HINTS = _automaton(_STEMS), _automaton((*_STEMS, *_SHORT_STEMS))
 
 
 def line_evidence(line: str, low: str) -> tuple[int, int]:
     """Evidence bits of a line (``low``: in lower case), whatever its length, and the characters of its
     sentences that are evidence: a line that is no notice as a whole is read sentence by sentence."""
-    if len(line) <= SHORT:
-        return _short_evidence(line)
-    if next(_HINTS.iter(low), None) is None and not _AT.match(low):
-        return 0, 0
-    return _evidence(line)
+    if next((_SHORT_HINTS if len(line) <= SHORT else _HINTS).iter(low), None) is None:
+        start = low.lstrip(" \t#>*-_(")
+        if not (start.startswith("at ") or start[:1] in "45"):
+            return 0, 0
+    return _short_evidence(line) if len(line) <= SHORT else _evidence(line)
 
 
 @lru_cache(maxsize=65536)
@@ -175,28 +184,43 @@ def site_words(url: str | None, site: str | None) -> tuple[str, ...]:
     return tuple(p for p in re.split(r"[^a-z]+", host) if len(p) >= 5)
 
 
+@lru_cache(maxsize=4096)
+def _own_names(names: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"\b(?:" + "|".join(sorted({n[:k] for n in names for k in range(5, len(n) + 1)}, key=len, reverse=True)) + r")\b")
+
+
 def without_names(norm: str, names: tuple[str, ...]) -> str:
     """The line with each word by which the site names itself masked, so that a line all sites use is one line."""
-    if not any(n[:5] in norm for n in names):
-        return norm
-    return _WORDS.sub(lambda m: "§" if len(m[0]) >= 5 and any(n.startswith(m[0]) for n in names) else m[0], norm)
+    for n in names:
+        if n[:5] in norm:
+            return _own_names(names).sub("§", norm)
+    return norm
+
+
+_LAST = re.compile(r"[.!?。！？]\s*([^\W\d_]{5,}[^.!?。！？]{0,35})[.。]\Z")
 
 
 def is_signed(line: str, names: tuple[str, ...]) -> bool:
     """The line ends in a sentence that is nothing but the site's own name, of up to three words."""
-    s = line.rstrip()
-    if not names or s[-1:] not in ".。":
+    if not names:
+        return False
+    m = _LAST.search(line[-60:].rstrip())
+    if m is None or m[1].count(" ") > 2:
         return False
-    tail = s[max(s.rfind(c, 0, -1) for c in ".!?。！？") + 1 : -1].strip().lower()
-    first = tail.split(" ")[0]
-    return len(first) >= 5 and tail.count(" ") <= 2 and any(n.startswith(first) for n in names)
+    first = m[1].split(" ")[0].lower()
+    return any(n.startswith(first) for n in names)
+
+
+def is_sentence(line: str) -> bool:
+    """The line ends as a sentence does, whatever quotes, brackets or marks close it."""
+    return _SENTENCE.search(line, max(0, len(line) - 16)) is not None
 
 
 def label_of(line: str, kind: int) -> str:
     """The label that opens a line which is no sentence, such as the first place of a path or the
     word before a colon; or else what is left of a short line of names and numbers, such as who wrote
     a text and when. '' where there is neither."""
-    if kind not in (PROSE, ITEM) or _SENTENCE.search(line):
+    if kind not in (PROSE, ITEM) or is_sentence(line):
         return ""
     m = _LABEL.match(line)
     if m is not None:
@@ -315,15 +339,20 @@ def prose_weight(line: str) -> int:
 
 # Names: rows of words that begin with a capital.
 _NAME = re.compile(r"\b[A-ZÀ-ÞΆ-ΫЀ-Я][^\W_]*(?:[ '’.-]{1,2}[A-ZÀ-ÞΆ-ΫЀ-Я][^\W_]*)+")
-# Beginnings of the names of months, which make a date of the numbers beside them.
-_MONTHS = re.compile(r"\b(?:jan|feb|fév|mar|mär|apr|avr|abr|may|mai|jun|jui|jul|aug|aoû|ago|sep|oct|okt|nov|dec|dez|déc|dic|ene)[^\W\d_]{0,8}\b\.?")
-_DATE = re.compile(r"0(?:[-/.:, 年月日]+0)+[年月日]?")
+# Beginnings of the names of months.
+_MONTH = "(?:jan|feb|fév|mar|mär|apr|avr|abr|may|mai|jun|jui|jul|aug|aoû|ago|sep|oct|okt|nov|dec|dez|déc|dic|ene)[^\\W\\d_]{0,8}[., ]+"
+_DATE = re.compile(rf"0(?:[-/.:, 年月日]+(?:{_MONTH})?0)+[年月日]?")
+_MONTH_DAY = re.compile(rf"\b{_MONTH}0(?![^\W_])")
 
 
-def masked_line(line: str) -> str:
+def masked_line(line: str, norm: str | None = None) -> str:
     """The line with numbers, dates and names masked, in lower case and with white space runs as one
     space. Names are rows of capitalised words; a line of little else keeps its words."""
-    s = norm_line(_NAME.sub("¤", line))
+    norm = norm_line(line) if norm is None else norm
+    named = _NAME.sub("¤", line)
+    s = norm if named == line else norm_line(named)
     if "0" in s:
-        s = _DATE.sub("0", _MONTHS.sub("0", s))
-    return s if "¤" not in s or sum(map(str.isalpha, s)) >= 4 or "0" in s else norm_line(line)
+        s = _DATE.sub("0", s)
+        if " 0" in s:
+            s = _MONTH_DAY.sub("0", s)
+    return norm if "¤" in s and len(s) < 40 and "0" not in s and sum(map(str.isalpha, s)) < 4 else s

@@ -25,8 +25,8 @@ MIN_PAGES = 6
 #: A line of a small site is recurrent when it stands in ``MIN_PAGES`` articles of so many sites.
 MIN_SITES = 3
 #: A recurrent line heads a block of links when on this share of its places the line right below it is
-#: one that does not recur.
-HEADS_SHARE = 0.3
+#: one that stands below it nowhere else on the site.
+HEADS_SHARE = 0.4
 #: Two pages are copies when they share this share of their prose in lines that recur.
 COPY_SHARE = 0.5
 #: A recurrent line is boilerplate that says nothing about a page when this share of the pages that
@@ -99,64 +99,66 @@ def band_keys(values: np.ndarray, sites: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _analyse(bands: bool):
-    names = [*_LINE_COLUMNS]
+def _flat(rows: list[tuple], types: dict[str, str], offsets: list[int]) -> list[pa.Array]:
+    """List columns of ``types`` from the rows of all lists one after the other."""
+    off = pa.array(offsets, pa.int32())
+    columns = zip(*rows) if rows else ((),) * len(types)
+    return [pa.ListArray.from_arrays(off, pa.array(c, _ARROW[t])) for c, t in zip(columns, types.values())]
+
 
+def _analyse(bands: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 ids, sites, urls, texts = (batch.column(k) for k in range(4))
-                offsets, cols, masked, site_hash = [0], {c: [] for c in names}, [], []
-                put = [cols[c].append for c in names]
+                offsets, rows, masked, site_hash = [0], [], [], []
                 for url, site, text in zip(urls.to_pylist(), sites.to_pylist(), texts.to_pylist()):
                     words = T.site_words(url, site)
                     prefix = (site + "\0").encode("utf-8", "replace")
-                    here = xxhash.xxh3_64_intdigest(prefix)
+                    here = digest(prefix)
                     lines = text.split("\n")
-                    kinds = T.kinds_of(lines)
-                    seen, block, rows = set(), 0, []
-                    for no, line in enumerate(lines):
-                        kind = kinds[no]
+                    seen, block, before = set(), 0, None
+                    for no, (line, kind) in enumerate(zip(lines, T.kinds_of(lines))):
                         if kind == T.NONE:
-                            block += 1
+                            block, before = block + 1, None
                             continue
                         if not T.has_letter(line):
                             continue
                         low = line.lower()
                         norm = T.norm_lower(low)
                         raw = norm.encode("utf-8", "replace")
-                        key = _signed(xxhash.xxh3_64_intdigest(prefix + raw))
-                        cross = _signed(xxhash.xxh3_64_intdigest(T.without_names(norm, words).encode("utf-8", "replace")))
+                        key = _signed(digest(prefix + raw))
+                        named = T.without_names(norm, words)
+                        cross = _signed(digest(raw if named is norm else named.encode("utf-8", "replace")))
                         label = T.label_of(line, kind)
+                        label_key = _signed(digest(prefix + b"\1" + label.encode("utf-8", "replace"))) if label else 0
                         size, own, other, links = T.links_of(line, site) if "](" in line else (len(line.strip()), 0, 0, 0)
                         ev, held = T.line_evidence(line, low)
-                        prose = max(0, T.prose_weight(line) - held) if kind not in (T.HEAD, T.TITLE) else 0
-                        if ev & (T.EV_PLACEHOLDER | T.EV_FILLER):
-                            prose = 0
-                        sentence = kind in (T.PROSE, T.QUOTE, T.ITEM) and T._SENTENCE.search(line) is not None
-                        rows.append((no, key, cross, _signed(xxhash.xxh3_64_intdigest(prefix + b"\1" + label.encode("utf-8", "replace"))) if label else 0, 0, key not in seen, block, kind,
-                                     size, own, other, 1 + links, T.is_signed(line, words) if kind == T.PROSE else False, ev, prose, sentence))
+                        prose = 0
+                        if kind not in (T.HEAD, T.TITLE) and not ev & (T.EV_PLACEHOLDER | T.EV_FILLER):
+                            prose = max(0, T.prose_weight(line) - held)
+                        if before is not None and kind not in (T.TITLE, T.CODE, T.TABLE):
+                            rows[before] = (*rows[before][:4], label_key or key, *rows[before][5:])
+                        before = len(rows)
+                        rows.append((no, key, cross, label_key, 0, key not in seen, block, kind, size, own, other, 1 + links,
+                                     kind == T.PROSE and T.is_signed(line, words), ev, prose, kind in (T.PROSE, T.QUOTE, T.ITEM) and T.is_sentence(line)))
                         seen.add(key)
                         if bands:
-                            masked.append(T.masked_line(line).encode("utf-8", "replace"))
+                            masked.append(T.masked_line(line, norm).encode("utf-8", "replace"))
                             site_hash.append(here)
-                    for k, row in enumerate(rows):
-                        after = rows[k + 1] if k + 1 < len(rows) else None
-                        below = after is not None and after[6] == row[6] and after[7] not in (T.TITLE, T.CODE, T.TABLE)
-                        for add, value in zip(put, row[:4] + (after[1] if below else 0,) + row[5:]):
-                            add(value)
-                    offsets.append(len(cols["line_no"]))
-                off = pa.array(offsets, pa.int32())
-                out = [ids, sites, *(pa.ListArray.from_arrays(off, pa.array(cols[c], _ARROW[t])) for c, t in _LINE_COLUMNS.items())]
+                    offsets.append(len(rows))
+                out = [ids, sites, *_flat(rows, _LINE_COLUMNS, offsets)]
                 if bands:
+                    off = out[2].offsets
                     values = min_hashes(masked) if masked else np.empty((0, BANDS * ROWS), np.uint32)
                     keys = band_keys(values, np.array(site_hash, np.uint64))
                     # Sixteen bits of each value, four to a number: enough to estimate similarity in SQL.
-                    low = (values & np.uint32(0xFFFF)).astype(np.uint64).reshape(len(values), -1, 4)
-                    packed = (low << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(axis=2, dtype=np.uint64).view(np.int64)
+                    low16 = (values & np.uint32(0xFFFF)).astype(np.uint64).reshape(len(values), -1, 4)
+                    packed = (low16 << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(axis=2, dtype=np.uint64).view(np.int64)
                     out += [pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(x), pa.int64())) for x in (*keys.T, *packed.T)]
-                yield pa.RecordBatch.from_arrays(out, ["fetch_id", "site", *names, *(BAND_COLUMNS if bands else ())])
+                yield pa.RecordBatch.from_arrays(out, ["fetch_id", "site", *_LINE_COLUMNS, *(BAND_COLUMNS if bands else ())])
 
     return run
 
@@ -190,9 +192,11 @@ def one_page_each(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("markdown").isNotNull()).groupBy("fetch_id").agg(first).select("fetch_id", "r.markdown", "r.url", "r.site")
 
 
-def exploded(pages: DataFrame, *names: str) -> DataFrame:
-    """One row per line of ``page_lines``, with the line columns ``names``."""
-    zipped = F.explode(F.arrays_zip(*names)).alias("l")
+def exploded(pages: DataFrame, *names: str, where: str | None = None) -> DataFrame:
+    """One row per line ``x`` of ``page_lines`` (where one is given, of those it holds for), with the
+    line columns ``names``."""
+    zipped = f"arrays_zip({', '.join(names)})"
+    zipped = F.explode(F.expr(f"filter({zipped}, x -> {where})" if where else zipped)).alias("l")
     return pages.select("fetch_id", "site", zipped).select("fetch_id", "site", *(F.col(f"l.{n}").alias(n) for n in names))
 
 
@@ -220,80 +224,98 @@ def _copies(held: DataFrame, lines: DataFrame) -> DataFrame | None:
     return connected_components(edges).select(F.col("id").alias("fetch_id"), F.col("component").alias("article"))
 
 
-def site_lines(lines: DataFrame, least: int = MIN_PAGES) -> DataFrame:
+def site_lines(lines: DataFrame, of: DataFrame | None = None, least: int = MIN_PAGES) -> DataFrame:
     """``line_key, bits``: what the pages of a site say about its lines (``RECURS``, ``HEADS``,
-    ``LABELLED`` of :mod:`sievework.llm.page_text`).
+    ``LABELLED`` of :mod:`sievework.llm.page_text`). With ``of``, only about the lines of those pages,
+    counted over all pages all the same.
 
     A line recurs when at least ``least`` different articles of its site hold it, or as many articles
     of ``MIN_SITES`` sites, with the names by which sites call themselves masked. Copies of one
     article, however many, are one article. A line is labelled when the label that opens it does so in
-    ``least`` articles.
+    ``least`` articles. A recurrent line is a heading when what follows it right below keeps changing.
     """
-    each = exploded(lines, "line_key", "cross_key", "label_key", "next_key", "first", "prose", "sentence")
-    once = each.where("first")
-    per_key = once.groupBy("line_key").agg(F.count("*").alias("pages"), F.max("cross_key").alias("cross_key"), F.max("site").alias("site"))
-    per_key = written(per_key.groupBy("cross_key").agg(F.sum("pages").alias("all"), F.count_distinct("site").alias("sites"), F.collect_list(F.struct("line_key", "pages")).alias("k"))
-                      .where(F.col("all") >= least).select("sites", F.explode("k").alias("k")).where((F.col("k.pages") >= least) | (F.col("sites") >= MIN_SITES)).select("k.line_key"), "recurrent")
-    held = written(once.join(per_key, "line_key", "left_semi").select("fetch_id", "site", "line_key", "cross_key", "next_key", "prose", "sentence"), "held")
-    article = _copies(held, lines)
-    votes = held.select("fetch_id", "site", "line_key", "cross_key")
-    voter = F.col("fetch_id")
+    once = exploded(lines, "line_key", "cross_key", "next_key", "prose", "sentence", "first", where="x.first")
+    keys = exploded(lines, "line_key", "cross_key", "first", where="x.first")
+    labels = exploded(lines, "line_key", "label_key", "first", where="x.first and x.label_key <> 0")
+    if of is not None:
+        asked = written(exploded(of, "line_key", "cross_key", "label_key").select("line_key", "cross_key", "label_key").distinct(), "asked")
+        keys = keys.join(asked.select("cross_key").distinct(), "cross_key", "left_semi")
+        labels = labels.join(asked.select("label_key").distinct(), "label_key", "left_semi")
+    per_key = keys.groupBy("line_key").agg(F.count("*").alias("pages"), F.max("cross_key").alias("cross_key"), F.max("site").alias("site"))
+    # Lines that recur on one site, and those of small sites that recur over sites, before copies are told.
+    over = per_key.groupBy("cross_key").agg(F.sum("pages").alias("all"), F.count_distinct("site").alias("sites")).where((F.col("all") >= least) & (F.col("sites") >= MIN_SITES))
+    recurrent = written(per_key.where(F.col("pages") >= least).select("line_key").unionByName(per_key.join(over.select("cross_key"), "cross_key", "left_semi").select("line_key")).distinct(), "recurrent")
+    held = written(once.join(recurrent, "line_key", "left_semi").select("fetch_id", "site", "line_key", "cross_key", "next_key", "prose", "sentence"), "held")
+    article = None if of is not None else _copies(held, lines)
+    votes, tagged, voter = held, labels, F.col("fetch_id")
     if article is not None:
         article = written(article, "articles")
-        votes, voter = votes.join(article, "fetch_id", "left"), F.coalesce("article", "fetch_id")
-    votes = votes.select("line_key", "cross_key", "site", voter.alias("article")).distinct()
-    here = votes.groupBy("line_key").agg(F.count("*").alias("n"), F.max("cross_key").alias("cross_key"))
-    cross = votes.groupBy("cross_key").agg(F.count_distinct("site").alias("sites"), F.count_distinct("article").alias("everywhere"))
-    recurs = here.join(cross, "cross_key").where((F.col("n") >= least) | ((F.col("sites") >= MIN_SITES) & (F.col("everywhere") >= least))).select("line_key")
-    recurs = written(recurs, "recurs")
-    tagged = each.where("label_key <> 0").select("fetch_id", "line_key", "label_key").distinct()
-    if article is not None:
-        tagged = tagged.join(article, "fetch_id", "left").select(F.coalesce("article", "fetch_id").alias("fetch_id"), "line_key", "label_key")
-    often = tagged.groupBy("label_key").agg(F.count_distinct("fetch_id").alias("n")).where(F.col("n") >= least)
-    labelled = written(tagged.join(often, "label_key", "left_semi").select("line_key").distinct(), "labelled")
-    known = recurs.unionByName(labelled).distinct()
-    below = held.join(recurs, "line_key", "left_semi").join(known.select(F.col("line_key").alias("next_key"), F.lit(1).alias("known")), "next_key", "left")
-    heads = below.groupBy("line_key").agg(F.avg((F.col("next_key") != 0).cast("double") * F.col("known").isNull().cast("double")).alias("share")).where(F.col("share") >= HEADS_SHARE)
-    marks = recurs.withColumn("bits", F.lit(T.RECURS)).unionByName(heads.select("line_key", F.lit(T.HEADS).alias("bits"))).unionByName(labelled.withColumn("bits", F.lit(T.LABELLED)))
-    return written(marks.groupBy("line_key").agg(F.bit_or("bits").alias("bits")), "site-lines")
-
-
-def _density(bands: bool):
-    kept = ["line_no", "line_key", "first", *(BAND_COLUMNS if bands else ())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("line_no", "line_key", "run", "kind", "size", "own", "other", "tags", "signed", "evidence", "prose", "marks")}
-            outside, own_prose, evident = [], [], []
-            for k in range(batch.num_rows):
-                marks = {m["line_key"]: m["bits"] for m in cols["marks"][k] or ()}
-                keys, evidence = cols["line_key"][k], cols["evidence"][k]
-                bits = [marks.get(x, 0) | (T.SIGNED if s else 0) for x, s in zip(keys, cols["signed"][k])]
-                out = T.outside_lines(cols["run"][k], cols["kind"][k], cols["size"][k], cols["own"][k], cols["other"][k], cols["tags"][k], bits)
-                outside.append(out)
-                own_prose.append(sum(p for p, o, b in zip(cols["prose"][k], out, bits) if not o and not b & T.RECURS))
-                evident.append([x for x, e in zip(keys, evidence) if e])
-            out_cols = [batch.column("fetch_id"), batch.column("site"), *(batch.column(c) for c in kept), pa.array(outside, pa.list_(pa.bool_())), pa.array(own_prose, pa.int64()), pa.array(evident, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out_cols, ["fetch_id", "site", *kept, "outside", "own_prose", "evident"])
-
-    return run
+        votes, tagged, voter = votes.join(article, "fetch_id", "left"), tagged.join(article, "fetch_id", "left"), F.coalesce("article", "fetch_id")
+    votes = votes.groupBy("line_key", "cross_key", "site", voter.alias("article")).agg(F.max("next_key").alias("next_key"))
+    here = votes.groupBy("line_key").agg(F.count("*").alias("n"), F.max("cross_key").alias("cross_key"), F.count_distinct(F.when(F.col("next_key") != 0, F.col("next_key"))).alias("below"))
+    cross = votes.groupBy("cross_key").agg(F.count_distinct("site").alias("sites"), F.count_distinct("article").alias("everywhere")).where((F.col("sites") >= MIN_SITES) & (F.col("everywhere") >= least))
+    recurs = here.join(cross, "cross_key", "left").where((F.col("n") >= least) | F.col("sites").isNotNull())
+    recurs = recurs.select("line_key", F.when((F.col("below") - 1) / F.col("n") >= HEADS_SHARE, T.RECURS | T.HEADS).otherwise(T.RECURS).alias("bits"))
+    often = tagged.groupBy("label_key").agg(F.count_distinct(voter).alias("n")).where(F.col("n") >= least)
+    labelled = labels.join(often, "label_key", "left_semi").select("line_key", F.lit(T.LABELLED).alias("bits")).distinct()
+    return written(recurs.unionByName(labelled).groupBy("line_key").agg(F.bit_or("bits").alias("bits")), "site-lines")
+
+
+def _density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = ["line_no", "line_key", "first"]
+    read = ("line_key", "run", "kind", "size", "own", "other", "tags", "signed", "evidence", "prose")
+    for batch in batches:
+        keys, runs, kinds, sizes, owns, others, tags, signed, evidence, prose = (batch.column(c).flatten().to_numpy(zero_copy_only=False).tolist() for c in read)
+        ends = np.cumsum(batch.column("line_no").value_lengths().to_numpy()).tolist()
+        marks, marked = batch.column("marks"), {}
+        if marks.null_count < batch.num_rows:
+            lengths = marks.value_lengths().fill_null(0).to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), lengths).tolist()
+            inside = marks.flatten()
+            marked = {(r, k): b for r, k, b in zip(owner, inside.field("line_key").to_pylist(), inside.field("bits").to_pylist())}
+        outside, own_prose, evident, a = [], [], [], 0
+        for r, b in enumerate(ends):
+            bits = [marked.get((r, k), 0) for k in keys[a:b]]
+            if True in signed[a:b]:
+                bits = [x | T.SIGNED if s else x for x, s in zip(bits, signed[a:b])]
+            out = T.outside_lines(runs[a:b], kinds[a:b], sizes[a:b], owns[a:b], others[a:b], tags[a:b], bits)
+            outside += out
+            own_prose.append(sum(p for p, o, x in zip(prose[a:b], out, bits) if p and not o and not x & T.RECURS))
+            evident.append([k for k, e in zip(keys[a:b], evidence[a:b]) if e] if any(evidence[a:b]) else [])
+            a = b
+        off = pa.array([0, *ends], pa.int32())
+        out_cols = [batch.column("fetch_id"), batch.column("site"), *(batch.column(c) for c in kept), pa.ListArray.from_arrays(off, pa.array(outside, pa.bool_())), pa.array(own_prose, pa.int64()), pa.array(evident, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(out_cols, ["fetch_id", "site", *kept, "outside", "own_prose", "evident"])
+
+
+def _analysed(lines: DataFrame, marks: DataFrame | None) -> DataFrame:
+    """The density tree over ``page_lines`` with the ``bits`` of their lines."""
+    if marks is None:
+        lines = lines.withColumn("marks", F.lit(None).cast("array<struct<line_key:bigint,bits:int>>"))
+    else:
+        held = exploded(lines, "line_key", "first", where="x.first").join(marks, "line_key").groupBy("fetch_id").agg(F.collect_list(F.struct("line_key", "bits")).alias("marks"))
+        lines = lines.join(held, "fetch_id", "left")
+    schema = "fetch_id bigint, site string, line_no array<int>, line_key array<bigint>, first array<boolean>, outside array<boolean>, own_prose bigint, evident array<bigint>"
+    needed = lines.select("fetch_id", "site", "line_no", "line_key", "first", "run", "kind", "size", "own", "other", "tags", "signed", "evidence", "prose", "marks")
+    return needed.mapInArrow(_density, schema)
 
 
-def analysed_pages(pages: DataFrame, bands: bool = False, learn: bool = True) -> DataFrame:
+def analysed_pages(pages: DataFrame, learn: bool = True) -> DataFrame:
     """One row per page that is not blank, written: ``fetch_id, site``, its lines with letters
-    (``line_no, line_key, first, outside`` and with ``bands`` the bands), the prose of its main body
-    that does not recur (``own_prose``) and the keys of its lines that are evidence (``evident``).
+    (``line_no, line_key, first, outside``), the prose of its main body that does not recur
+    (``own_prose``) and the keys of its lines that are evidence (``evident``).
 
     Without ``learn`` nothing is learned from the site's other pages: density sees links only."""
+    lines = written(page_lines(one_page_each(pages)), "page-lines")
+    return written(_analysed(lines, site_lines(lines) if learn else None), "analysed")
+
+
+def lines_and_leftovers(pages: DataFrame, bands: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``page_lines``, written, and the leftover pages among them. Only pages with evidence need their
+    main body for that, so density is taken on those alone."""
     lines = written(page_lines(one_page_each(pages), bands), "page-lines")
-    if learn:
-        marks = exploded(lines, "line_key", "first").where("first").join(site_lines(lines), "line_key").groupBy("fetch_id").agg(F.collect_list(F.struct("line_key", "bits")).alias("marks"))
-        lines = lines.join(marks, "fetch_id", "left")
-    else:
-        lines = lines.withColumn("marks", F.lit(None).cast("array<struct<line_key:bigint,bits:int>>"))
-    schema = "fetch_id bigint, site string, line_no array<int>, line_key array<bigint>, first array<boolean>, " + ("".join(f"{c} array<bigint>, " for c in BAND_COLUMNS) if bands else "")
-    needed = lines.drop("cross_key", "label_key", "next_key", "sentence")
-    return written(needed.mapInArrow(_density(bands), schema + "outside array<boolean>, own_prose bigint, evident array<bigint>"), "analysed")
+    suspects = written(lines.where(F.exists("evidence", lambda e: e > 0)).drop(*(BAND_COLUMNS if bands else ())), "suspects")
+    return lines, leftover_pages(_analysed(suspects, site_lines(lines, suspects)))
 
 
 def leftover_pages(pages: DataFrame, share: float = BOILERPLATE_SHARE, min_prose: int = MIN_PROSE) -> DataFrame:

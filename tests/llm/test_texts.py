@@ -120,6 +120,41 @@ def test_packing_is_whole_and_tight():
     assert K.pack([]) == [] and len(K.pack([1200] * 5)) == 5
 
 
+def text_sizes(seed, n=1000):
+    rng = random.Random(seed)
+    return [min(2047, max(1, int(rng.lognormvariate(5.85, 0.62)))) for _ in range(n)]
+
+
+def test_evolution_beats_best_fit():
+    fit, evolved, least = 0, 0, 0
+    for seed in range(6):
+        size = text_sizes(seed)
+        fit, evolved, least = fit + len(K.best_fit(size)[0]), evolved + len(K.pack(size, seed=seed)), least + K.fewest(size)
+    assert least <= evolved < fit and evolved <= least + 1
+    # Sizes of which three fill a bin: best fit is far off.
+    rng = random.Random(4)
+    triples = [x for _ in range(60) for x in (lambda a, b: (a, b, 1000 - a - b))(rng.randrange(380, 490), rng.randrange(255, 330))]
+    assert len(K.pack(triples, 1000, seed=1)) < len(K.best_fit(triples, 1000)[0])
+
+
+def test_lower_bound_against_brute_force():
+    rng = random.Random(2)
+
+    def optimum(size, bins):
+        if not size:
+            return len(bins)
+        best = len(size) + len(bins)
+        for k in range(len(bins)):
+            if bins[k] + size[0] <= 10:
+                best = min(best, optimum(size[1:], bins[:k] + [bins[k] + size[0]] + bins[k + 1 :]))
+        return min(best, optimum(size[1:], [*bins, size[0]]))
+
+    for _ in range(60):
+        size = [rng.randrange(1, 10) for _ in range(6)]
+        assert K.fewest(size, 10) <= optimum(size, []) <= len(K.pack(size, 10))
+        assert len(K.pack(size, 10)) == optimum(size, [])
+
+
 def test_containers(spark):
     docs = [(1, "one two three " * 2000), (2, "short"), (3, None), (4, ""), (5, "short"), (5, "short"), (6, "é漢字 <|endoftext|> 🙂")]
     got = K.containers(spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, tokens int")).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -180,35 +181,59 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class ReadingLevel:
-    """Fitted on labelled texts: ``bands`` gives the band of texts."""
-
-    def __init__(self, texts: list[str], bands: list[float]):
-        grades = [int(min(max(round(b), 1), BANDS)) for b in bands]
-        n = len(texts)
-        fold = np.arange(n) % FOLDS
-        score = np.full(n, np.nan)
-        if n >= 2 * FOLDS:  # each text is scored by models that have not seen it
-            for k in range(FOLDS):
-                own, other = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-                score[own] = GradedModels([texts[i] for i in other], [grades[i] for i in other]).scores([texts[i] for i in own])
-        self.models = GradedModels(texts, grades)
-        ok = ~np.isnan(score)
-        self.x, self.level = isotonic(score[ok], np.array(bands, float)[ok], np.ones(ok.sum())) if ok.any() else (np.array([1.0, 4.0]), np.array([1.0, 4.0]))
+    """Models of all labelled texts and the monotone map from their score to a band: ``bands`` gives
+    the band of texts."""
+
+    def __init__(self, models: GradedModels, scores: np.ndarray, bands: np.ndarray):
+        self.models = models
+        ok = ~np.isnan(scores)
+        self.x, self.level = isotonic(scores[ok], bands[ok], np.ones(ok.sum())) if ok.any() else (np.array([1.0, 4.0]), np.array([1.0, 4.0]))
 
     def bands(self, texts: list[str]) -> np.ndarray:
         level = np.interp(np.nan_to_num(self.models.scores(texts), nan=1.0), self.x, self.level)
         return np.clip(np.floor(level + 0.5), 1, BANDS).astype(np.int64)
 
 
+def _fit_part(texts: list[str], grades: list[int]):
+    """part -> part, what came of it: scores of a fold's texts by models of the other folds, or the
+    models of all texts for the part ``FOLDS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = np.arange(len(texts)) % FOLDS
+        for batch in batches:
+            made = []
+            for part in batch.column("part").to_pylist():
+                own, other = np.flatnonzero(fold == part), np.flatnonzero(fold != part)
+                models = GradedModels([texts[i] for i in other], [grades[i] for i in other])
+                made.append(pickle.dumps(models if part == FOLDS else models.scores([texts[i] for i in own])))
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(made, pa.binary())], ["part", "made"])
+
+    return run
+
+
 def fit_reading_level(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> ReadingLevel:
-    """Fitted on the labelled English documents, at most ``most`` of them; a document's raters count
-    once each, and their median is its band."""
+    """Fitted on the labelled English documents, at most ``most`` of them, which are chosen by their
+    ids before any text is read; a document's raters count once each, and their median is its band.
+
+    Each text is scored by models that have not seen it. The models of the folds and those of all texts
+    are fitted side by side, each in a task of its own.
+    """
+    spark = documents.sparkSession
     votes = labels.where("doc_id is not null and band between 1 and 4").select("doc_id", "rater", "band").distinct()
-    label = votes.groupBy("doc_id").agg(F.expr("percentile(band, 0.5)").alias("band"))
-    rows = documents.where("text is not null").select("doc_id", "text", "lang").join(label, "doc_id").dropDuplicates(["doc_id"])
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    label = votes.groupBy("doc_id").agg(F.expr("percentile(band, 0.5)").alias("band")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = documents.where("text is not null").select("doc_id", "text", "lang").join(F.broadcast(label), "doc_id")  # at most ``most`` rows are broadcast
+    rows = texts.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "band")).alias("r")).select("doc_id", "r.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     rows = [r for r in rows if is_english(r.text, r.lang)]
-    return ReadingLevel([r.text for r in rows], [float(r.band) for r in rows])
+    known, bands = [r.text for r in rows], np.array([float(r.band) for r in rows])
+    grades = [int(min(max(round(b), 1), BANDS)) for b in bands]
+    if len(rows) < 2 * FOLDS:
+        return ReadingLevel(GradedModels(known, grades), np.full(len(rows), np.nan), bands)
+    parts = spark.range(0, FOLDS + 1, 1, FOLDS + 1).withColumnRenamed("id", "part").mapInArrow(_fit_part(known, grades), "part bigint, made binary")
+    made = {r.part: pickle.loads(r.made) for r in parts.collect()}
+    scores = np.full(len(rows), np.nan)
+    for k in range(FOLDS):
+        scores[k::FOLDS] = made[k]
+    return ReadingLevel(made[FOLDS], scores, bands)
 
 
 def _graded(model: ReadingLevel):

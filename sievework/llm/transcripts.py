@@ -27,7 +27,15 @@ _VOICE = re.compile(r"^\s*<v(?:\.[\w.]+)?\s+([^>]+)>(.*?)(?:</v>)?\s*$", re.S)
 _BOLD = re.compile(r"^\s*\*\*([^*]{1,60})\*\*\s*:?\s*(.*)$", re.S)
 _COLON = re.compile(r"^\s*(?:>>\s*|[-–—]\s+)?([^:\n]{1,60}?)\s*:(?:\s+|$)(.*)$", re.S)
 _NUMBERED = re.compile(r"^(?:(?:speaker|spk|person|participant|voice|sprecher|locuteur)[\s_#-]*|s|spk)0*(\d{1,3})$", re.I)
-_NOISE = re.compile(r"\[[^\]\n]{0,40}\]|\*[^*\n]{1,30}\*|\((?:[a-z]+[ -]?){1,3}\)|[♪♫]+|<[^>\n]{1,20}>", re.I)
+# Beginnings of words for sounds. In round brackets or between stars words are a noise only
+# with one of these; in square brackets, as transcripts have it, all words are.
+SOUNDS = (
+    "laugh", "chuckl", "giggl", "cough", "sneez", "sniff", "sigh", "gasp", "groan", "yawn", "breath", "inhal", "exhal", "throat", "cry", "cries", "sob", "scream", "shout", "whisper", "murmur", "mumbl",
+    "whistl", "hum", "applau", "clap", "cheer", "music", "song", "sing", "door", "phone", "bell", "ring", "knock", "footstep", "beep", "buzz", "bark", "static", "noise", "sound", "background", "crosstalk",
+    "overlap", "inaudible", "unintelligible", "indistinct", "unclear", "silence", "pause", "break",
+)
+_SOUND = rf"(?=[^)*\n]*\b(?:{'|'.join(SOUNDS)}))"
+_NOISE = re.compile(rf"\[[^\]\n]{{0,40}}\]|\*{_SOUND}[^*\n]{{1,30}}\*|\({_SOUND}(?:[a-z]+[ -]?){{1,4}}\)|[♪♫]+|<[^>\n]{{1,20}}>", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 _FILLER_SPAN = re.compile(r"(?<![\w'-])(?:" + "|".join(sorted(FILLERS | {"mm-hmm", "uh-huh", "mm-hm"}, key=len, reverse=True)) + r")(?![\w'-])(?:\.\.\.|…|,)?\s*", re.I)
 
@@ -228,9 +236,6 @@ def clean_span(text: str) -> str:
     return re.sub(r"\s+([,.!?;:])", r"\1", re.sub(r"\s+", " ", bare)).strip()
 
 
-_CUE_PREFIX = re.compile(r"^(?:note|one thing|so the question is|so|remember|question|answer)\s*:\s*$", re.I)
-
-
 def turns(transcript: str | None, roster: list[tuple[int, str]]) -> list[tuple[int, float | None, str]]:
     """``(speaker_no, start, text)`` of each turn in order of time. Text before any label is dropped."""
     if not transcript or not roster:
@@ -239,8 +244,6 @@ def turns(transcript: str | None, roster: list[tuple[int, str]]) -> list[tuple[i
     speaker = None
     for cue in ordered(read_cues(transcript, roster)):
         said = " ".join(filter(None, (clean_span(t) for t in cue.text)))
-        if _CUE_PREFIX.match(said):
-            said = ""
         who = cue.speaker if cue.speaker is not None else speaker
         if not said:
             continue
@@ -272,9 +275,9 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def speaker_turns(results: DataFrame, speakers: DataFrame) -> DataFrame:
     """Clean turns of each transcript, numbered from 1 in order of time.
 
-    Null and blank transcripts, and those without a roster, give no row; repeated rows of an id are
-    one; a roster row without number is ignored.
+    Null and blank transcripts, and those without a roster, give no row; of repeated rows of an
+    id the first transcript in order is read; a roster row without number is ignored.
     """
     people = speakers.where("speaker_no is not null").groupBy("result_id").agg(F.collect_set(F.struct("speaker_no", "full_name")).alias("people"))
-    rows = results.where("result_id is not null and trim(transcript) <> ''").select("result_id", "transcript").dropDuplicates(["result_id"])
+    rows = results.where("result_id is not null and trim(transcript) <> ''").groupBy("result_id").agg(F.min("transcript").alias("transcript"))
     return rows.join(people, "result_id").select("result_id", "transcript", "people").mapInArrow(_run, _TURNS)

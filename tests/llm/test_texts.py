@@ -44,6 +44,12 @@ def test_clean_span():
     assert X.clean_span("Uh, um. [laughter]") == "" and X.clean_span("see (e.g. Lee et al.)") == "see (e.g. Lee et al.)"
 
 
+def test_words_in_brackets_are_kept_unless_they_are_sounds():
+    said = "We moved (to Paris in) the spring (in Berlin) and *really* meant it"
+    assert X.clean_span(said) == said
+    assert X.clean_span("We (door closes) moved *sighs* on (clears throat) then [music] (laughs).") == "We moved on then."
+
+
 def test_turns_of_tables(spark):
     r = spark.createDataFrame([(1, "Ann: hi there.", 5), (2, None, 5), (3, "Bob: hi.", 5), (1, "Ann: hi there.", 5)], "result_id bigint, transcript string, speaker_no int")
     s = spark.createDataFrame([(1, 1, "Ann Lee"), (1, None, "X"), (2, 1, "Q")], "result_id bigint, speaker_no int, full_name string")

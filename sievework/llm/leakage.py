@@ -46,8 +46,11 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]):
         words, at = word_hashes([t for _, t in items])
         self.ids, self.words, self.shingles = [], [], []
+        self.short: dict[int, dict[int, list[int]]] = {}  # words of an item under SHINGLE: hash of all of them, ids
         for (item_id, _), a, b in zip(items, at[:-1], at[1:]):
-            if b - a >= SHINGLE:
+            if 0 < b - a < SHINGLE:
+                self.short.setdefault(int(b - a), {}).setdefault(int(shingles(words[a:b], int(b - a))[0]), []).append(item_id)
+            elif b > a:
                 self.ids.append(item_id)
                 self.words.append(words[a:b])
                 self.shingles.append(np.unique(shingles(words[a:b], SHINGLE)))
@@ -91,6 +94,18 @@ class ItemIndex:
                         k += 1
         return out
 
+    def short_items(self, words: np.ndarray) -> list[int]:
+        """Items of fewer words than a shingle that a text (its words) holds whole."""
+        out = []
+        for n, table in self.short.items():
+            if len(words) >= n:
+                own = np.unique(shingles(words, n))
+                for h, ids in table.items():
+                    k = int(np.searchsorted(own, np.uint64(h)))
+                    if k < len(own) and int(own[k]) == h:
+                        out += ids
+        return out
+
     def holds(self, item: int, words: np.ndarray, own: np.ndarray) -> bool:
         """Whether a text (its words and their shingles) holds the item, whole or in part."""
         mine = self.shingles[item]
@@ -126,6 +141,11 @@ def _search(index: ItemIndex):
                 hashes = every[keep[: len(every)]]
                 begins = np.concatenate(([0], np.cumsum(counts)))
                 docs, items = [], []
+                if index.short:
+                    for d in range(len(ids)):
+                        for item_id in index.short_items(words[at[d] : at[d + 1]]):
+                            docs.append(ids[d])
+                            items.append(item_id)
                 if len(hashes):
                     for d, i in sorted(index.candidates(hashes, begins)):
                         if index.holds(i, words[at[d] : at[d + 1]], hashes[begins[d] : begins[d + 1]]):
@@ -143,8 +163,9 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     The items are the stated query set: the driver reads them in blocks of ``ITEM_BLOCK`` and each
     block goes over all documents. Short items are found inside long documents by MinHash over
     windows of their size class; candidates are verified by exact shingle containment and then word
-    by word in order. Null and empty texts, and items of fewer than five words, are in no pair;
-    repeated rows of an id give one.
+    by word in order. An item of fewer than five words must stand whole. In scripts without spaces each
+    character is a word. Null and empty texts, and items without a word, are in no pair; repeated rows
+    of an id give one.
     """
     rows = items.where("item_id is not null and item_text is not null").select("item_id", "item_text").distinct().orderBy("item_id")
     docs = spread(documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text"))

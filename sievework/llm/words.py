@@ -12,12 +12,14 @@ _POWERS = np.array([pow(int(_P), i, 1 << 64) for i in range(64)], np.uint64)
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True
 _NO_WORD = re.compile(r"[^\w\s]")
+#: Scripts written without spaces: each character is a word.
+_UNSPACED = re.compile(r"([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 def plain(text: str) -> bytes:
     low = text.lower()
     if not low.isascii():
-        low = _NO_WORD.sub(" ", low)
+        low = _UNSPACED.sub(r" \1 ", _NO_WORD.sub(" ", low))
     return low.encode("utf-8", "replace")
 
 

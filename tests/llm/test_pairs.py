@@ -133,3 +133,27 @@ def test_leaks_against_exact_containment(spark):
     i = spark.createDataFrame(items, "item_id bigint, item_text string")
     assert {tuple(r) for r in L.leaked_items(d, i).collect()} == want
     assert L.leaked_items(d, i.limit(0)).count() == 0 and L.leaked_items(d.limit(0), i).count() == 0
+
+
+def test_short_and_unspaced_items_are_found(spark):
+    docs = [(1, "As was said, three words only stand here."), (2, "three other words only"), (3, "前言不搭后语。今天天气非常好我们去公园散步然后回家吃饭。后记"), (4, "今天下雨"), (5, "only")]
+    items = [(92, "Three words only"), (93, "今天天气非常好我们去公园散步然后回家吃饭"), (94, "only")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")
+    assert {tuple(r) for r in L.leaked_items(d, i).collect()} == {(1, 92), (1, 94), (2, 94), (3, 93), (5, 94)}
+
+
+def test_recall_on_edited_passages():
+    """Candidates by MinHash windows against passages with edits, in pieces, inside long texts."""
+    rng = random.Random(8)
+    items = [(i, " ".join(words(9000 + i, rng.randrange(40, 160)))) for i in range(120)]
+    index, found = L.ItemIndex(items), 0
+    for i, text in items:
+        item = text.split()
+        part = [w if rng.random() > 0.05 else "changed" for w in item[: int(len(item) * rng.uniform(0.65, 1.0))]]
+        cut = rng.randrange(len(part))
+        filler = words(20000 + i, 1500)
+        doc = " ".join([*filler[:500], *part[:cut], "so", "they", "say", *part[cut:], *filler[500:]])
+        hashes, at = L.word_hashes([doc])
+        every = L.shingles(hashes, L.SHINGLE)
+        found += any(k == i and index.holds(k, hashes, every) for _, k in index.candidates(every, L.np.array([0, len(every)])))
+    assert found >= 0.97 * len(items)

@@ -89,14 +89,15 @@ def min_hashes(lines: list[bytes]) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray, sites: np.ndarray) -> np.ndarray:
-    """Keys of the bands of MinHash ``values``, apart by site."""
-    v = values.astype(np.uint64).reshape(len(values), BANDS, ROWS)
-    key = sites.astype(np.uint64)[:, None] + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-    for j in range(ROWS):
-        key = (key ^ v[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def packed(values: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each MinHash value, four values to a number."""
+    low = (values & np.uint32(0xFFFF)).astype(np.uint64).reshape(len(values), -1, 4)
+    return (low << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def bucket_keys() -> Column:
+    """The LSH buckets of a line: site and the values of each band, from its packed values."""
+    return F.array(*(F.xxhash64("site", F.lit(k), F.expr(f"(values{k // 2} >> {32 * (k % 2)}) & 4294967295")) for k in range(BANDS)))
 
 
 def _flat(rows: list[tuple], types: dict[str, str], offsets: list[int]) -> list[pa.Array]:
@@ -113,11 +114,10 @@ def _analyse(bands: bool):
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 ids, sites, urls, texts = (batch.column(k) for k in range(4))
-                offsets, rows, masked, site_hash = [0], [], [], []
+                offsets, rows, masked = [0], [], []
                 for url, site, text in zip(urls.to_pylist(), sites.to_pylist(), texts.to_pylist()):
                     words = T.site_words(url, site)
                     prefix = (site + "\0").encode("utf-8", "replace")
-                    here = digest(prefix)
                     lines = text.split("\n")
                     seen, block, before = set(), 0, None
                     for no, (line, kind) in enumerate(zip(lines, T.kinds_of(lines))):
@@ -147,23 +147,17 @@ def _analyse(bands: bool):
                         seen.add(key)
                         if bands:
                             masked.append(T.masked_line(line, norm).encode("utf-8", "replace"))
-                            site_hash.append(here)
                     offsets.append(len(rows))
                 out = [ids, sites, *_flat(rows, _LINE_COLUMNS, offsets)]
                 if bands:
-                    off = out[2].offsets
-                    values = min_hashes(masked) if masked else np.empty((0, BANDS * ROWS), np.uint32)
-                    keys = band_keys(values, np.array(site_hash, np.uint64))
-                    # Sixteen bits of each value, four to a number: enough to estimate similarity in SQL.
-                    low16 = (values & np.uint32(0xFFFF)).astype(np.uint64).reshape(len(values), -1, 4)
-                    packed = (low16 << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(axis=2, dtype=np.uint64).view(np.int64)
-                    out += [pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(x), pa.int64())) for x in (*keys.T, *packed.T)]
+                    values = packed(min_hashes(masked) if masked else np.empty((0, BANDS * ROWS), np.uint32))
+                    out += [pa.ListArray.from_arrays(out[2].offsets, pa.array(np.ascontiguousarray(x), pa.int64())) for x in values.T]
                 yield pa.RecordBatch.from_arrays(out, ["fetch_id", "site", *_LINE_COLUMNS, *(BAND_COLUMNS if bands else ())])
 
     return run
 
 
-BAND_COLUMNS = tuple(f"band{k}" for k in range(BANDS)) + tuple(f"values{k}" for k in range(BANDS * ROWS // 4))
+BAND_COLUMNS = tuple(f"values{k}" for k in range(BANDS * ROWS // 4))
 
 
 def readable(pages: DataFrame) -> DataFrame:
@@ -175,7 +169,7 @@ def page_lines(pages: DataFrame, bands: bool = False) -> DataFrame:
 
     Input columns ``fetch_id, url, site, markdown``; others are ignored. Null and blank ``markdown``
     give no row; a null ``site`` is taken from ``url`` and is '' where that is null too. With
-    ``bands`` each line also gets LSH band keys and MinHash values of its masked text.
+    ``bands`` each line also gets the MinHash values of its masked text.
     """
     rows = readable(pages).select("fetch_id", site_of(F.col("url"), F.col("site")).alias("site"), "url", "markdown")
     return spread(rows).mapInArrow(_analyse(bands), LINES_SCHEMA + ("".join(f", {c} array<bigint>" for c in BAND_COLUMNS) if bands else ""))

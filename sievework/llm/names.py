@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators.components import connected_components
-from sievework.operators.cosine_join import cosine_pairs, ngram_vectors
+from sievework.llm.cosine_join import cosine_pairs, ngram_vectors
 from sievework.session import written
 
 ORG_COSINE, PERSON_COSINE = 0.3, 0.5
-#: Average similarity at which average-linkage clustering stops.
-LINKAGE = 0.5
-#: Components of more distinct spellings than this keep their links as they are (single linkage).
+#: Average similarity at which average-linkage clustering stops; a link that passed the check of the
+#: words counts from a half up, members without a link count 0.
+LINKAGE = 0.25
+#: Components of up to so many members are clustered in one task, larger ones by rounds over all tasks,
+#: with the same result.
 LINKAGE_SIZE = 1500
 
 # How words of institution names are written, and letters of other scripts.
@@ -55,10 +57,8 @@ def org_parts(raw: str) -> tuple[str, str]:
     whole = [p for p in pieces if not re.match(r"(?:dept|dep|department|département|faculty|school|division|section|chair|group)\b", p) and not re.search(r"\b(?:group|division|section|unit|department)$", p)]
     s = " ".join(whole or pieces)
     m = re.match(r"^([a-z]{2,5})\s*\(([^)]+)\)$", s)
-    if m and latin(m.group(2))[:1] == m.group(1)[0]:  # initials before a place in brackets
-        kind = {"it": "institute technology", "nl": "laboratory national", "as": "academy science", "u": "university", "ch": "child hospital", "mc": "center"}.get(m.group(1)[1:])
-        if kind:
-            return kind, latin(m.group(2))
+    if m and latin(m.group(2))[:1] in m.group(1):  # initials of the whole name, before the place in brackets
+        return "#" + m.group(1).replace(latin(m.group(2))[:1], "", 1), latin(m.group(2))
     words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", s)
     words = [_WORDS.get(w, w) for w in words]
     words = [latin(_WORDS.get(w.split("'")[0] if "'" in w and w not in _WORDS else w, w).split("'")[0]) for w in words]
@@ -185,6 +185,9 @@ def _keyed(kind: str):
 
 def org_match(a: str, b: str) -> bool:
     (ka, ra), (kb, rb) = (x.split("|", 1) for x in (a, b))
+    if "#" in ka + kb:
+        initials = lambda k: sorted(k[1:] if k[:1] == "#" else (w[0] for w in k.split()))
+        return initials(ka) == initials(kb) and bool(ra) and near_word(ra, rb)
     if ka != kb and ka and kb and not (set(ka.split()) <= set(kb.split()) or set(kb.split()) <= set(ka.split())):
         return False
     if ka != kb and (not ka or not kb):
@@ -223,7 +226,7 @@ def spelling_links(spellings: DataFrame, kind: str, least: float, blocked: bool
     said = spellings.where("raw is not null and trim(raw) <> ''")
     keyed = written(said.select("raw").distinct().mapInArrow(_keyed(kind), "raw string, text string, key string"), "spellings")
     texts = keyed.where("text <> ''").select("text", "key").distinct().withColumn("id", F.xxhash64("text"))
-    vectors = written(ngram_vectors(texts.select("id", "text").dropDuplicates(["id"])), "vectors")
+    vectors = written(ngram_vectors(texts.groupBy("id").agg(F.min("text").alias("text"))), "vectors")
     blocks = said.join(keyed, "raw").select(F.xxhash64("text").alias("id"), "block") if blocked else None
     near = cosine_pairs(vectors, least, blocks)
     keys = texts.select("id", "key")
@@ -236,75 +239,90 @@ def spelling_links(spellings: DataFrame, kind: str, least: float, blocked: bool
     return good.unionByName(equal), keyed.select("raw", "key")
 
 
-def _name_similarity(a: list[str], b: list[str]) -> float:
-    """Best similarity of two people's spellings: at least half where two of them can be one name."""
-    best = 0.0
-    for x in a:
-        for y in b:
-            if same_name(x.split(), y.split()):
-                gx, gy = ({f" {t} "[i : i + 3] for i in range(len(t))} for t in (x, y))
-                best = max(best, 0.5 + len(gx & gy) / (2 * len(gx | gy)))
-    return best
+def average_linkage(ids: list[int], a: list[int], b: list[int], similarity: list[float], least: float = LINKAGE) -> list[int]:
+    """Cluster of each of ``ids`` (sorted), named by its least id, by average linkage over the links
+    ``a, b``: pairs of clusters that are each other's best merge in rounds until no average reaches
+    ``least``. Best is the greatest average, ties by the least ids of both."""
+    label = {x: x for x in ids}
+    size = dict.fromkeys(ids, 1)
+    near: dict[int, dict[int, float]] = {x: {} for x in ids}
+    for x, y, w in zip(a, b, similarity):
+        if x != y:
+            near[x][y] = near[y][x] = max(near[x].get(y, 0.0), w)
+    live = set(ids)
+    while live:
+        best = {}
+        for x in live:
+            fits = [(-w / (size[x] * size[y]), min(x, y), max(x, y), y) for y, w in near[x].items()]
+            top = min(fits, default=None)
+            if top is not None and -top[0] >= least - 1e-12:
+                best[x] = top[3]
+        pairs = [(x, y) for x, y in best.items() if x < y and best.get(y) == x]
+        if not pairs:
+            break
+        for x, y in pairs:
+            for z, w in near.pop(y).items():
+                del near[z][y]
+                if z != x:
+                    near[x][z] = near[z][x] = near[x].get(z, 0.0) + w
+            size[x] += size[y]
+            label[y] = x
+        live = {x for x in best if x in near}
+        live |= {z for x, _ in pairs for z in near[x]}
+    out = []
+    for x in ids:
+        while label[x] != x:
+            x = label[x]
+        out.append(x)
+    return out
+
+
+def _linkage(frame: pd.DataFrame) -> pd.DataFrame:
+    ids = sorted({*frame.a, *frame.b})
+    return pd.DataFrame({"id": ids, "cluster": average_linkage(ids, frame.a.tolist(), frame.b.tolist(), frame.weight.tolist())})
 
 
-def _average_linkage(frame: pd.DataFrame) -> pd.DataFrame:
-    """Average-linkage clusters of one component: rows ``component, a, b, cosine``; with ``keys`` and
-    ``orgs`` rows of ``a = b`` that describe the members, and similarity is that of their names, 0
-    where both name institutions and share none. What two members cannot be told apart by, such as
-    an institution that one does not name, thus does not part them."""
-    ids = sorted({*frame.a, *frame.b})
-    n = len(ids)
-    if n <= 2 or n > LINKAGE_SIZE:
-        return pd.DataFrame({"id": ids, "cluster": [ids[0]] * n})
-    at = {x: i for i, x in enumerate(ids)}
-    sim = np.zeros((n, n))
-    for a, b, c in zip(frame.a, frame.b, frame.cosine):
-        i, j = at[a], at[b]
-        if i != j:
-            sim[i, j] = sim[j, i] = max(sim[i, j], 0.5 + c / 2)  # a link that passed the check counts at least half
-    if "keys" in frame.columns:
-        who = {at[a]: (list(k), set(o)) for a, b, k, o in zip(frame.a, frame.b, frame["keys"], frame.orgs) if a == b and k is not None}
-        for i in range(n):
-            for j in range(i):
-                if not sim[i, j] and i in who and j in who:
-                    (ka, oa), (kb, ob) = who[i], who[j]
-                    if not (oa and ob and oa.isdisjoint(ob)):
-                        sim[i, j] = sim[j, i] = _name_similarity(ka, kb)
-    size, label = np.ones(n), np.arange(n)
-    np.fill_diagonal(sim, -1)
+def linkage_rounds(links: DataFrame, least: float = LINKAGE) -> DataFrame:
+    """``id, cluster`` by average linkage over ``a < b, weight`` without taking a component into one
+    task: in each round all pairs of clusters that are each other's best merge, and the sums of their
+    links are added up. Merging mutual bests in any order gives average linkage's own tree, because a
+    merge never brings a third cluster nearer than it was to the nearer of the two."""
+    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    label = written(ids.select("id", F.col("id").alias("cluster")), "linkage")
+    now = written(links.groupBy("a", "b").agg(F.max("weight").alias("total")), "linkage-links")
     while True:
-        k = int(sim.argmax())
-        i, j = divmod(k, n)
-        if sim[i, j] < LINKAGE / 2 or i == j:
-            break
-        merged = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
-        sim[i], sim[:, i] = merged, merged
-        sim[i, i] = -1
-        sim[j], sim[:, j] = -1, -1
-        size[i] += size[j]
-        label[label == label[j]] = label[i]
-    first = {}
-    return pd.DataFrame({"id": ids, "cluster": [first.setdefault(label[i], ids[i]) for i in range(n)]})
-
-
-def linked_clusters(links: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """``id, cluster`` by average linkage within each connected component of ``a, b, cosine``.
-    ``members`` (``id, keys, orgs``) describes the linked ones, see ``_average_linkage``."""
+        sizes = label.groupBy("cluster").agg(F.count("*").alias("n"))
+        sized = now.join(sizes.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
+        good = sized.withColumn("w", F.col("total") / (F.col("na") * F.col("nb"))).where(F.col("w") >= least - 1e-12)
+        sides = good.select(F.col("a").alias("x"), F.struct(-F.col("w"), "a", "b").alias("k")).unionByName(good.select(F.col("b").alias("x"), F.struct(-F.col("w"), "a", "b").alias("k")))
+        best = sides.groupBy("x").agg(F.min("k").alias("k")).select(F.col("k.a").alias("a"), F.col("k.b").alias("b"))
+        merged = written(best.groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 2").select("a", "b"), "linkage-merged")
+        if merged.isEmpty():
+            return label
+        into = merged.select(F.col("b").alias("old"), F.col("a").alias("new"))
+        label = written(label.join(into, label.cluster == into.old, "left").select("id", F.coalesce("new", "cluster").alias("cluster")), "linkage")
+        moved = now.join(into.select(F.col("old").alias("a"), F.col("new").alias("x")), "a", "left").join(into.select(F.col("old").alias("b"), F.col("new").alias("y")), "b", "left")
+        moved = moved.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"), "total").where("a <> b")
+        now = written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total").groupBy("a", "b").agg(F.sum("total").alias("total")), "linkage-links")
+
+
+def linked_clusters(links: DataFrame, size: int = LINKAGE_SIZE) -> DataFrame:
+    """``id, cluster`` by average linkage within each connected component of ``a, b, cosine``. A link
+    counts half and half of its cosine."""
     links = written(links, "links")
-    comp = connected_components(links.select("a", "b"))
-    rows = links.join(comp.withColumnRenamed("id", "a"), "a")
+    comp = written(connected_components(links.select("a", "b")), "components")
+    weighted = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (0.5 + F.col("cosine") / 2).alias("weight"))
+    weighted = weighted.groupBy("a", "b").agg(F.max("weight").alias("weight"))
     sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
-    big = comp.join(sizes.where(F.col("n") > LINKAGE_SIZE), "component", "left_semi").select("id", F.col("component").alias("cluster"))
-    # Where every two members are linked there is nothing to split.
-    links_of = rows.where("a <> b").groupBy("component").agg(F.count_distinct(F.least("a", "b"), F.greatest("a", "b")).alias("links"))
-    full = sizes.join(links_of, "component", "left").where(F.coalesce("links", F.lit(0)) * 2 >= F.col("n") * (F.col("n") - 1))
-    whole = comp.join(full, "component", "left_semi").select("id", F.col("component").alias("cluster"))
-    small = rows.join(sizes.where(F.col("n") <= LINKAGE_SIZE), "component", "left_semi").join(full, "component", "left_anti")
-    if members is not None:
-        told = small.where("a = b").join(members.withColumnRenamed("id", "a"), "a", "left").select(*small.columns, "keys", "orgs")
-        small = small.where("a <> b").withColumn("keys", F.lit(None).cast("array<string>")).withColumn("orgs", F.lit(None).cast("array<string>")).unionByName(told)
-    done = small.groupBy("component").applyInPandas(lambda f: _average_linkage(f), "id bigint, cluster bigint")
-    return done.unionByName(big.join(full, big.cluster == full.component, "left_anti")).unionByName(whole)
+    rows = written(weighted.join(comp.withColumnRenamed("id", "a"), "a").join(sizes, "component"), "component-links")
+    # Where every two members are linked and all links are strong there is nothing to split.
+    full = rows.groupBy("component").agg(F.count("*").alias("links"), F.max("n").alias("n")).where(F.col("links") * 2 == F.col("n") * (F.col("n") - 1)).select("component")
+    whole = comp.join(full, "component", "left_semi").unionByName(comp.join(sizes.where("n = 1"), "component", "left_semi")).select("id", F.col("component").alias("cluster"))
+    open_ = rows.join(full, "component", "left_anti")
+    small = open_.where(F.col("n") <= size).groupBy("component").applyInPandas(_linkage, "id bigint, cluster bigint")
+    large = open_.where(F.col("n") > size).select("a", "b", "weight")
+    done = whole.unionByName(small)
+    return done if large.isEmpty() else done.unionByName(linkage_rounds(large))
 
 
 def org_clusters(names: DataFrame) -> DataFrame:
@@ -315,10 +333,11 @@ def org_clusters(names: DataFrame) -> DataFrame:
     return keyed.withColumn("id", F.xxhash64("key")).join(clusters, "id").select("raw", F.col("cluster").alias("org"))
 
 
-def person_links(profiles: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``a, b, cosine`` (and the profiles' spellings, which ones name institutions, and which): profiles of names that can be one and with a context in common, which is an
+def person_links(profiles: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``a, b, cosine`` (and the profiles' spellings, and which ones name institutions): profiles of names that can be one and with a context in common, which is an
     institution or a keyword; profiles that both name institutions must share one."""
-    base = profiles.where("profile_id is not null").select("profile_id", "name", "name_en", "aliases", "institutions", "keywords").dropDuplicates(["profile_id"])
+    wanted = ("name", "name_en", "aliases", "institutions", "keywords")
+    base = profiles.where("profile_id is not null").groupBy("profile_id").agg(F.min(F.struct(*wanted)).alias("r")).select("profile_id", "r.*")  # of repeated rows the first in order
     forms = base.select("profile_id", F.explode(F.array_distinct(F.filter(F.concat(F.array("name", "name_en"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull()))).alias("raw"))
     member = written(base.select("profile_id", F.explode("institutions").alias("raw")).join(orgs, "raw").select("profile_id", F.concat(F.lit("i"), F.col("org").cast("string")).alias("ctx")).distinct(), "member")
     named = member.select("profile_id").distinct().withColumn("named", F.lit(True))
@@ -334,18 +353,30 @@ def person_links(profiles: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataF
     left = rows.select(F.col("profile_id").alias("a"), F.col("key").alias("key_a"), "ctx", F.col("named").alias("named_a")).join(both, "key_a")
     right = rows.select(F.col("profile_id").alias("b"), F.col("key").alias("key_b"), "ctx", F.col("named").alias("named_b"))
     met = left.join(right, ["ctx", "key_b"]).where("a < b and (ctx like 'i%' or not named_a or not named_b)")
-    return met.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), with_key, named, member
+    return met.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), with_key, named
+
+
+def _joined_singles(clusters: DataFrame, links: DataFrame, unnamed: DataFrame) -> DataFrame:
+    """``id, cluster`` where members of ``unnamed`` (no institution, so that they are compared with few
+    of a cluster and their average is low) that linkage left alone join the cluster of their best link."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    alone = clusters.join(sizes.where("n = 1"), "cluster", "left_semi").join(unnamed, "id", "left_semi").select("id")
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))
+    reach = both.where("id <> other").join(alone, "id", "left_semi").join(clusters.select(F.col("id").alias("other"), "cluster"), "other")
+    reach = reach.join(alone.select(F.col("id").alias("other")), "other", "left_anti")
+    goal = reach.groupBy("id", "cluster").agg(F.max("cosine").alias("cosine")).groupBy("id").agg(F.max_by("cluster", F.struct("cosine", -F.col("cluster"))).alias("goal"))
+    return clusters.join(goal, "id", "left").select("id", F.coalesce("goal", "cluster").alias("cluster"))
 
 
 def person_clusters(profiles: DataFrame, orgs: DataFrame) -> DataFrame:
     """``profile_id, person``. A profile without institutions that no keyword links is given to the
     one person of its name, or else of a variant of its name, when there is only one such person."""
-    links, with_key, named, member = person_links(profiles, orgs)
-    about = with_key.groupBy("profile_id").agg(F.collect_set("key").alias("keys")).join(member.groupBy("profile_id").agg(F.collect_set("ctx").alias("orgs")), "profile_id", "left")
-    about = about.select(F.col("profile_id").alias("id"), "keys", F.coalesce("orgs", F.array().cast("array<string>")).alias("orgs"))
+    links, with_key, named = person_links(profiles, orgs)
     ids = profiles.where("profile_id is not null").select("profile_id").distinct()
     loops = ids.select(F.col("profile_id").alias("a"), F.col("profile_id").alias("b"), F.lit(1.0).alias("cosine"))
-    clusters = written(linked_clusters(links.unionByName(loops), about), "clusters").withColumnRenamed("id", "profile_id")
+    links = written(links, "person-links")
+    clusters = written(linked_clusters(links.unionByName(loops)), "clusters")
+    clusters = written(_joined_singles(clusters, links, ids.join(named, "profile_id", "left_anti").select(F.col("profile_id").alias("id"))), "clusters").withColumnRenamed("id", "profile_id")
     open_ids = ids.join(named.select("profile_id"), "profile_id", "left_anti").join(links.select(F.explode(F.array("a", "b")).alias("profile_id")).distinct(), "profile_id", "left_anti")
     open_ids = written(open_ids, "open")
     full = with_key.where("key rlike '^[^ ]{2,} [^ ]{2,}$'").withColumn("k", F.array_join(F.array_sort(F.split("key", " ")), " ")).select("profile_id", "k").distinct()
@@ -372,7 +403,7 @@ def _with_variants(people: DataFrame, lost: DataFrame, with_key: DataFrame, prof
     keys = with_key.select("key").distinct().withColumn("text", _gram_text(F.col("key"))).where("text <> ''").withColumn("id", F.xxhash64("text"))
     keys = written(keys, "all-spellings")
     sought = with_key.join(lost, "profile_id", "left_semi").select("key").distinct()
-    vectors = written(ngram_vectors(keys.select("id", "text").dropDuplicates(["id"])), "vectors")
+    vectors = written(ngram_vectors(keys.groupBy("id").agg(F.min("text").alias("text"))), "vectors")
     near = cosine_pairs(vectors, PERSON_COSINE, among=keys.join(sought, "key", "left_semi").select("id"))
     each = keys.select("id").distinct().select(F.col("id").alias("x"), F.col("id").alias("y"))
     both = near.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(near.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))).unionByName(each)

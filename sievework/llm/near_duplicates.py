@@ -31,7 +31,7 @@ def page_bodies(pages: DataFrame) -> DataFrame:
     numbers of the lines they lose."""
     analysed = analysed_pages(pages)
     good = analysed.join(leftover_pages(analysed), "fetch_id", "left_anti")
-    gone = good.select("fetch_id", F.expr("transform(filter(arrays_zip(line_no, outside), x -> x.outside), x -> x.line_no)").alias("gone"))
+    gone = good.select("fetch_id", F.expr("transform(filter(lines, x -> x.outside), x -> x.line_no)").alias("gone"))
     rows = readable(one_page_each(pages)).select("fetch_id", "markdown").join(gone, "fetch_id")
     return rows.select("fetch_id", "markdown", "gone").mapInArrow(_bodies, "fetch_id bigint, body string").where("body <> ''")
 

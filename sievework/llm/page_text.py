@@ -58,12 +58,12 @@ _STEMS = tuple(
     |seem to find|unexpected condition|planned maintenance|server returned|server encountered|request id|incident |permission to|unusual traffic|you are human|you are a human|looks automated|to continue
     |parked|domain is|hosting provider|not uploaded|new site will|check back|warning: |to database|to the database|exception in|traceback|introuvable|non trouvée|nicht gefunden|página no
     |不存在|找不到|未找到|被拒绝|服务器|无权|page demandée|angeforderte|solicitada|您访问|您请求|refusé|verweigert|denegado|en construcción|en construction|im aufbau|建设中|敬请期待
-    |javascript|java script|script|checking your|please wait|脚本|text here|content here|copy here|paragraph here|block here|tbd|tbc|tba|to come|todo|to do|xxx
+    |javascript|java script|script|checking your|please wait|脚本|text here|content here|copy here|paragraph here|block here|tbd|tbc|tba|to come|todo:|to do:|xxx
     |[insert|[add|[placeholder|[your|[caption|[image|[photo|[text|[title|[name|your text|your content|your copy|your paragraph|insert |replace this|type your|enter your|put your|add your|null by|null on|undefined|object object|none by|none on|nil by|invalid date|0000-00-00
     |{{|{%|<%|[%|#{|${|%%|[[|__|<<|lorem|ipsum|dolor|textus|textum|placeholder|filler|copia|quis |aute |sint |velit|magna|nostra|nulla|culpa""".replace("\n    ", "").split("|")
 )
 
-_SHORT_STEMS = ("here", "tk", "untitled", "new ", "sample", "hello", "null", "nan", "none", "nil", "n/a", "found", "available", "oops", "code", "ray id", "reference", "go back", "return", "back to", "try again", "loading", "chargement", "geladen", "cargando", "加载", "robot", "soon", "construction", "aufbau", "your", "error", "erreur", "fehler")
+_SHORT_STEMS = ("here", "tk", "todo", "to do", "untitled", "new ", "sample", "hello", "null", "nan", "none", "nil", "n/a", "found", "available", "oops", "code", "ray id", "reference", "go back", "return", "back to", "try again", "loading", "chargement", "geladen", "cargando", "加载", "robot", "soon", "construction", "aufbau", "your", "error", "erreur", "fehler")
 
 # Words of filler text.
 FILLER_WORDS = frozenset(
@@ -338,7 +338,7 @@ def prose_weight(line: str) -> int:
 
 
 # Names: rows of words that begin with a capital.
-_NAME = re.compile(r"\b[A-ZÀ-ÞΆ-ΫЀ-Я][^\W_]*(?:[ '’.-]{1,2}[A-ZÀ-ÞΆ-ΫЀ-Я][^\W_]*)+")
+_NAME = re.compile(r"[A-ZÀ-ÞΆ-ΫЀ-Я]\w*(?:[ '’.-]{1,2}[A-ZÀ-ÞΆ-ΫЀ-Я]\w*)+")
 # Beginnings of the names of months.
 _MONTH = "(?:jan|feb|fév|mar|mär|apr|avr|abr|may|mai|jun|jui|jul|aug|aoû|ago|sep|oct|okt|nov|dec|dez|déc|dic|ene)[^\\W\\d_]{0,8}[., ]+"
 _DATE = re.compile(rf"0(?:[-/.:, 年月日]+(?:{_MONTH})?0)+[年月日]?")

@@ -36,13 +36,21 @@ BOILERPLATE_SHARE = 0.5
 MIN_PROSE = 120
 #: MinHash values of a line's masked text: ``BANDS`` bands of ``ROWS`` values.
 BANDS, ROWS = 6, 2
+BAND_COLUMNS = tuple(f"values{k}" for k in range(BANDS * ROWS // 4))
 
 _LINE_COLUMNS = {
     "line_no": "int", "line_key": "bigint", "cross_key": "bigint", "label_key": "bigint", "next_key": "bigint", "first": "boolean", "run": "int", "kind": "int",
     "size": "int", "own": "int", "other": "int", "tags": "int", "signed": "boolean", "evidence": "int", "prose": "int", "sentence": "boolean",
 }
+_EVIDENCE, _PROSE, _SENTENCE, _FIRST = (list(_LINE_COLUMNS).index(c) for c in ("evidence", "prose", "sentence", "first"))
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
-LINES_SCHEMA = "fetch_id bigint, site string, " + ", ".join(f"{c} array<{t}>" for c, t in _LINE_COLUMNS.items())
+
+
+def _schema(bands: bool) -> str:
+    columns = {**_LINE_COLUMNS, **(dict.fromkeys(BAND_COLUMNS, "bigint") if bands else {})}
+    return f"fetch_id bigint, site string, suspect boolean, said bigint, lines array<struct<{', '.join(f'{c}:{t}' for c, t in columns.items())}>>"
+
+
 
 _A = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B1) | np.uint64(1)).astype(np.uint32)
 
@@ -100,11 +108,8 @@ def bucket_keys() -> Column:
     return F.array(*(F.xxhash64("site", F.lit(k), F.expr(f"(values{k // 2} >> {32 * (k % 2)}) & 4294967295")) for k in range(BANDS)))
 
 
-def _flat(rows: list[tuple], types: dict[str, str], offsets: list[int]) -> list[pa.Array]:
-    """List columns of ``types`` from the rows of all lists one after the other."""
-    off = pa.array(offsets, pa.int32())
-    columns = zip(*rows) if rows else ((),) * len(types)
-    return [pa.ListArray.from_arrays(off, pa.array(c, _ARROW[t])) for c, t in zip(columns, types.values())]
+def _structs(offsets, arrays: list[pa.Array], names) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=list(names)))
 
 
 def _analyse(bands: bool):
@@ -114,12 +119,12 @@ def _analyse(bands: bool):
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 ids, sites, urls, texts = (batch.column(k) for k in range(4))
-                offsets, rows, masked = [0], [], []
+                offsets, rows, masked, suspect, said = [0], [], [], [], []
                 for url, site, text in zip(urls.to_pylist(), sites.to_pylist(), texts.to_pylist()):
                     words = T.site_words(url, site)
                     prefix = (site + "\0").encode("utf-8", "replace")
                     lines = text.split("\n")
-                    seen, block, before = set(), 0, None
+                    seen, block, before, begin = set(), 0, None, len(rows)
                     for no, (line, kind) in enumerate(zip(lines, T.kinds_of(lines))):
                         if kind == T.NONE:
                             block, before = block + 1, None
@@ -148,18 +153,19 @@ def _analyse(bands: bool):
                         if bands:
                             masked.append(T.masked_line(line, norm).encode("utf-8", "replace"))
                     offsets.append(len(rows))
-                out = [ids, sites, *_flat(rows, _LINE_COLUMNS, offsets)]
+                    suspect.append(any(x[_EVIDENCE] for x in rows[begin:]))
+                    said.append(sum(x[_PROSE] for x in rows[begin:] if x[_SENTENCE] and x[_FIRST]))
+                columns = zip(*rows) if rows else ((),) * len(_LINE_COLUMNS)
+                arrays = [pa.array(c, _ARROW[t]) for c, t in zip(columns, _LINE_COLUMNS.values())]
                 if bands:
                     values = packed(min_hashes(masked) if masked else np.empty((0, BANDS * ROWS), np.uint32))
-                    out += [pa.ListArray.from_arrays(out[2].offsets, pa.array(np.ascontiguousarray(x), pa.int64())) for x in values.T]
-                yield pa.RecordBatch.from_arrays(out, ["fetch_id", "site", *_LINE_COLUMNS, *(BAND_COLUMNS if bands else ())])
+                    arrays += [pa.array(np.ascontiguousarray(x), pa.int64()) for x in values.T]
+                out = [ids, sites, pa.array(suspect, pa.bool_()), pa.array(said, pa.int64()), _structs(offsets, arrays, (*_LINE_COLUMNS, *(BAND_COLUMNS if bands else ())))]
+                yield pa.RecordBatch.from_arrays(out, ["fetch_id", "site", "suspect", "said", "lines"])
 
     return run
 
 
-BAND_COLUMNS = tuple(f"values{k}" for k in range(BANDS * ROWS // 4))
-
-
 def readable(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("fetch_id").isNotNull() & F.col("markdown").rlike(r"(?U)\S"))
 
@@ -172,7 +178,7 @@ def page_lines(pages: DataFrame, bands: bool = False) -> DataFrame:
     ``bands`` each line also gets the MinHash values of its masked text.
     """
     rows = readable(pages).select("fetch_id", site_of(F.col("url"), F.col("site")).alias("site"), "url", "markdown")
-    return spread(rows).mapInArrow(_analyse(bands), LINES_SCHEMA + ("".join(f", {c} array<bigint>" for c in BAND_COLUMNS) if bands else ""))
+    return spread(rows).mapInArrow(_analyse(bands), _schema(bands))
 
 
 def one_page_each(pages: DataFrame) -> DataFrame:
@@ -187,17 +193,10 @@ def one_page_each(pages: DataFrame) -> DataFrame:
 
 
 def exploded(pages: DataFrame, *names: str, where: str | None = None) -> DataFrame:
-    """One row per line ``x`` of ``page_lines`` (where one is given, of those it holds for), with the
-    line columns ``names``."""
-    zipped = f"arrays_zip({', '.join(names)})"
-    zipped = F.explode(F.expr(f"filter({zipped}, x -> {where})" if where else zipped)).alias("l")
-    return pages.select("fetch_id", "site", zipped).select("fetch_id", "site", *(F.col(f"l.{n}").alias(n) for n in names))
-
-
-def line_counts(pages: DataFrame, least: int = MIN_PAGES) -> DataFrame:
-    """Lines (by site and normalised text) in at least ``least`` pages: ``line_key, pages``."""
-    keys = pages.select(F.explode(F.expr("filter(arrays_zip(line_key, first), x -> x.first)")).alias("x")).select("x.line_key")
-    return keys.groupBy("line_key").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+    """One row per line of ``page_lines`` (where one is given, of those it holds for), with the line
+    columns ``names``."""
+    each = pages.select("fetch_id", "site", F.explode("lines").alias("l"))
+    return (each if where is None else each.where(where)).select("fetch_id", "site", *(F.col(f"l.{n}").alias(n) for n in names))
 
 
 def _copies(held: DataFrame, lines: DataFrame) -> DataFrame | None:
@@ -205,7 +204,7 @@ def _copies(held: DataFrame, lines: DataFrame) -> DataFrame | None:
 
     Pages that share a recurrent sentence are compared with the least page that holds it, not with
     each other, so a group of n copies costs n comparisons a line."""
-    weight = lines.select("fetch_id", F.expr("aggregate(filter(arrays_zip(prose, sentence, first), x -> x.sentence and x.first), 0L, (s, x) -> s + x.prose)").alias("all"))
+    weight = lines.select("fetch_id", F.col("said").alias("all"))
     said = held.where("sentence and prose > 0").select("fetch_id", "cross_key", "prose")
     mostly = said.groupBy("fetch_id").agg(F.sum("prose").alias("w")).join(weight, "fetch_id").where(F.col("w") >= COPY_SHARE * F.col("all")).select("fetch_id", "all")
     mostly = written(mostly, "mostly-recurrent")
@@ -228,9 +227,9 @@ def site_lines(lines: DataFrame, of: DataFrame | None = None, least: int = MIN_P
     article, however many, are one article. A line is labelled when the label that opens it does so in
     ``least`` articles. A recurrent line is a heading when what follows it right below keeps changing.
     """
-    once = exploded(lines, "line_key", "cross_key", "next_key", "prose", "sentence", "first", where="x.first")
-    keys = exploded(lines, "line_key", "cross_key", "first", where="x.first")
-    labels = exploded(lines, "line_key", "label_key", "first", where="x.first and x.label_key <> 0")
+    once = exploded(lines, "line_key", "cross_key", "next_key", "prose", "sentence", where="l.first")
+    keys = exploded(lines, "line_key", "cross_key", where="l.first")
+    labels = exploded(lines, "line_key", "label_key", where="l.first and l.label_key <> 0")
     if of is not None:
         asked = written(exploded(of, "line_key", "cross_key", "label_key").select("line_key", "cross_key", "label_key").distinct(), "asked")
         keys = keys.join(asked.select("cross_key").distinct(), "cross_key", "left_semi")
@@ -256,11 +255,12 @@ def site_lines(lines: DataFrame, of: DataFrame | None = None, least: int = MIN_P
 
 
 def _density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = ["line_no", "line_key", "first"]
     read = ("line_key", "run", "kind", "size", "own", "other", "tags", "signed", "evidence", "prose")
     for batch in batches:
-        keys, runs, kinds, sizes, owns, others, tags, signed, evidence, prose = (batch.column(c).flatten().to_numpy(zero_copy_only=False).tolist() for c in read)
-        ends = np.cumsum(batch.column("line_no").value_lengths().to_numpy()).tolist()
+        lines = batch.column("lines")
+        flat = lines.flatten()
+        keys, runs, kinds, sizes, owns, others, tags, signed, evidence, prose = (flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in read)
+        ends = np.cumsum(lines.value_lengths().to_numpy()).tolist()
         marks, marked = batch.column("marks"), {}
         if marks.null_count < batch.num_rows:
             lengths = marks.value_lengths().fill_null(0).to_numpy()
@@ -277,9 +277,8 @@ def _density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own_prose.append(sum(p for p, o, x in zip(prose[a:b], out, bits) if p and not o and not x & T.RECURS))
             evident.append([k for k, e in zip(keys[a:b], evidence[a:b]) if e] if any(evidence[a:b]) else [])
             a = b
-        off = pa.array([0, *ends], pa.int32())
-        out_cols = [batch.column("fetch_id"), batch.column("site"), *(batch.column(c) for c in kept), pa.ListArray.from_arrays(off, pa.array(outside, pa.bool_())), pa.array(own_prose, pa.int64()), pa.array(evident, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(out_cols, ["fetch_id", "site", *kept, "outside", "own_prose", "evident"])
+        told = _structs([0, *ends], [flat.field("line_no"), flat.field("line_key"), pa.array(outside, pa.bool_())], ("line_no", "line_key", "outside"))
+        yield pa.RecordBatch.from_arrays([batch.column("fetch_id"), batch.column("site"), told, pa.array(own_prose, pa.int64()), pa.array(evident, pa.list_(pa.int64()))], ["fetch_id", "site", "lines", "own_prose", "evident"])
 
 
 def _analysed(lines: DataFrame, marks: DataFrame | None) -> DataFrame:
@@ -287,16 +286,14 @@ def _analysed(lines: DataFrame, marks: DataFrame | None) -> DataFrame:
     if marks is None:
         lines = lines.withColumn("marks", F.lit(None).cast("array<struct<line_key:bigint,bits:int>>"))
     else:
-        held = exploded(lines, "line_key", "first", where="x.first").join(marks, "line_key").groupBy("fetch_id").agg(F.collect_list(F.struct("line_key", "bits")).alias("marks"))
+        held = exploded(lines, "line_key", where="l.first").join(marks, "line_key").groupBy("fetch_id").agg(F.collect_list(F.struct("line_key", "bits")).alias("marks"))
         lines = lines.join(held, "fetch_id", "left")
-    schema = "fetch_id bigint, site string, line_no array<int>, line_key array<bigint>, first array<boolean>, outside array<boolean>, own_prose bigint, evident array<bigint>"
-    needed = lines.select("fetch_id", "site", "line_no", "line_key", "first", "run", "kind", "size", "own", "other", "tags", "signed", "evidence", "prose", "marks")
-    return needed.mapInArrow(_density, schema)
+    return lines.select("fetch_id", "site", "lines", "marks").mapInArrow(_density, "fetch_id bigint, site string, lines array<struct<line_no:int,line_key:bigint,outside:boolean>>, own_prose bigint, evident array<bigint>")
 
 
 def analysed_pages(pages: DataFrame, learn: bool = True) -> DataFrame:
     """One row per page that is not blank, written: ``fetch_id, site``, its lines with letters
-    (``line_no, line_key, first, outside``), the prose of its main body that does not recur
+    (``lines``: ``line_no, line_key, outside``), the prose of its main body that does not recur
     (``own_prose``) and the keys of its lines that are evidence (``evident``).
 
     Without ``learn`` nothing is learned from the site's other pages: density sees links only."""
@@ -308,7 +305,7 @@ def lines_and_leftovers(pages: DataFrame, bands: bool = False) -> tuple[DataFram
     """``page_lines``, written, and the leftover pages among them. Only pages with evidence need their
     main body for that, so density is taken on those alone."""
     lines = written(page_lines(one_page_each(pages), bands), "page-lines")
-    suspects = written(lines.where(F.exists("evidence", lambda e: e > 0)).drop(*(BAND_COLUMNS if bands else ())), "suspects")
+    suspects = written(lines.where("suspect"), "suspects")
     return lines, leftover_pages(_analysed(suspects, site_lines(lines, suspects)))
 
 

@@ -6,6 +6,7 @@ import pytest
 
 from sievework.llm import leakage as L
 from sievework.llm import names as N
+from sievework.llm.cosine_join import cosine_pairs, ngram_vectors
 from sievework.llm.near_duplicates import near_duplicate_pairs
 from sievework.llm.web_pages import boilerplate_lines
 
@@ -103,6 +104,50 @@ def test_close_name(a, b, same):
     assert N.close_name(a.split(), b.split()) is same
 
 
+def greedy_linkage(ids, links, least):
+    """Average linkage as it is defined: always the pair of clusters with the greatest average."""
+    clusters = [[x] for x in ids]
+    link = lambda p, q: sum(links.get((min(x, y), max(x, y)), 0.0) for x in p for y in q) / (len(p) * len(q))
+    while len(clusters) > 1:
+        w, _, _, i, j = max((link(p, q), -min(min(p), min(q)), -max(min(p), min(q)), i, j) for i, p in enumerate(clusters) for j, q in enumerate(clusters) if i < j)
+        if w < least:
+            break
+        clusters[i] += clusters.pop(j)
+    return {x: min(c) for c in clusters for x in c}
+
+
+def test_linkage_in_tasks_and_in_rounds_against_its_definition(spark):
+    rng = random.Random(6)
+    for trial in range(30):
+        n = rng.randrange(3, 14)
+        links = {(a, b): 0.5 + rng.random() / 2 for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4}
+        want = greedy_linkage(range(n), links, 0.25)
+        a, b = [x for x, _ in links], [y for _, y in links]
+        assert dict(enumerate(N.average_linkage(list(range(n)), a, b, list(links.values())))) == want
+        if trial < 2 and links:
+            frame = spark.createDataFrame([(x, y, w) for (x, y), w in links.items()], "a bigint, b bigint, weight double")
+            assert {r.id: r.cluster for r in N.linkage_rounds(frame).collect()} == {x: want[x] for x in {*a, *b}}
+
+
+def test_components_beyond_one_task_give_the_same(spark):
+    rng = random.Random(9)
+    rows = [(x, y, rng.random()) for g in range(3) for x in range(g * 10, g * 10 + 8) for y in range(x + 1, g * 10 + 8) if rng.random() < 0.5]
+    links = spark.createDataFrame(rows, "a bigint, b bigint, cosine double")
+    assert {tuple(r) for r in N.linked_clusters(links).collect()} == {tuple(r) for r in N.linked_clusters(links, size=2).collect()}
+
+
+def test_cosine_join_against_all_pairs(spark):
+    import math
+
+    names = [(i, t) for i, t in enumerate(["anton baker", "baker anton", "antom baker", "zelda moon", "zelda mon", "x", "anton bakker", "moon", "", None])]
+    vectors = ngram_vectors(spark.createDataFrame(names, "id bigint, text string"))
+    vec = {r.id: {v.gram: v.w for v in r.vec} for r in vectors.collect()}
+    dot = lambda a, b: sum(w * b.get(g, 0) for g, w in a.items())
+    want = {(a, b): dot(vec[a], vec[b]) for a in vec for b in vec if a < b and dot(vec[a], vec[b]) >= 0.3}
+    got = {(r.id_a, r.id_b): r.cosine for r in cosine_pairs(vectors, 0.3).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k]) for k in got)
+
+
 def test_edits():
     assert [N.edits(*x, 2) for x in (("abcd", "abdc"), ("abcd", "abcd"), ("abcd", "axcd"), ("abcd", "xyz"), ("a", "abcde"))] == [1, 0, 1, 3, 3]
 

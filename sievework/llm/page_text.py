@@ -146,7 +146,7 @@ def line_evidence(line: str, low: str) -> tuple[int, int]:
     return _short_evidence(line) if len(line) <= SHORT else _evidence(line)
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=16384)
 def _short_evidence(line: str) -> tuple[int, int]:
     return _evidence(line)
 
@@ -184,7 +184,7 @@ def site_words(url: str | None, site: str | None) -> tuple[str, ...]:
     return tuple(p for p in re.split(r"[^a-z]+", host) if len(p) >= 5)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=256)
 def _own_names(names: tuple[str, ...]) -> re.Pattern:
     return re.compile(r"\b(?:" + "|".join(sorted({n[:k] for n in names for k in range(5, len(n) + 1)}, key=len, reverse=True)) + r")\b")
 

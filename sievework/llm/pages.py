@@ -116,8 +116,8 @@ def _analyse(bands: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 ids, sites, urls, texts = (batch.column(k) for k in range(4))
                 offsets, rows, masked, suspect, said = [0], [], [], [], []
                 for url, site, text in zip(urls.to_pylist(), sites.to_pylist(), texts.to_pylist()):

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,6 +208,20 @@ def _gram_text(key):
     return F.pandas_udf(run, "string")(key)
 
 
+def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, key -> id, block: hashes of the sounds of each long word, and of those with one letter left out."""
+    for batch in batches:
+        ids, out = [], []
+        for i, key in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist()):
+            for w in key.split():
+                if len(w) > 3:
+                    p = _phonetic(w) or w
+                    near = {p, *(p[:k] + p[k + 1 :] for k in range(len(p)))}
+                    ids += [i] * len(near)
+                    out += [x - (1 << 64) if x >= 1 << 63 else x for x in (xxhash.xxh3_64_intdigest(n.encode()) for n in near)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], ["id", "block"])
+
+
 def _checked(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,8 +418,14 @@ def _with_variants(people: DataFrame, lost: DataFrame, with_key: DataFrame, prof
     keys = with_key.select("key").distinct().withColumn("text", _gram_text(F.col("key"))).where("text <> ''").withColumn("id", F.xxhash64("text"))
     keys = written(keys, "all-spellings")
     sought = with_key.join(lost, "profile_id", "left_semi").select("key").distinct()
-    vectors = written(ngram_vectors(keys.groupBy("id").agg(F.min("text").alias("text"))), "vectors")
-    near = cosine_pairs(vectors, PERSON_COSINE, among=keys.join(sought, "key", "left_semi").select("id"))
+    # Two names that are close share a long word up to one edit, so they share that word with one letter
+    # left out: only spellings that do, and within such a block, go into the cosine join.
+    lost_ids = written(keys.join(sought, "key", "left_semi").select("id").distinct(), "sought")
+    blocks = written(keys.select("id", "key").mapInArrow(_near_blocks, "id bigint, block bigint").distinct(), "near-blocks")
+    blocks = written(blocks.join(blocks.join(lost_ids, "id", "left_semi").select("block").distinct(), "block", "left_semi"), "near-blocks")
+    vectors = ngram_vectors(keys.groupBy("id").agg(F.min("text").alias("text")))  # weights are those of all spellings
+    vectors = written(vectors.join(blocks.select("id").distinct(), "id", "left_semi"), "vectors")
+    near = cosine_pairs(vectors, PERSON_COSINE, blocks, among=lost_ids)
     each = keys.select("id").distinct().select(F.col("id").alias("x"), F.col("id").alias("y"))
     both = near.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(near.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))).unionByName(each)
     pairs = both.join(keys.join(sought, "key", "left_semi").select(F.col("id").alias("x"), F.col("key").alias("key_a")), "x").join(keys.select(F.col("id").alias("y"), F.col("key").alias("key_b")), "y")

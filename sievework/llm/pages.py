@@ -194,8 +194,8 @@ def one_page_each(pages: DataFrame) -> DataFrame:
 
 def exploded(pages: DataFrame, *names: str, where: str | None = None) -> DataFrame:
     """One row per line of ``page_lines`` (where one is given, of those it holds for), with the line
-    columns ``names``."""
-    each = pages.select("fetch_id", "site", F.explode("lines").alias("l"))
+    columns ``names``; ``site`` is a number here, since aggregates of numbers need no sort."""
+    each = pages.select("fetch_id", F.xxhash64("site").alias("site"), F.explode("lines").alias("l"))
     return (each if where is None else each.where(where)).select("fetch_id", "site", *(F.col(f"l.{n}").alias(n) for n in names))
 
 

@@ -1,7 +1,12 @@
-"""Text as columns: lines, headers, tokens, identities. All expressions run inside the JVM."""
+"""Text as columns: lines, headers, tokens, identities. Expressions run inside the JVM; only the search for
+JSON in noise goes through Arrow."""
 
 from __future__ import annotations
 
+import html.entities
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,12 +67,43 @@ def looks_binary(text: Column, sample: int = 4000) -> Column:
 
 
 def strip_html(text: Column) -> Column:
-    """Without blocks that hold no content, then without tags. Entities stay."""
+    """Without blocks that hold no content, then without tags. Entities stay; see :func:`unescape`."""
     for tag in HTML_BLOCKS:
         text = F.regexp_replace(text, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
     return F.regexp_replace(text, r"<[^>]+>", "")
 
 
+def unescape(text: Column) -> Column:
+    """Character references, by number or by a name of HTML 4, as characters; unknown ones stay. Each
+    distinct reference of a text is replaced once, ampersands last."""
+    names = F.create_map(*(F.lit(x) for name, code in html.entities.name2codepoint.items() for x in (name, chr(code))))
+    char = lambda number: F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+
+    def meant(ref):
+        body = F.regexp_replace(ref, "^&|;$", "")
+        digits = F.regexp_extract(body, "^#([0-9]{1,7})$", 1)
+        hexes = F.regexp_extract(body, "^#[xX]([0-9A-Fa-f]{1,6})$", 1)
+        number = F.when(digits != "", digits.cast("bigint")).when(hexes != "", F.conv(hexes, 16, 10).cast("bigint"))
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(valid, char(number)).otherwise(F.coalesce(F.try_element_at(names, body), ref))
+
+    refs = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"), F.lit(0))))
+    last = F.array(F.lit("&amp;"), F.lit("&#38;"), F.lit("&#x26;"))
+    order = F.concat(F.array_except(refs, last), F.array_intersect(refs, last))
+    return F.when(text.contains("&"), F.aggregate(order, text, lambda t, ref: F.replace(t, ref, meant(ref)))).otherwise(text)
+
+
+def html_text(text: Column) -> Column:
+    """HTML as plain text: blocks without content dropped, ends of block elements as line breaks, other
+    tags gone, references undone, white space of a line as one space, at most one blank line."""
+    for tag in HTML_BLOCKS[:3]:
+        text = F.regexp_replace(text, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
+    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|section|article|blockquote)>", "\n")
+    text = unescape(F.regexp_replace(text, r"<[^>]+>", " "))
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n ?", "\n")
+    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+
+
 def is_link_line(line: Column) -> Column:
     return line.rlike(LINK_LINE)
 
@@ -135,6 +171,40 @@ def year_in(*texts: Column) -> Column:
     return F.coalesce(*(F.when(F.regexp_extract(t, r"\b(20\d{2})\b", 1) != "", F.regexp_extract(t, r"\b(20\d{2})\b", 1).cast("int")) for t in texts))
 
 
+def duration_seconds(text: Column) -> Column:
+    """Seconds of ``s``, ``m:ss`` or ``h:mm:ss``; null for anything else."""
+    parts = F.transform(F.split(F.trim(text), ":"), lambda p: p.cast("bigint"))
+    total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, p: s * 60 + p)
+    return F.when(F.trim(text).rlike(r"^\d{1,6}(?::[0-5]?\d){0,2}$"), total)
+
+
+def comma_list(text: Column) -> Column:
+    """Entries of a comma list, trimmed, empty ones left out; null is an empty list."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+FRONT_MATTER = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)(.*)\z"
+
+
+def front_matter(text: Column) -> Column:
+    """``meta`` (map of the plain ``key: value`` lines of the header between two rules, quotes taken
+    off, the first of equal keys) and ``body`` of a text; a text without a header is all body."""
+    head = F.regexp_extract(text, FRONT_MATTER, 1)
+    lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*:\s*\S"))
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([^:]+):", 1).alias("key"), F.regexp_replace(F.trim(F.regexp_extract(x, r"^[^:]+:\s*(.*)$", 1)), "^(['\"])(.*)\\1$", "$2").alias("value")))
+    keys = F.transform(pairs, lambda p: p["key"])
+    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    return F.struct(F.map_from_entries(first).alias("meta"), F.when(text.rlike(FRONT_MATTER), F.regexp_extract(text, FRONT_MATTER, 2)).otherwise(text).alias("body"))
+
+
+def title_and_excerpt(text: Column, most: int = 200) -> Column:
+    """``title`` of the header, else of the first heading, else null, and the first ``most`` characters
+    of the body as ``excerpt``, white space runs as one space."""
+    body = body_of(text)
+    heading = F.regexp_extract(body, r"(?m)^#{1,6}[ \t]+([^\n]+?)[ \t]*$", 1)
+    return F.struct(F.coalesce(header_value(text, "title"), F.when(heading != "", heading)).alias("title"), F.substring(F.trim(F.regexp_replace(body, r"[ \t\r\n\f]+", " ")), 1, most).alias("excerpt"))
+
+
 def duration_text(seconds: Column) -> Column:
     """``m:ss`` or ``h:mm:ss``; null and negative give ''."""
     h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
@@ -147,9 +217,27 @@ def error_rate(heard: Column, said: Column) -> Column:
     return F.when(F.length(said) == 0, F.lit(0.0)).otherwise(F.levenshtein(heard, said) / F.greatest(F.length(heard), F.length(said)))
 
 
+def _json_in(text: str | None) -> str | None:
+    read, at = json.JSONDecoder(parse_constant=lambda c: None).raw_decode, -1
+    while text:
+        at = min((k for k in (text.find("{", at + 1), text.find("[", at + 1)) if k >= 0), default=-1)
+        if at < 0:
+            return None
+        try:
+            return json.dumps(read(text, at)[0], ensure_ascii=False)
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
 def first_json(text: Column) -> Column:
-    """First JSON object or array in noisy output, as a variant; null where none parses."""
-    return F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1))
+    """First JSON object or array in noisy output, as a variant: each opening bracket is tried in turn.
+    Null where none parses and for null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_json_in)
+
+    return F.try_parse_json(F.pandas_udf(run, "string")(text))
 
 
 def answer_json(text: Column) -> Column:

@@ -6,37 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions.urls import let
 
 
 def drop_ads(lines: Column) -> Column:
     return F.filter(lines, lambda x: ~x.rlike(T.AD_WORDS))
 
 
-def drop_menus(lines: Column) -> Column:
-    """Without runs of at least three lines of which 70 % are short; blank lines stay. Runs are
-    folded over the lines once: finished lines, the open run and its count of short lines."""
-    kind = "array<string>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.array().cast(kind).alias("run"), F.lit(0).alias("short"))
+def menu_marks(sizes: Column) -> Column:
+    """For lines of the given lengths one letter each, 'x' where a line stands in a menu: a run of at
+    least three lines that are not blank of which 70 % are short. Runs are found in one string with a
+    letter a line, so the work grows with the number of lines."""
+    code = F.array_join(F.transform(sizes, lambda n: F.when(n == 0, "b").when(n < T.SHORT_LINE, "s").otherwise("l")), "")
+    runs = F.regexp_extract_all(code, F.lit("[sl]+|b+"), F.lit(0))
 
-    def close(s):
-        menu = (F.size(s["run"]) >= T.MENU_RUN) & (s["short"] >= T.MENU_SHARE * F.size(s["run"]))
-        return F.when(menu, s["out"]).otherwise(F.concat(s["out"], s["run"]))
+    def marked(run):
+        short = F.length(run) - F.length(F.replace(run, F.lit("s"), F.lit("")))
+        menu = ~run.startswith("b") & (F.length(run) >= T.MENU_RUN) & (short >= T.MENU_SHARE * F.length(run))
+        return F.when(menu, F.translate(run, "sl", "xx")).otherwise(run)
 
-    def step(s, line):
-        x, size = line["line"], line["size"]
-        done = F.struct(F.concat(close(s), F.array(x)).alias("out"), F.array().cast(kind).alias("run"), F.lit(0).alias("short"))
-        more = F.struct(s["out"].alias("out"), F.concat(s["run"], F.array(x)).alias("run"), (s["short"] + F.when(size < T.SHORT_LINE, 1).otherwise(0)).alias("short"))
-        return F.when(size == 0, done).otherwise(more)
-
-    sized = F.transform(lines, lambda x: F.struct(x.alias("line"), F.length(T.strip(x)).alias("size")))
-    return F.aggregate(sized, start, step, close)
+    return F.split(F.array_join(F.transform(runs, marked), ""), "")
 
 
 def from_content_start(lines: Column) -> Column:
     """From the first line that is no link and either a sentence of 40 characters or 120 long."""
     def starts(x):
         size = F.length(T.strip(x))
-        return ~T.is_link_line(x) & (((size >= T.SHORT_LINE) & x.rlike(T.SENTENCE_MARK)) | (size >= T.CONTENT_LENGTH))
+        # The raw length is looked at first: it is cheap and no less than the stripped one.
+        return F.when(F.length(x) < T.SHORT_LINE, F.lit(False)).otherwise(((size >= T.CONTENT_LENGTH) | ((size >= T.SHORT_LINE) & x.rlike(T.SENTENCE_MARK))) & ~T.is_link_line(x))
 
     at = F.array_position(F.transform(lines, starts), True).cast("int")
     return F.when(at > 0, F.slice(lines, at, 1_000_000_000)).otherwise(lines)
@@ -54,8 +51,11 @@ def clean_documents(documents: DataFrame, text: str = "text", min_length: int =
     gives null and no issue; one projection, no shuffle."""
     # Each step is a column of its own: one that is used twice is then computed once.
     out = documents.withColumn("_body", T.body_of(F.col(text))).withColumn("_binary", T.looks_binary(F.col("_body")))
-    out = out.withColumn("_lines", drop_ads(T.lines_of(T.strip_html(F.col("_body")))))
-    for f in (drop_menus, from_content_start, to_tail):
+    out = out.withColumn("_lines", drop_ads(T.lines_of(T.unescape(T.strip_html(F.col("_body"))))))
+    sizes = F.transform("_lines", lambda x: F.length(T.strip(x)))
+    # The marks are bound once: a column used in the lambda would be put in its place and computed for each line.
+    out = out.withColumn("_lines", let(menu_marks(sizes), lambda marks: F.filter("_lines", lambda x, i: F.get(marks, i) != "x")))
+    for f in (from_content_start, to_tail):
         out = out.withColumn("_lines", f(F.col("_lines")))
     joined = F.substring(T.strip(F.regexp_replace(F.array_join("_lines", "\n"), r"\n{3,}", "\n\n")), 1, T.MAX_CONTENT)
     out = out.withColumn("cleaned", F.when(F.col("_binary"), F.lit("")).otherwise(joined))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.session import written
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``id, component`` for every end of ``edges`` (``a, b``), the component named by its least id.
 
     Alternates the large-star and small-star steps, whose edges end in stars after a number of
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:  # ends: every round that changes an edge moves it to a lesser id
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

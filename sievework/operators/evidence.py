@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
@@ -47,13 +47,77 @@ def facts_of(located: DataFrame) -> DataFrame:
     ).select("claim_id", "source_id", "quote", "start", "topic", F.col("pos.chunk_id").alias("chunk_id"), F.col("pos.claim_no").alias("claim_no"))
 
 
-def topic_nodes(facts: DataFrame, title: str) -> DataFrame:
-    """Per topic (``title`` where empty) the number of claims and sources and a digest of the sorted
-    claim ids. The ids are hashed in order, not collected across the graph."""
+def ids_digest(ids: Column) -> Column:
+    """Aggregate: a digest of a set of ids in hexadecimal (SHA-256 values) that does not depend on their
+    order: the sum of their first 60 bits and their number, so that a node of any size needs two numbers."""
+    return F.concat_ws("-", F.sum(F.conv(F.substring(ids, 1, 15), 16, 10).cast("decimal(38,0)")).cast("string"), F.count(ids).cast("string"))
+
+
+def topic_nodes(facts: DataFrame, title: str, families: DataFrame | None = None) -> DataFrame:
+    """Per topic (``title`` where empty) the number of claims and sources, the least and greatest claim id
+    and a digest of all of them. With ``families`` (``source_id, family``) reprints of one text are one
+    source; a source without a family is its own."""
+    source = F.col("source_id")
+    if families is not None:
+        facts, source = facts.join(families, "source_id", "left"), F.coalesce("family", "source_id")
     topic = F.coalesce(F.when(F.trim("topic") != "", F.trim("topic")), F.lit(title))
     return facts.withColumn("node", topic).groupBy("node").agg(
-        F.count("*").alias("claims"), F.count_distinct("source_id").alias("sources"), F.min("claim_id").alias("first_claim"), F.max("claim_id").alias("last_claim")
+        F.count("*").alias("claims"), F.count_distinct(source).alias("sources"), F.min("claim_id").alias("first_claim"), F.max("claim_id").alias("last_claim"), ids_digest(F.col("claim_id")).alias("digest")
+    )
+
+
+def node_claims(facts: DataFrame, title: str) -> DataFrame:
+    """``node, place, claim_id``: the claims of each topic in order of their ids, one row each. Ids are
+    hashes, so a node is cut into 256 parts by its claims' first byte, which are numbered by themselves
+    and moved by the sizes of the parts before: no task holds a node."""
+    topic = F.coalesce(F.when(F.trim("topic") != "", F.trim("topic")), F.lit(title))
+    rows = facts.select(topic.alias("node"), "claim_id").withColumn("part", F.substring("claim_id", 1, 2))
+    inside = rows.withColumn("k", F.row_number().over(Window.partitionBy("node", "part").orderBy("claim_id")))
+    before = rows.groupBy("node", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("node").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(before, ["node", "part"]).select("node", (F.col("k") + F.col("before")).alias("place"), "claim_id")
+
+
+def checked_citations(facts: DataFrame, sources: DataFrame) -> DataFrame:
+    """``claim_id, source_id, violation`` of each citation of ``facts`` (``claim_id, citations``: array of
+    ``source_id, locator, content_sha256, start_offset, end_offset, text``): 'missing' source, other
+    'locator', other 'hash', text that does not stand at its 'span', or null where all holds. A caller
+    that must not go on with a broken graph passes the violations to :func:`assert_empty`."""
+    each = facts.select("claim_id", F.explode("citations").alias("c"))
+    own = sources.select(F.col("source_id").alias("sid"), F.col("locator").alias("said_locator"), "content_sha256", F.col("text").alias("body"))
+    j = each.join(own, F.col("c.source_id") == F.col("sid"), "left")
+    kind = (
+        F.when(F.col("sid").isNull(), "missing")
+        .when(~F.col("c.locator").eqNullSafe(F.col("said_locator")), "locator")
+        .when(~F.col("c.content_sha256").eqNullSafe(F.col("content_sha256")), "hash")
+        .when(~span_is_valid(F.col("body"), F.col("c.start_offset"), F.col("c.end_offset"), F.col("c.text")), "span")
     )
+    return j.select("claim_id", F.col("c.source_id").alias("source_id"), kind.alias("violation"))
+
+
+def merge_sources(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """Keyed union of two source sets (``source_id, locator, content_sha256``): ``kind`` is 'new', 'kept',
+    'same', or 'conflict' where the two disagree or the base has an id twice."""
+    a = base.groupBy("source_id").agg(F.count("*").alias("n"), F.min(F.struct("locator", "content_sha256")).alias("a"))
+    b = delta.groupBy("source_id").agg(F.count_distinct(F.struct("locator", "content_sha256")).alias("m"), F.min(F.struct("locator", "content_sha256")).alias("b"))
+    j = a.join(b, "source_id", "full_outer")
+    kind = F.when((F.col("n") > 1) | (F.col("m") > 1), "conflict").when(F.col("n").isNull(), "new").when(F.col("m").isNull(), "kept").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("conflict")
+    return j.select("source_id", F.coalesce("a", "b").alias("r"), kind.alias("kind")).select("source_id", "r.locator", "r.content_sha256", "kind")
+
+
+def exact_cover(expected: DataFrame, placed: DataFrame, key: str) -> DataFrame:
+    """``key, expected, placed`` of what does not stand exactly once in ``placed``: left out, doubled or
+    unknown. An empty result is an exact cover."""
+    a = expected.groupBy(key).agg(F.count("*").alias("expected"))
+    b = placed.groupBy(key).agg(F.count("*").alias("placed"))
+    j = a.join(b, key, "full_outer").select(key, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("placed", F.lit(0)).alias("placed"))
+    return j.where((F.col("expected") == 0) | (F.col("placed") != 1))
+
+
+def set_difference(said: DataFrame, there: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, difference`` of a manifest (``said``) against what is there, one row a key in each:
+    'missing', 'extra' or 'changed'. An empty result means equal sets."""
+    j = said.select(key, F.col(value).alias("a")).join(there.select(key, F.col(value).alias("b")), key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    return j.select(key, F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").otherwise("changed").alias("difference"))
 
 
 def coverage_gaps(nodes: DataFrame, least: int) -> DataFrame:

@@ -12,19 +12,28 @@ from sievework.functions import text as T
 def best_match(papers: DataFrame, videos: DataFrame, least: float, bonus: Column | None = None) -> DataFrame:
     """For each ``paper_id`` the video of the most similar title (token Jaccard), gated on the raw
     similarity; ``bonus`` only ranks. ``papers`` has ``paper_id, title``; ``videos`` has ``video_id,
-    video_title``. Pairs come from shared tokens, so no cross join is made; ties go to the least
-    ``video_id``. A paper without match has nulls."""
-    p = papers.select("paper_id", T.title_tokens(F.col("title")).alias("p"))
-    v = videos.select("video_id", "video_title", T.title_tokens(F.col("video_title")).alias("v"))
-    met = p.select("paper_id", F.size("p").alias("np"), F.explode("p").alias("token")).join(v.select("video_id", F.size("v").alias("nv"), F.explode("v").alias("token")), "token")
-    both = met.groupBy("paper_id", "video_id").agg(F.count("*").alias("both"), F.first("np").alias("np"), F.first("nv").alias("nv"))
-    sim = both.withColumn("similarity", F.col("both") / (F.col("np") + F.col("nv") - F.col("both"))).where(F.col("similarity") >= least)
-    if bonus is not None:
-        sim = sim.join(videos.select("video_id", bonus.alias("bonus")), "video_id")
-    else:
-        sim = sim.withColumn("bonus", F.lit(0.0))
-    best = sim.groupBy("paper_id").agg(F.min_by(F.struct("video_id", "similarity", "both"), F.struct(-(F.col("similarity") + F.col("bonus")), F.col("video_id"))).alias("m"))
-    return papers.select("paper_id").distinct().join(best, "paper_id", "left").select("paper_id", "m.video_id", "m.similarity", F.col("m.both").cast("bigint").alias("shared_tokens"))
+    video_title``. Ties go to the least ``video_id``. A paper without match has nulls.
+
+    Two titles as similar as ``least`` share a token among the first ``n - ceil(least * n) + 1`` of
+    each when tokens stand from rare to frequent, so only those prefixes are joined and a frequent
+    token joins nothing but titles made of frequent ones. Equal titles are compared once.
+    """
+    own = papers.select("paper_id", F.array_join(F.array_sort(T.title_tokens(F.col("title"))), " ").alias("p"))
+    other = videos.select("video_id", F.array_join(F.array_sort(T.title_tokens(F.col("video_title"))), " ").alias("v"), (F.lit(0.0) if bonus is None else bonus.cast("double")).alias("bonus"))
+    p, v = own.where("p <> ''").select(F.col("p").alias("t")).distinct(), other.where("v <> ''").select(F.col("v").alias("t")).distinct()
+    both = p.withColumn("side", F.lit("p")).unionByName(v.withColumn("side", F.lit("v"))).withColumn("n", F.size(F.split("t", " ")))
+    rows = both.select("t", "side", "n", F.explode(F.split("t", " ")).alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = rows.join(counts, "token").groupBy("t", "side", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    prefix = ranked.select("t", "side", "n", F.explode(F.slice("ts", F.lit(1), F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)).alias("x")).select("t", "side", "n", "x.token")
+    a, b = prefix.where("side = 'p'").select(F.col("t").alias("p"), F.col("n").alias("np"), "token"), prefix.where("side = 'v'").select(F.col("t").alias("v"), F.col("n").alias("nv"), "token")
+    met = a.join(b, "token").where((F.col("np") >= least * F.col("nv") - 1e-9) & (F.col("nv") >= least * F.col("np") - 1e-9)).select("p", "v", "np", "nv").distinct()
+    shared = met.withColumn("both", F.size(F.array_intersect(F.split("p", " "), F.split("v", " "))))
+    similar = shared.withColumn("similarity", F.col("both") / (F.col("np") + F.col("nv") - F.col("both"))).where(F.col("similarity") >= least).select("p", "v", "similarity", "both")
+    # The best video of a title: of each spelling first the one of greatest bonus, then of all spellings.
+    top = other.groupBy("v").agg(F.min(F.struct(-F.col("bonus"), "video_id")).alias("k")).select("v", (-F.col("k.col1")).alias("bonus"), F.col("k.video_id").alias("video_id"))
+    best = similar.join(top, "v").groupBy("p").agg(F.min_by(F.struct("video_id", "similarity", "both"), F.struct(-(F.col("similarity") + F.col("bonus")), F.col("video_id"))).alias("m"))
+    return own.join(best, "p", "left").groupBy("paper_id").agg(F.min_by("m", F.struct(-F.col("m.similarity"), F.col("m.video_id"))).alias("m")).select("paper_id", "m.video_id", "m.similarity", F.col("m.both").cast("bigint").alias("shared_tokens"))
 
 
 def greedy_pairs(scored: DataFrame, case: str = "case_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.session import written
 
 # Weights of the repository score.
 W_STARS, W_RECENCY, W_DESC, W_FORKS, W_TOPIC = 0.25, 0.20, 0.10, 0.10, 0.35
@@ -33,6 +34,7 @@ def request_plan(queries: DataFrame, engines: DataFrame, sorts: list[str], pages
     combos = queries.sparkSession.createDataFrame([(i * pages + p, s, p) for i, s in enumerate(sorts) for p in range(pages)], "combo int, sort string, page int")
     n_e = engines.agg(F.count("*").alias("engines"))
     n_c = len(sorts) * pages
+    queries = queries.where(F.col("query_no") * n_c < budget)  # no later query has a place within the budget
     rows = queries.join(F.broadcast(combos), how="cross").join(F.broadcast(engines), how="cross").join(F.broadcast(n_e), how="cross")
     place = (F.col("combo") * F.lit(1) * F.col("engines") + F.col("engine_no")) + F.col("query_no") * n_c * F.col("engines")
     return rows.withColumn("place", place.cast("bigint")).where(F.col("place") < budget).drop("engines", "combo")
@@ -44,14 +46,22 @@ def request_budget(max_requests: int, engines: int, queries: int, wanted: int, p
 
 
 def funnel(calls: DataFrame, hits: DataFrame, threshold: float, capacity: int | None = None) -> DataFrame:
-    """Counters per engine: attempted, hits, filtered (irrelevant or over capacity), deduplicated,
-    retained. ``hits`` has ``engine, url_key, query, title, snippet, url, order``; relevance comes
-    first, then deduplication over all engines, then the capacity in order."""
-    scored = hits.withColumn("keep", relevance(F.col("query"), F.col("title"), F.col("snippet"), F.col("url")) >= threshold)
+    """Counters per engine: attempted, hits, failed, filtered (irrelevant or over capacity),
+    deduplicated, retained. ``hits`` has ``engine, url_key, query, title, snippet, url, order`` (orders
+    differ); relevance comes first, then deduplication over all engines, then the first ``capacity`` in order."""
+    keep = relevance(F.col("query"), F.col("title"), F.col("snippet"), F.col("url")) >= threshold
+    scored = written(hits.select("engine", "url_key", "order", keep.alias("keep")), "scored-hits")  # texts are read once
     first = scored.where("keep").groupBy("url_key").agg(F.min("order").alias("first"))
     marked = scored.join(first, "url_key", "left").withColumn("unique", F.col("keep") & (F.col("order") == F.col("first")))
+    within = F.lit(True)
+    if capacity is not None:
+        last = marked.where("unique").select("order").orderBy("order").limit(capacity).agg(F.max("order").alias("last"))
+        marked, within = marked.join(F.broadcast(last)), F.col("order") <= F.col("last")  # one row is broadcast
     counted = marked.groupBy("engine").agg(
-        F.count("*").alias("hits"), F.count_if(~F.col("keep")).alias("filtered"), F.count_if(F.col("keep") & ~F.col("unique")).alias("deduplicated"), F.count_if("unique").alias("retained")
+        F.count("*").alias("hits"),
+        F.count_if(~F.col("keep") | (F.col("unique") & ~within)).alias("filtered"),
+        F.count_if(F.col("keep") & ~F.col("unique")).alias("deduplicated"),
+        F.count_if(F.col("unique") & within).alias("retained"),
     )
     tried = calls.groupBy("engine").agg(F.count("*").alias("attempted"), F.count_if("failed").alias("failed"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
@@ -72,6 +82,15 @@ def top_per_key(rows: DataFrame, key: list[str], order: list, n: int, name: str
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(name) <= n)
 
 
+def take_until(rows: DataFrame, key: list[str], order: str, matched: Column, k: int) -> DataFrame:
+    """Rows of each key in order (``order`` differs within a key), up to and with the ``k``-th that
+    matches. Only ``k`` matching rows of a key are ranked; the others are compared with the last of them."""
+    ranked = top_per_key(rows.where(matched).select(*key, order), key, [F.col(order)], k)
+    last = ranked.groupBy(*key).agg(F.max(order).alias("last"), F.count("*").alias("found"))
+    j = rows.join(last, key, "left").where((F.coalesce("found", F.lit(0)) < k) | (F.col(order) <= F.col("last")))
+    return j.select(*rows.columns)
+
+
 def repo_score(stars: Column, forks: Column, description: Column, homepage: Column, pushed: Column, as_of: Column, query: Column, words: Column) -> Column:
     """Composite score of a repository: stars, recency, description, forks per star, topic overlap."""
     s = F.coalesce(stars.cast("double"), F.lit(0.0))

@@ -27,9 +27,12 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def shingle_hashes(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the substrings of ``SHINGLE`` characters; empty when shorter."""
+    """Sorted distinct 64-bit hashes of the substrings of ``SHINGLE`` characters; a shorter text
+    is its own only one, and an empty text has none."""
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(a) < SHINGLE:
+    if 0 < len(a) < SHINGLE:
+        a = np.concatenate([a, np.full(SHINGLE - len(a), 1 << 32, np.uint64)])
+    if not len(a):
         return np.empty(0, np.uint64)
     n = len(a) - SHINGLE + 1
     h = a[:n].copy()
@@ -120,23 +123,6 @@ def similar_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return both.select("id_a", "id_b", "text_a", "text_b").mapInArrow(_verified(threshold), "id_a bigint, id_b bigint")
 
 
-def text_groups(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``id, group`` of texts (``id, text``, one row per text): equal texts and copies of each other
-    are one group, named by its least id. Unlike :func:`similar_texts` a group of n copies costs n
-    comparisons and not their square: each text is compared with the first one of each of its sketch's
-    tokens, and groups are the connected components of those similar by ``threshold``."""
-    keyed = written(texts.select("id", "text").withColumn("k", F.struct(F.xxhash64("text").alias("x"), F.length("text").alias("n"), F.hash("text").alias("h"))), "group-texts")
-    least = keyed.groupBy("k").agg(F.min("id").alias("first"))
-    classes = written(keyed.select("id", "k").join(least, "k").select("id", "first"), "group-classes")
-    one = keyed.join(classes.where("id = first").select("id"), "id", "left_semi").select("id", "text")
-    tokens = written(one.mapInArrow(_sketches, "id bigint, tokens array<bigint>").where("tokens is not null").select("id", F.explode("tokens").alias("token")), "group-tokens")
-    stars = tokens.join(tokens.groupBy("token").agg(F.min("id").alias("id_a")), "token").where("id_a < id").select("id_a", F.col("id").alias("id_b")).distinct()
-    both = stars.join(one.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(one.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
-    similar = both.select("id_a", "id_b", "text_a", "text_b").mapInArrow(_verified(threshold), "id_a bigint, id_b bigint")
-    edges = classes.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(similar.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    return connected_components(edges).select("id", F.col("component").alias("group"))
-
-
 def near_duplicate_winners(documents: DataFrame, threshold: float = THRESHOLD, min_length: int = 200) -> DataFrame:
     """``doc_id, winner_id``: connected components of similar texts, each won by its longest text,
     ties by the least id. Texts shorter than ``min_length`` after normalisation win alone; equal

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.functions import urls as U
 from sievework.operators import clean, evidence, matching, search
-from sievework.session import table
+from sievework.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,10 +28,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from sievework.plans import more  # noqa: F401  adds its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -357,7 +360,7 @@ def facts(spark, sf_dir):
     return _facts(spark, sf_dir).select("claim_id", "source_id", F.col("start").cast("bigint").alias("start"), "topic")
 
 
-_NODES = f"SELECT coalesce(nullif(trim(topic), ''), 'general') AS node, count(*) AS claims, count(DISTINCT source_id) AS sources, min(claim_id) AS first_claim, max(claim_id) AS last_claim FROM ({_FACTS}) GROUP BY 1"
+_NODES = f"SELECT coalesce(nullif(trim(topic), ''), 'general') AS node, count(*) AS claims, count(DISTINCT source_id) AS sources, min(claim_id) AS first_claim, max(claim_id) AS last_claim, CAST(sum(CAST('0x' || substr(claim_id, 1, 15) AS BIGINT)) AS VARCHAR) || '-' || count(*) AS digest FROM ({_FACTS}) GROUP BY 1"
 
 
 @query(_NODES)
@@ -399,7 +402,8 @@ def citation_numbers(spark, sf_dir):
     """Numbers of the cited sources in order of their ids. The order is made by a range shuffle and
     partition counts, not by one task."""
     cited = _facts(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("claims"))
-    ordered = cited.repartitionByRange("source_id").sortWithinPartitions("source_id").withColumn("part", F.spark_partition_id())
+    # Written once, so that the parts are the same for all that is computed from them.
+    ordered = written(cited.repartitionByRange("source_id").withColumn("part", F.spark_partition_id()), "ordered")
     inside = ordered.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("source_id")))
     sizes = inside.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -439,11 +443,21 @@ def best_title_match(spark, sf_dir):
     return matching.best_match(p, v, 0.7).select("paper_id", "video_id", "shared_tokens")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE c AS (SELECT fetch_id, chunk_id, n, {_TT('c.quote')} AS t FROM (SELECT fetch_id, chunk_id, unnest(claims) AS c, generate_subscripts(claims, 1) - 1 AS n FROM chunk_results WHERE fetch_id IS NOT NULL) WHERE c.quote IS NOT NULL),
+s AS (SELECT a.fetch_id AS case_id, printf('%020d-%010d', a.chunk_id, a.n) AS i, printf('%020d-%010d', b.chunk_id, b.n) AS j, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS score
+ FROM c a JOIN c b ON a.fetch_id = b.fetch_id AND a.chunk_id < b.chunk_id WHERE len(list_intersect(a.t, b.t)) > 0),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, i, j) AS k FROM s WHERE score >= 0.5),
+r AS (SELECT case_id, k, i, j, score, true AS taken, [i] AS used_i, [j] AS used_j FROM o WHERE k = 1
+ UNION ALL SELECT o.case_id, o.k, o.i, o.j, o.score, NOT list_contains(r.used_i, o.i) AND NOT list_contains(r.used_j, o.j),
+  CASE WHEN NOT list_contains(r.used_i, o.i) AND NOT list_contains(r.used_j, o.j) THEN list_append(r.used_i, o.i) ELSE r.used_i END, CASE WHEN NOT list_contains(r.used_i, o.i) AND NOT list_contains(r.used_j, o.j) THEN list_append(r.used_j, o.j) ELSE r.used_j END
+ FROM r JOIN o ON o.case_id = r.case_id AND o.k = r.k + 1)
+SELECT case_id, i, j, score FROM r WHERE taken"""
+)
 def greedy_claim_match(spark, sf_dir):
     """Claims of neighbouring chunks of a page matched one to one by their token overlap."""
     c = table(spark, sf_dir, "chunk_results").where("fetch_id is not null").select("fetch_id", "chunk_id", F.posexplode("claims").alias("n", "c")).where("c.quote is not null")
-    rows = c.select(F.col("fetch_id").alias("case_id"), "chunk_id", (F.col("chunk_id") * 1000 + F.col("n")).alias("id"), T.title_tokens(F.col("c.quote")).alias("t"))
+    rows = c.select(F.col("fetch_id").alias("case_id"), "chunk_id", F.format_string("%020d-%010d", "chunk_id", "n").alias("id"), T.title_tokens(F.col("c.quote")).alias("t"))
     met = rows.alias("a").join(rows.alias("b"), "case_id").where("a.chunk_id < b.chunk_id and arrays_overlap(a.t, b.t)")
     scored = met.select("case_id", F.col("a.id").alias("i"), F.col("b.id").alias("j"), T.jaccard(F.col("a.t"), F.col("b.t")).alias("score")).where("score >= 0.5")
     return matching.greedy_pairs(scored)
@@ -527,7 +541,19 @@ def exit_codes(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n"), F.min(p).alias("priority"))
 
 
-@query()
+_SHINGLED = lambda k: f"list_distinct(CASE WHEN length(t) < {k} THEN [t] ELSE list_transform(range(1, length(t) - {k - 2}), lambda i: substr(t, i, {k})) END)"
+_NORMAL = r"lower(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')))"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, length(text) AS n, {_NORMAL} AS t FROM documents WHERE text IS NOT NULL),
+u AS (SELECT min(doc_id) AS id, t FROM d WHERE length(t) >= 200 GROUP BY t), s AS (SELECT id, {_SHINGLED(5)} AS g FROM u), z AS MATERIALIZED (SELECT id, g, len(g) AS n FROM s),
+p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, len(list_intersect(a.g, b.g)) AS x FROM z a JOIN z b ON a.id < b.id AND a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE x >= 0.85 * (na + nb - x)), w AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e UNION ALL SELECT id, id FROM u),
+r AS (SELECT a AS id, b AS reach FROM w UNION SELECT r.id, w.b FROM r JOIN w ON w.a = r.reach), c AS (SELECT id, min(reach) AS component FROM r GROUP BY id),
+m AS (SELECT d.doc_id, d.n, c.component FROM d JOIN u ON d.t = u.t JOIN c ON c.id = u.id), win AS (SELECT component, first(doc_id ORDER BY n DESC, doc_id) AS winner_id FROM m GROUP BY component)
+SELECT doc_id, winner_id FROM m JOIN win USING (component) UNION ALL SELECT doc_id, doc_id FROM d WHERE length(t) < 200"""
+)
 def near_dup_winners(spark, sf_dir):
     """Near-duplicate documents: components of similar texts and the longest of each."""
     from sievework.operators.similar_texts import near_duplicate_winners
@@ -629,7 +655,15 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.try_parse_json("props").isNotNull()).alias("with_json"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {_NORMAL} AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), u AS (SELECT min(id) AS id, t FROM d GROUP BY t),
+z AS MATERIALIZED (SELECT id, g, len(g) AS n FROM (SELECT id, {_SHINGLED(7)} AS g FROM u)),
+p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, len(list_intersect(a.g, b.g)) AS x FROM z a JOIN z b ON a.id < b.id AND a.n >= 0.98 * b.n AND b.n >= 0.98 * a.n),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE x >= 0.98 * (na + nb - x)), k AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k, earlier FROM (SELECT b AS id, list(a) AS earlier FROM e GROUP BY b)),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS lead, CAST([] AS BIGINT[]) AS led
+ UNION ALL SELECT k.k, k.id, coalesce(list_min(list_filter(k.earlier, lambda x: NOT list_contains(r.led, x))), k.id), CASE WHEN list_min(list_filter(k.earlier, lambda x: NOT list_contains(r.led, x))) IS NULL THEN r.led ELSE list_append(r.led, k.id) END FROM r JOIN k ON k.k = r.k + 1)
+SELECT d.id, coalesce(r.lead, u.id) AS family FROM d JOIN u ON d.t = u.t LEFT JOIN r ON r.id = u.id"""
+)
 def content_families(spark, sf_dir):
     """Reprints of one text as families under their first source."""
     from sievework.operators.similar_texts import content_families as families

@@ -10,7 +10,6 @@ from sievework.functions import text as T
 from sievework.functions import urls as U
 from sievework.operators import clean, evidence, matching, search
 from sievework.operators.components import connected_components
-from sievework.operators.cosine_join import cosine_pairs, ngram_vectors
 from sievework.operators.prefix_join import candidate_pairs
 from sievework.operators.similar_texts import near_duplicate_winners, shingle_hashes, similar_texts
 
@@ -79,14 +78,6 @@ def test_prefix_join_loses_nothing(spark):
     assert want <= got
 
 
-def test_cosine_pairs_match_all_pairs(spark):
-    names = [(i, n) for i, n in enumerate(["ann lee", "anne lee", "bob stone", "bob stones", "zoe", "lee ann", "", None])]
-    vectors = ngram_vectors(spark.createDataFrame(names, "id bigint, text string"))
-    v = {r.id: {x.gram: x.w for x in r.vec} for r in vectors.collect()}
-    want = {(a, b) for a in v for b in v if a < b and sum(w * v[b].get(g, 0) for g, w in v[a].items()) >= 0.3}
-    assert {(r.id_a, r.id_b) for r in cosine_pairs(vectors, 0.3).collect()} == want
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (200, 200), (102, 100), (100, 101)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -107,7 +98,8 @@ def test_similar_texts_against_brute_force(spark):
     sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in texts}
     want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
     assert got == want and len(want) > 10
-    assert len(shingle_hashes("abcd")) == 0
+    # A text shorter than a shingle is its own only one.
+    assert len(shingle_hashes("abcd")) == 1 and len(shingle_hashes("")) == 0 and shingle_hashes("abcd")[0] not in shingle_hashes("abcde")
 
 
 def test_winners(spark):
@@ -250,3 +242,92 @@ def test_more_scalars(spark):
     assert r.gt and r.h == "a" * 64 and r.st == "completed" and r.t == [0.0, 0.5, 1.0, 1.5]
     with pytest.raises(Exception, match="not a SHA-256"):
         df.select(T.bare_hash(F.col("a"))).collect()
+
+
+@pytest.mark.parametrize(
+    "host,blocked",
+    [
+        ("[1::1]", True), ("[100::1]", False), ("[ab::1]", True), ("[fe8::1]", False), ("[fc1::1]", False), ("[fe80::1%eth0]", True), ("[fd00:1:2:3:4:5:6:7]", True), ("[2001:db8::7]", False), ("[::1]", True), ("[::]", True),
+        ("[ff02::1]", True), ("[::ffff:10.0.0.1]", True), ("[2606::1.2.3.4]", False), ("[1::2::3]", True), ("[nonsense:]", True), ("10.1.2.3", True), ("100.64.0.1", True), ("100.128.0.1", False), ("198.19.255.255", True), ("8.8.8.8", False), ("example.org", None),
+    ],
+)
+def test_blocked_addresses(spark, host, blocked):
+    assert spark.createDataFrame([(host,)], "h string").select(U.blocked_address(F.col("h"))).first()[0] is blocked
+
+
+def test_first_json_tries_each_bracket(spark):
+    rows = [('info [x] {"a": 1} {"b": 2}', '{"a":1}'), ("no [ json { here", None), (None, None), ("", None), ('[1, 2] {"a": 1}', "[1,2]"), ('{"a": {"b": [1]}}', '{"a":{"b":[1]}}')]
+    got = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string").orderBy("k").select(T.first_json(F.col("t")).cast("string")).collect()
+    assert [r[0] for r in got] == [w for _, w in rows]
+
+
+def test_unescape_as_the_standard_library(spark):
+    import html
+
+    texts = ["a &lt;b&gt; &amp;amp; &#233;&#xe9; &hellip; &nosuch; & &#0; &#55296; &#1114112;", "plain", "", None, "&amp;lt; stays once"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.unescape(F.col("t"))).collect()]
+    assert got[0] == "a <b> &amp; éé … &nosuch; & &#0; &#55296; &#1114112;" and got[1:] == ["plain", "", None, html.unescape(texts[4])]
+
+
+def test_long_documents_clean_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        d = spark.createDataFrame([(1, "\n".join(f"Line {i} of a long text that says something new, as lines of texts do." if i % 5 else "" for i in range(n)))], "doc_id bigint, text string")
+        began = time.time()
+        assert clean.clean_documents(d).select(F.length("cleaned")).first()[0] == T.MAX_CONTENT
+        return time.time() - began
+
+    seconds(2_000)
+    assert seconds(64_000) < 20
+
+
+def test_menu_marks_against_brute_force(spark):
+    rng = random.Random(4)
+    for _ in range(15):
+        sizes = [rng.choice([0, 5, 39, 40, 90]) for _ in range(rng.randrange(1, 30))]
+        got = spark.createDataFrame([(sizes,)], "s array<int>").select(clean.menu_marks(F.col("s"))).first()[0]
+        menu, k = [False] * len(sizes), 0
+        while k < len(sizes):
+            e = k
+            while e < len(sizes) and sizes[e]:
+                e += 1
+            if e - k >= 3 and sum(x < 40 for x in sizes[k:e]) >= 0.7 * (e - k):
+                menu[k:e] = [True] * (e - k)
+            k = max(e, k + 1)
+        assert [x == "x" for x in got[: len(sizes)]] == menu
+
+
+def test_funnel_capacity(spark):
+    hits = spark.createDataFrame([("web", f"u{i % 4}", "tides", "tides", "", f"u{i % 4}", i) for i in range(6)] + [("x", "u9", "tides", "other", "", "u9", 9)], "engine string, url_key string, query string, title string, snippet string, url string, order bigint")
+    calls = spark.createDataFrame([("web", False), ("x", True)], "engine string, failed boolean")
+    got = {r.engine: tuple(r)[1:] for r in search.funnel(calls, hits, 0.5, capacity=3).collect()}
+    assert got == {"web": (1, 6, 0, 1, 2, 3), "x": (1, 1, 1, 1, 0, 0)}
+
+
+def test_take_until_and_covers(spark):
+    rows = spark.createDataFrame([("a", i, i % 3 == 2) for i in range(12)] + [("b", 1, False)], "k string, i bigint, m boolean")
+    assert {(r.k, r.i) for r in search.take_until(rows, ["k"], "i", F.col("m"), 2).collect()} == {("a", i) for i in range(6)} | {("b", 1)}
+    want = spark.createDataFrame([("p",), ("q",), ("r",)], "id string")
+    placed = spark.createDataFrame([("p",), ("q",), ("q",), ("z",)], "id string")
+    assert {tuple(r) for r in evidence.exact_cover(want, placed, "id").collect()} == {("q", 1, 2), ("r", 1, 0), ("z", 0, 1)}
+
+
+def test_front_matter_and_titles(spark):
+    texts = ['---\ntitle: "A: b"\ntags: x, y\ntitle: other\nnot a pair\n---\nBody\n', "no header", "---\nopen: 1\n", "", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.front_matter(F.col("t")).alias("f")).select("f.*").collect()
+    assert got[0].meta == {"title": "A: b", "tags": "x, y"} and got[0].body == "Body\n" and [g.body for g in got[1:]] == texts[1:]
+    d = spark.createDataFrame([("<!-- title: Said -->\n# Head\ntext",), ("# Head #1\n\nsome  text",), ("plain",)], "t string").select(T.title_and_excerpt(F.col("t")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in d] == [("Said", "# Head text"), ("Head #1", "# Head #1 some text"), (None, "plain")]
+
+
+def test_best_match_against_all_pairs(spark):
+    rng = random.Random(7)
+    title = lambda: " ".join(rng.sample(["a1", "b2", "c3", "d4", "e5", "f6", "g7"], rng.randrange(1, 6)))
+    papers, videos = [(i, title()) for i in range(60)] + [(99, None), (98, "")], [(i, title()) for i in range(80)] + [(500, None)]
+    got = {r.paper_id: r.video_id for r in matching.best_match(spark.createDataFrame(papers, "paper_id bigint, title string"), spark.createDataFrame(videos, "video_id bigint, video_title string"), 0.6).collect()}
+    tokens = lambda t: set((t or "").split())
+    jac = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    for i, t in papers:
+        best = max(((jac(tokens(t), tokens(v)), -k) for k, v in videos), default=(0, 0))
+        assert got[i] == (-best[1] if best[0] >= 0.6 else None)

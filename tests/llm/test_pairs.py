@@ -90,6 +90,99 @@ def test_variants_without_context(spark):
     assert got == {("person", 1, 2), ("person", 1, 3), ("person", 2, 3), ("person", 5, 6)}
 
 
+def met_by_definition(rows, least=0.5):
+    """Profiles with a context in common, each with each: cosine of n-gram vectors over all texts, then the words."""
+    import math
+
+    from sievework.llm.name_groups import text_id
+
+    texts = {N._person_text(k.split()) for _, _, _, keys in rows for k in keys}
+    grams = {t: {f" {t} "[i : i + 3] for i in range(len(t))} for t in texts}
+    w = {g: math.log(1 + len(texts) / sum(g in x for x in grams.values())) for x in grams.values() for g in x}
+    norm = {t: math.sqrt(sum(w[g] ** 2 for g in x)) for t, x in grams.items()}
+    out = {}
+    for c, i, f, ki in rows:
+        for d, j, g, kj in rows:
+            if c == d and i < j and (f & 1 or not f & g & 2):
+                for x in ki:
+                    for y in kj:
+                        s, t = N._person_text(x.split()), N._person_text(y.split())
+                        cosine = 1.0 if s == t else sum(w[q] ** 2 for q in grams[s] & grams[t]) / norm[s] / norm[t]
+                        a, b = (x, y) if (x < y if s == t else text_id(s) < text_id(t)) else (y, x)  # the check of the words has a first name
+                        if cosine >= least and (x == y or N.same_name(a.split(), b.split())):
+                            out[i, j] = max(cosine, out.get((i, j), 0.0))
+    return out
+
+
+def test_profiles_meet_in_groups_as_by_definition(spark):
+    import math
+
+    from sievework.llm import name_groups as G
+
+    rng = random.Random(12)
+    names = [f"{a} {b}" for a in ("corlin", "banon", "c", "velim") for b in ("veldukador", "veldukadro", "brethom", "brethmo", "lu")]
+    rows = [(i % 3, i, 3 if i % 3 == 0 else rng.choice((2, 0)), sorted({rng.choice(names) for _ in range(2)})) for i in range(90)]
+    frame = spark.createDataFrame(rows, "ctx bigint, profile_id bigint, flags int, keys array<string>")
+    total, counts = G.gram_counts(spark.createDataFrame([(N._person_text(k.split()),) for *_, keys in rows for k in keys], "text string"))
+    run = G.met_profiles(total, counts, 0.5, N._person_text, N.same_name)
+    want = met_by_definition(rows)
+    for size in (G.GROUP, 7):  # whole and split groups
+        met = G.grouped(G.split_groups(frame, size), "ctx").mapInArrow(run, "a bigint, b bigint, cosine double").groupBy("a", "b").max("cosine")
+        got = {(a, b): c for a, b, c in met.collect()}
+        assert got.keys() == want.keys() and len(got) > 100 and all(math.isclose(got[k], want[k]) for k in got)
+
+
+def test_groups_larger_than_an_arrow_batch_stay_whole():
+    import pyarrow as pa
+
+    from sievework.llm.name_groups import whole_groups
+
+    keys = [1, 2, 2, 2, 2, 2, 3, 4, 4]
+    for n in range(1, 10):
+        batches = [pa.RecordBatch.from_pydict({"k": keys[i : i + n]}, pa.schema([("k", pa.int64())])) for i in range(0, 9, n)]
+        tables = [t.column("k").to_pylist() for t in whole_groups(iter(batches), "k")]
+        assert sum(tables, []) == keys and len({(i, k) for i, t in enumerate(tables) for k in t}) == 4
+
+
+def test_words_one_edit_apart_share_a_block():
+    from sievework.llm.name_groups import word_blocks
+
+    rng = random.Random(13)
+    for _ in range(3000):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 10)))
+        k = rng.randrange(len(w))
+        for v in (w[:k] + w[k + 1 :], w[:k] + "x" + w[k:], w[:k] + "x" + w[k + 1 :], w[:k] + w[k : k + 2][::-1] + w[k + 2 :]):
+            assert not v or set(word_blocks(w)) & set(word_blocks(v)), (w, v)
+
+
+def test_text_ids_are_those_of_spark(spark):
+    from sievework.llm.name_groups import text_id
+
+    texts = ["", "a", "anton baker", "Антон", "x" * 40]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t)").collect()] == [text_id(t) for t in texts]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from sievework.session import written
+
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    kept = written(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "probe")
+    assert not files() - before and kept.count() == 7
+
+
+def test_dropped_tables_go_at_once(spark):
+    import os
+
+    from sievework.session import dropped, written
+
+    kept = written(spark.range(5), "probe")
+    folder = kept._written_to.removeprefix("file://")
+    assert os.path.isdir(folder)
+    dropped(kept, spark.range(1))
+    assert not os.path.exists(folder)
+
+
 def test_no_profiles(spark):
     assert N.variant_pairs(spark.createDataFrame([], PROFILE), spark.createDataFrame([], "name_id bigint, raw_name string")).count() == 0
 
